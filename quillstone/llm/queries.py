@@ -2,15 +2,47 @@
 
 from __future__ import annotations
 
-from quillstone.llm import simhash
+from pyspark.sql import functions as F
+
+from quillstone.llm import mixing, packing, sharding, simhash, toxicity
 from quillstone.llm.common import read
 
 
+def tokenizer_path() -> str:
+    """The public tokenizer's vocabulary file, as installed on driver and executors alike."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def fold(doc_id):
+    """crc32 of the id as text, modulo 5; that of an empty text for a row without an id."""
+    return F.coalesce(F.crc32(doc_id.cast("string")), F.lit(0)) % 5
+
+
+def op1_mixing(spark, sf_dir):
+    return mixing.quotas(read(spark, sf_dir, "documents"))
+
+
+def op2_sharding(spark, sf_dir):
+    return sharding.place(read(spark, sf_dir, "documents").select("doc_id")).select("doc_id", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+
+
+def op5_packing(spark, sf_dir):
+    return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op7_toxicity(spark, sf_dir):
+    docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.where(fold(F.col("doc_id")) != 0))
+    return toxicity.scores(docs, model).select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
 def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_simhash": op9_simhash}
+QUERIES = {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op5_packing": op5_packing, "op7_toxicity": op7_toxicity, "op9_simhash": op9_simhash}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict = {}
