@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import mixing, packing, sharding, simhash, toxicity
+from quillstone.llm import hmm, mixing, packing, quality, sharding, simhash, substrings, suffixes, toxicity, vectors
 from quillstone.llm.common import read
 
 
@@ -28,10 +28,23 @@ def op2_sharding(spark, sf_dir):
     return sharding.place(read(spark, sf_dir, "documents").select("doc_id")).select("doc_id", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
 
 
+def op3_hmm(spark, sf_dir):
+    return hmm.score(read(spark, sf_dir, "documents"), fold(F.col("doc_id")) == 1)
+
+
+def op4_quality(spark, sf_dir):
+    return quality.verdicts(read(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark, sf_dir):
     return packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_substrings(spark, sf_dir):
+    """The text that is left of every document, and how many sentences went."""
+    return substrings.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("_removed").alias("n_removed"), "text")
+
+
 def op7_toxicity(spark, sf_dir):
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(fold(F.col("doc_id")) != 0))
@@ -42,7 +55,15 @@ def op9_simhash(spark, sf_dir):
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_mixing": op1_mixing, "op2_sharding": op2_sharding, "op5_packing": op5_packing, "op7_toxicity": op7_toxicity, "op9_simhash": op9_simhash}
+def op8_vectors(spark, sf_dir):
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op10_suffixes(spark, sf_dir):
+    return suffixes.deduplicate(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_hmm, op4_quality, op5_packing, op6_substrings, op7_toxicity, op8_vectors, op9_simhash, op10_suffixes)}
 
 #: DuckDB SQL for those that SQL can express.
 ORACLES: dict = {}
