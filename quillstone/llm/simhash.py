@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import components
@@ -119,3 +119,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, chain:
     of = root.join(least, "root").select("fp", "component_id")
     out = fps.join(of, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of docs whose id is the least of their group, with their columns; one row for each such id
+    (of rows that share an id, that with the least hash of its text). Groups without any id keep none."""
+    groups = near_duplicates(docs, **settings)
+    kept = written(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept")
+    place = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
+    out = docs.join(kept, docs["doc_id"] == F.col("_id"), "left_semi").withColumn("_place", F.row_number().over(place))
+    return out.where("_place = 1").select(*docs.columns)
