@@ -2,5 +2,23 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function (spark, sf_dir) -> DataFrame under its name, with DuckDB SQL for the same rows."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def read(spark, sf_dir: str, table: str):
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")

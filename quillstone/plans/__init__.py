@@ -1 +1,3 @@
-"""Plans of the engine."""
+"""Queries of the engine; importing this package registers them all."""
+
+from quillstone.plans import search  # noqa: F401
