@@ -229,6 +229,13 @@ def later_copies(contexts: list[bytes], place: np.ndarray, length: int) -> list[
     within = np.arange(len(of)) - np.repeat(np.cumsum(np.maximum(n, 0)) - np.maximum(n, 0), np.maximum(n, 0))
     base = np.cumsum([0, *map(len, contexts)])[:-1]
     flat = np.frombuffer(b"".join(contexts), np.uint8)
+    if len(of):  # a string whose hash is here once has no copy here, and needs no sorting
+        g = _grams(flat, length)[base[of] + within]
+        order = np.argsort(g)
+        equal = g[order[1:]] == g[order[:-1]]
+        often = np.zeros(len(of), bool)
+        often[order[1:][equal]] = often[order[:-1][equal]] = True
+        of, within = of[often], within[often]
     doc, start = place[of, 0], place[of, 1] + within
     text = np.lexsort((start, doc))  # suffixes in text order
     words = np.lib.stride_tricks.sliding_window_view(flat, length)[(base[of] + within)[text]]
