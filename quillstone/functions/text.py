@@ -87,7 +87,7 @@ def exact_key(line: Column) -> Column:
 def number_key(line: Column) -> Column:
     """The same with numbers and roman numerals as '#', so page numbers agree."""
     digits = F.regexp_replace(F.lower(line), "[0-9]+", "#")
-    return F.trim(F.regexp_replace(F.regexp_replace(digits, r"\b[ivxlc]+\b", "#"), r"[ \t]+", " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(digits, r"(?U)\b[ivxlc]+\b", "#"), r"[ \t]+", " "))
 
 
 def scrub(text: Column, limit: int = 300) -> Column:

@@ -1,3 +1,3 @@
 """Queries of the engine; importing this package registers them all."""
 
-from quillstone.plans import library, search  # noqa: F401
+from quillstone.plans import answers, library, search, texts  # noqa: F401
