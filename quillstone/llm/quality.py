@@ -29,7 +29,7 @@ BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """docs with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _n_lines, _n_same (words
+    """(_row, _lang, _source, measures): _row has docs' columns, so their names can't clash; then _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat_words, _n_lines, _n_same (words
     equal to the one before) and _base_failed."""
     text = F.coalesce(docs["text"], F.lit(""))
     row = F.struct(*[docs[c] for c in docs.columns])
@@ -62,7 +62,7 @@ def measure(docs: DataFrame) -> DataFrame:
         F.when(F.size("_words") > 1, equal).otherwise(0).cast("long").alias("_n_same"),
     )
     failed = (F.col("_n_words") < 20) | (100 * F.col("_n_repeat_words") > 30 * F.col("_n_words"))
-    return a.select("_row.*", *a.columns[1:], failed.alias("_base_failed"))
+    return a.select("_row", F.col("_row.lang").alias("_lang"), F.col("_row.source").alias("_source"), *a.columns[1:], failed.alias("_base_failed"))
 
 
 def _ratios() -> dict[str, Column]:
@@ -74,7 +74,7 @@ def _ratios() -> dict[str, Column]:
 def sketches(measured: DataFrame) -> DataFrame:
     """(lang, source, ratio, bucket, n) of the documents that the base rules pass; bucket -1 holds zeros."""
     pairs = F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("value")) for k, v in _ratios().items()])
-    each = measured.where(~F.col("_base_failed")).select("lang", "source", F.explode(pairs).alias("_p")).select("lang", "source", "_p.*")
+    each = measured.where(~F.col("_base_failed")).select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.explode(pairs).alias("_p")).select("lang", "source", "_p.*")
     bucket = F.when(F.col("value") > 0, F.floor(F.log(F.col("value").cast("double")) / F.log(F.lit(GAMMA)))).otherwise(-1)
     return each.groupBy("lang", "source", "ratio", bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
@@ -110,12 +110,12 @@ def limits(sketch: DataFrame, least: int = LEAST, spreads: float = SPREADS) -> D
 
 def _judge(measured: DataFrame, table: DataFrame) -> DataFrame:
     """measured with _kept. A document whose group has no limits has failed the base rules."""
-    other = table.select(*[F.col(c).alias(f"_{c}") for c in table.columns])
-    out = join_small(measured, other, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
+    other = table.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
+    out = join_small(measured, other, F.col("_lang").eqNullSafe(F.col("t_lang")) & F.col("_source").eqNullSafe(F.col("t_source")), "left")
     fine = F.lit(True)
     for k, v in _ratios().items():
-        fine = fine & (v <= F.col(f"_hi_{k}")) & (v >= F.col(f"_lo_{k}"))
-    return out.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(fine, F.lit(False))).drop(*other.columns)
+        fine = fine & (v <= F.col(f"hi_{k}")) & (v >= F.col(f"lo_{k}"))
+    return out.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(fine, F.lit(False)))
 
 
 def verdicts(docs: DataFrame, least: int = LEAST, spreads: float = SPREADS) -> DataFrame:
@@ -123,13 +123,14 @@ def verdicts(docs: DataFrame, least: int = LEAST, spreads: float = SPREADS) -> D
     each row of docs. Null and empty texts have no words, and fail. Null languages and sources are values
     like others. Repeated rows count each. Two different runs of words share a 64-bit hash within one text
     with a chance of about n^2 / 10^19."""
-    measured = written(measure(docs.select("doc_id", "lang", "source", "text")).drop("text"), "measures")
+    measured = measure(docs.select("doc_id", "lang", "source", "text"))
+    measured = written(measured.withColumn("_row", F.struct("_row.doc_id")), "measures")
     table = written(limits(sketches(measured), least, spreads), "limits")
-    return _judge(measured, table).select("doc_id", *[F.col("_" + c).alias(c) for c in BASE], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    return _judge(measured, table).select("_row.doc_id", *[F.col("_" + c).alias(c) for c in BASE], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def keep(docs: DataFrame, least: int = LEAST, spreads: float = SPREADS) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
     measured = measure(docs)
     table = written(limits(sketches(measured), least, spreads), "limits")
-    return _judge(measured, table).where("_kept").select(*docs.columns)
+    return _judge(measured, table).where("_kept").select("_row.*")

@@ -25,7 +25,7 @@ def op1_mixing(spark, sf_dir):
 
 
 def op2_sharding(spark, sf_dir):
-    return sharding.place(read(spark, sf_dir, "documents").select("doc_id")).select("doc_id", F.col("_slot").alias("slot"), F.col("_shard").alias("shard"))
+    return sharding.place(read(spark, sf_dir, "documents").select("doc_id")).select("row.doc_id", "slot", "shard")
 
 
 def op3_hmm(spark, sf_dir):
@@ -42,7 +42,7 @@ def op5_packing(spark, sf_dir):
 
 def op6_substrings(spark, sf_dir):
     """The text that is left of every document, and how many sentences went."""
-    return substrings.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.col("_removed").alias("n_removed"), "text")
+    return substrings.removed(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op7_toxicity(spark, sf_dir):

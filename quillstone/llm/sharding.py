@@ -52,7 +52,10 @@ def lookup_table(spark: SparkSession, shards: list[str], slots: int = SLOTS) ->
 
 
 def place(docs: DataFrame, shards: list[str] | None = None, slots: int = SLOTS, key: str = "doc_id") -> DataFrame:
-    """docs with _slot and _shard. Rows without a key share one slot; repeated rows share theirs. Nothing
-    is shuffled: the table has ``slots`` rows, whatever the input."""
-    table = lookup_table(docs.sparkSession, shards or names(), slots).select(F.col("slot").alias("_slot"), F.col("shard").alias("_shard"))
-    return docs.withColumn("_slot", md5_long(docs[key].cast("string")) % slots).join(F.broadcast(table), "_slot").select(*docs.columns, "_slot", "_shard")
+    """(row, slot, shard): each row of docs as a struct, with its place. Rows without a key share one slot;
+    repeated rows share theirs; an empty table gives none. Nothing is shuffled: the table has ``slots``
+    rows, whatever the input."""
+    table = lookup_table(docs.sparkSession, shards or names(), slots)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    slot = md5_long(F.col("row").getField(key).cast("string")) % slots
+    return rows.withColumn("slot", slot).join(F.broadcast(table), "slot").select("row", "slot", "shard")

@@ -126,6 +126,7 @@ def first_of_each(docs: DataFrame, **settings) -> DataFrame:
     (of rows that share an id, that with the least hash of its text). Groups without any id keep none."""
     groups = near_duplicates(docs, **settings)
     kept = written(groups.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct(), "kept")
-    place = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    out = docs.join(kept, docs["doc_id"] == F.col("_id"), "left_semi").withColumn("_place", F.row_number().over(place))
-    return out.where("_place = 1").select(*docs.columns)
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
+    rows = rows.join(kept, F.col("_row.doc_id") == F.col("_id"), "left_semi")
+    place = Window.partitionBy("_row.doc_id").orderBy(F.xxhash64("_row.text"))
+    return rows.withColumn("_place", F.row_number().over(place)).where("_place = 1").select("_row.*")

@@ -93,13 +93,23 @@ def spans(docs: DataFrame, several: int = SEVERAL, words: int = WORDS) -> DataFr
 
 
 def deduplicate(docs: DataFrame, several: int = SEVERAL, words: int = WORDS) -> DataFrame:
-    """docs with the sentences removed from text, and _removed, how many; a row for each row of docs.
+    """docs with the sentences removed from text; a row for each row of docs, with the columns of docs.
 
     The first occurrence is that of the least doc_id (null last), then of the first sentence. Null and
     empty texts stay as they are, as do texts of fewer than ``several`` sentences. Rows that repeat both
     id and text are one document, and each of them keeps what it keeps. Of copies under different ids, the
     least keeps its text, and the others keep the last sentences of a text that is too short for a run.
     """
+    return _cut(docs, several, words).select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
+
+
+def removed(docs: DataFrame, several: int = SEVERAL, words: int = WORDS) -> DataFrame:
+    """(doc_id, n_removed, text): how many sentences went, and what is left."""
+    return _cut(docs, several, words).select(F.col("_row.doc_id").alias("doc_id"), F.col("_removed").alias("n_removed"), "text")
+
+
+def _cut(docs: DataFrame, several: int, words: int) -> DataFrame:
+    """(_row, text, _removed): _row has docs' other columns, so their names can't clash."""
     runs = written(spans(docs, several, words), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "first")
     seen = runs.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("origin")).where("times > 1")
@@ -122,5 +132,4 @@ def deduplicate(docs: DataFrame, several: int = SEVERAL, words: int = WORDS) ->
                 removed.append(len(drop))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string()), pa.array(removed, pa.int64())], names=["_row", "text", "_removed"])
 
-    out = joined.mapInArrow(cut, joined.select("_row", "text").schema.add("_removed", "long"))
-    return out.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in names], "_removed")
+    return joined.mapInArrow(cut, joined.select("_row", "text").schema.add("_removed", "long"))

@@ -193,9 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, units: int = UNI
     return model
 
 
-def passages(docs: DataFrame, model: Model) -> DataFrame:
-    """docs' columns with _score and _passages: the significant segments as (first word, last word,
-    score), in order. Null and empty texts have no words; they get the score of a text without hits."""
+def _scanned(docs: DataFrame, model: Model) -> DataFrame:
+    """(_row, text, _score, _passages): _row has docs' other columns, so their names can't clash."""
     slim = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("_row"), docs["text"].cast("binary").alias("_text"), docs["text"])
     passage = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("score", T.DoubleType())])
     schema = slim.select("_row", "text").schema.add("_score", "double").add("_passages", T.ArrayType(passage))
@@ -211,10 +210,24 @@ def passages(docs: DataFrame, model: Model) -> DataFrame:
                 found.append([{"first": a, "last": z, "score": x} for x, a, z in s if model.features(n, [(x, a, z)])[1] > 0])
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores, pa.float64()), pa.array(found, arrow)], names=["_row", "text", "_score", "_passages"])
 
-    out = slim.mapInArrow(run, schema)
-    return out.select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns], "_score", "_passages")
+    return slim.mapInArrow(run, schema)
+
+
+def _columns(docs: DataFrame) -> list:
+    return [F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
+
+
+def passages(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, score, passages), a row for each row of docs: the significant segments as (first word, last
+    word, score), in order. Null and empty texts have no words; they get the score of a text without hits."""
+    return _scanned(docs, model).select(F.col("_row.doc_id").alias("doc_id"), F.col("_score").alias("score"), F.col("_passages").alias("passages"))
+
+
+def clean(docs: DataFrame, model: Model, below: float = 0.5) -> DataFrame:
+    """The rows of docs that score less, with their columns."""
+    return _scanned(docs, model).where(F.col("_score") < below).select(*_columns(docs))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, score): a row for each row of docs; only the id and the text are read."""
-    return passages(docs.select("doc_id", "text"), model).select("doc_id", F.col("_score").alias("score"))
+    return passages(docs.select("doc_id", "text"), model).select("doc_id", "score")
