@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.llm import hmm, mixing, packing, quality, sharding, simhash, substrings, suffixes, toxicity, vectors
 from quillstone.llm.common import read
+from quillstone.llm.oracles import ORACLES  # noqa: F401
 
 
 def tokenizer_path() -> str:
@@ -64,6 +65,3 @@ def op10_suffixes(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_hmm, op4_quality, op5_packing, op6_substrings, op7_toxicity, op8_vectors, op9_simhash, op10_suffixes)}
-
-#: DuckDB SQL for those that SQL can express.
-ORACLES: dict = {}
