@@ -326,6 +326,7 @@ def _edges(docs: DataFrame, met: DataFrame, length: int, gram: int) -> DataFrame
     rows = contexts.where("big").select("doc", "key", "start", "context").mapInArrow(windows, "w binary, doc long, key long, start int")
     place = F.struct("doc", "key", "start")
     least = rows.groupBy("w").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").select(F.col("w").alias("_w"), "least")
+    least = written(least, "windows")  # a table, so that the join below is of two plain shuffles, which can be split
     unusual = rows.join(least.hint("merge"), F.col("w") == F.col("_w")).where(place != F.col("least")).select("key", "start", (F.col("start") + length).alias("end"))
     out = written(usual.unionByName(unusual), "edges")
     discard(contexts)
