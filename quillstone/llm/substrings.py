@@ -113,8 +113,10 @@ def _cut(docs: DataFrame, several: int, words: int) -> DataFrame:
     runs = written(spans(docs, several, words), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "first")
     seen = runs.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("origin")).where("times > 1")
-    # Runs of a very frequent passage share a key on this side; adaptive execution splits such partitions.
-    again = runs.join(seen.select("hash", "origin").hint("merge"), "hash").where(place != F.col("origin"))
+    # Runs of a very frequent passage share a key. As the other side is a table of its own, both sides of the
+    # join are plain shuffles, of which adaptive execution splits the skewed partitions.
+    seen = written(seen.select("hash", "origin"), "repeated")
+    again = runs.join(seen.hint("merge"), "hash").where(place != F.col("origin"))
     gone = again.groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("_gone")).withColumnRenamed("key", "_of")
 
     names = docs.columns
