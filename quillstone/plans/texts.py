@@ -130,7 +130,7 @@ _KIND = "CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN p_size::VARCHAR WHEN 2 TH
 
 
 @query(rf"""WITH p AS (SELECT p_partkey, {_KIND} AS v FROM part) SELECT p_partkey, CASE WHEN trim(v) IN ('', '-', '–', '—') THEN 'empty' WHEN regexp_full_match(trim(v), '[-+±]?\d+(?:[.,]\d+)*') THEN 'number'
-  WHEN regexp_full_match(trim(v), '[-+±]?\d+(?:[.,]\d+)*\s*(?:–|-|to|~|\.\.\.?)\s*[-+±]?\d+(?:[.,]\d+)*') THEN 'range' ELSE 'expression' END AS kind FROM p""")
+  WHEN regexp_full_match(trim(v), '[-+±]?\d+(?:[.,]\d+)*\s*(?:-|–|to|~|\.\.\.?)\s*[-+±]?\d+(?:[.,]\d+)*') THEN 'range' WHEN regexp_matches(v, '\d') THEN 'expression' ELSE 'empty' END AS kind FROM p""")
 def value_kind(spark, sf):
     v = F.expr("case p_partkey % 5 when 0 then '' when 1 then string(p_size) when 2 then concat(p_size, ' - ', p_size + 3) when 3 then '0.5*x' else concat('-', p_size, ',5') end")
     return read(spark, sf, "part").select("p_partkey", un.value_kind(v).alias("kind"))

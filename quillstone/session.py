@@ -37,6 +37,14 @@ def shared_dir(spark: SparkSession) -> str:
     raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
 
 
+def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of an Arrow batch, at most, from now on in this session. Texts are long: the usual ten thousand of
+    them are held several times over by every worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends there, and lost
     executors lose nothing of it."""
