@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import row_key
-from quillstone.session import discard, written
+from quillstone.session import arrow_batches, discard, written
 
 LENGTH = 100
 GRAM = 24
@@ -264,6 +264,7 @@ def _edges(docs: DataFrame, met: DataFrame, length: int, gram: int) -> DataFrame
     """(key, start, end): what windows on anchors with several contexts cover."""
     open_ = met.where("h is not null")
     sizes = open_.groupBy("h").agg(F.count("*").alias("contexts")).where(F.col("contexts") > GROUP).select(F.col("h").alias("_h"), F.lit(True).alias("big"))
+    sizes = written(sizes, "big-anchors")  # a table, so that the join is of two plain shuffles, which can be split
     lists = open_.join(sizes.hint("merge"), F.col("h") == F.col("_h"), "left").groupBy("key").agg(F.collect_list(F.struct("h", "pos", F.coalesce("big", F.lit(False)).alias("big"))).alias("asked"))
     texts = docs.join(lists.withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
 
@@ -359,6 +360,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: b
     are one document and get one result; rows that share an id but not the text come in the order of a
     hash. Texts below ``length`` bytes lose nothing. A cut may fall within a character: kept is bytes.
     """
+    arrow_batches(docs.sparkSession)
     text = F.coalesce(docs["text"], F.lit("")).cast("binary")
     slim = docs.select(docs["doc_id"].cast("long").alias("doc"), row_key(docs["doc_id"], docs["text"]).alias("key"), text.alias("text"))
     found = covered(slim, length, gram).withColumnRenamed("key", "_key")
