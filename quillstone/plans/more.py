@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from quillstone.catalog import query, read
 from quillstone.functions import calc
 from quillstone.functions import metadata as md
+from quillstone.functions import statements as st
 from quillstone.functions import text as tx
 from quillstone.functions import units as un
 from quillstone.operators import grounding as gr
@@ -136,12 +137,12 @@ def visual_lines(spark, sf):
     return gr.visual_lines(_words(spark, sf)[1]).select("doc_id", "text")
 
 
-@query("""WITH p AS (SELECT o_custkey AS page, o_orderkey AS a, s_suppkey AS b, round(((o_orderkey * 7 + s_suppkey * 13) % 101) / 100.0::DOUBLE, 4) AS score FROM orders JOIN supplier ON s_suppkey % 7 = o_orderkey % 7),
+@query("""WITH p AS (SELECT o_custkey AS page, o_orderkey AS a, s_suppkey AS b, round(((o_orderkey * 7 + s_suppkey * 13) % 101) / 100.0::DOUBLE, 4) AS score FROM orders JOIN supplier ON s_suppkey % 7 = o_orderkey % 7 AND s_suppkey <= 20),
  n AS (SELECT *, row_number() OVER (PARTITION BY page, a ORDER BY score DESC, b) AS n, lead(score) OVER (PARTITION BY page, a ORDER BY score DESC, b) AS nxt FROM p),
  t AS (SELECT *, row_number() OVER (PARTITION BY page, b ORDER BY score DESC, a) AS o FROM n WHERE n = 1 AND score >= 0.5 AND (nxt IS NULL OR score - nxt > 0.15))
 SELECT page, a, b, score FROM t WHERE o = 1""")
 def table_match(spark, sf):
-    j = read(spark, sf, "orders").join(small(read(spark, sf, "supplier")), F.expr("s_suppkey % 7 = o_orderkey % 7"))
+    j = read(spark, sf, "orders").join(small(read(spark, sf, "supplier")), F.expr("s_suppkey % 7 = o_orderkey % 7 and s_suppkey <= 20"))
     return gr.match_tables(j.selectExpr("o_custkey as page", "o_orderkey as a", "s_suppkey as b", "round(((o_orderkey * 7 + s_suppkey * 13) % 101) / 100.0D, 4) as score"))
 
 
@@ -160,3 +161,17 @@ def glossary_hints(spark, sf):
     w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))
     hints = F.array_compact(F.array(*[F.when(F.arrays_overlap("w", F.array(*[F.lit(x) for x in names])), k) for k, names in entries]))
     return read(spark, sf, "benchmark").select("item_id", w.alias("w")).select("item_id", F.explode(hints).alias("hint"))
+
+
+@query("SELECT event_id, event_id % 3 <> 1 AS framing FROM events WHERE event_id % 10 = 0")
+def framing_sentences(spark, sf):
+    e = F.expr("case event_id % 3 when 0 then 'Sure, here it is:' when 1 then concat('The delay is ', event_id + 10, ' ns here.') else 'Hello there friends' end")
+    return read(spark, sf, "events").where("event_id % 10 = 0").select("event_id", st.framing(e).alias("framing"))
+
+
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'conflict' WHEN 2 THEN 'conflict' ELSE 'absent' END AS verdict FROM lineitem WHERE l_orderkey % 10 = 1")
+def judge_facts(spark, sf):
+    """A value in another unit is right; a negated one and another one conflict; another parameter's doesn't count."""
+    li = read(spark, sf, "lineitem").where("l_orderkey % 10 = 1")
+    said = F.expr("case l_linenumber % 4 when 0 then concat('tRFC is ', int(l_quantity) * 1000, ' ps [1].') when 1 then concat('tRFC is not ', int(l_quantity), ' ns.') when 2 then concat('tRFC is ', int(l_quantity) + 500, ' ns.') else concat('tXX is ', int(l_quantity), ' ns.') end")
+    return li.select("l_orderkey", "l_linenumber", st.judge_fact(said, F.lit("tRFC"), F.col("l_quantity").cast("int").cast("string"), F.lit("ns")).alias("verdict"))

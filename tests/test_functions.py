@@ -203,3 +203,78 @@ def test_sql_functions(spark, sf):
     assert (row.t, row.f, row.s, row.b) == (6, "hizi", ["ivme"], "s")
     assert spark.sql("SELECT c.ordinal, c.text FROM (SELECT 'one\n\ntwo' AS t) x, LATERAL chunk_text(t) c").collect()[0].text == "one\n\ntwo"
     assert spark.sql("SELECT count(*) FROM documents").first()[0] == 200
+
+
+def test_metadata(spark):
+    from quillstone.functions import metadata as md
+
+    names = ["JESD79-4C", "PCIe_Base_5.0_r1.0", "PCIe CEM 5.0", "PCIe Base 5.0 Errata", "Layout Guide rev B June 2021"]
+    assert texts(spark, names, md.series) == ["jesd79-4", "pci express base", "pci express cem", "pci express base", "layout guide june"]
+    assert texts(spark, names, md.revision) == ["C", "1.0", "", "", "B"]
+    assert texts(spark, names, md.doc_type) == ["base", "base", "base", "errata", "guide"]
+    assert texts(spark, ["x 2021-03", "March 2020", "1999", "none"], md.date) == ["2021-03", "2020-03", "1999", ""]
+    assert texts(spark, ["PCIe_Base_5.0_r1.0", "v3"], md.version) == ["5.0", ""]
+    assert [tuple(b) for b in texts(spark, ["a/b/c.txt", "c.txt", "/x/y.txt", "C:\\x\\y"], md.bucket)] == [("a", "b"), ("", ""), ("", ""), ("", "")]
+
+
+def test_calculator():
+    from quillstone.functions import calc
+
+    assert calc.evaluate("2 × (3 + 4)^2 - sqrt(16)") == 94
+    for bad in ("__import__('os')", "2**1000", "x", "(1).real", "1+" * 200 + "1"):
+        with pytest.raises((ValueError, SyntaxError)):
+            calc.evaluate(bad)
+    inputs, ok = calc.trace("350 * 1e-9 * 4", [(1, "is 0,35 µs"), (2, "350 there")])
+    assert ok and inputs == [{"value": "350", "sources": [2]}]
+    assert calc.trace("4 * 4", [(1, "4")]) == ([], False) and not calc.trace("99 + 1", [(1, "98")])[1]
+    assert calc.json_in('x {bad {"a": {"b": "}"}} y') == {"a": {"b": "}"}} and calc.json_in("none") is None
+    text = "\n".join(["head", *[f"line {i} filler words" for i in range(40)], "tRFC 295 here", "tail"])
+    cut = calc.excerpt(text, "value 295 of tRFC", 120)
+    assert len(cut) <= 120 and "295" in cut and cut.startswith("head") and "[...]" in cut
+    words = {"caresses": "caress", "ponies": "poni", "relational": "relat", "hopping": "hop", "filing": "file", "happy": "happi", "generalizations": "gener", "controlling": "control"}
+    assert {w: calc.stem(w) for w in words} == words
+
+
+def test_statements():
+    from quillstone.functions.statements import is_framing, judge
+
+    assert is_framing("Sure, here it is:") and is_framing("Hello there my friend") and is_framing("**Note**")
+    assert not is_framing("The delay is 350 ns.") and not is_framing("Hello, DDR5 has ODT always.") and not is_framing("It is so [1].")
+    assert judge("tRFC is 0.35 µs [2]", ["tRFC"], "350", "ns") == "correct"
+    assert judge("tRFC is not 350 ns", ["tRFC"], "350", "ns") == "conflict" and judge("tRFC is 295 ns", ["tRFC"], "350", "ns") == "conflict"
+    assert judge("tXX is 350 ns", ["tRFC"], "350", "ns") == "absent" and judge("max tRFC is 350 ns", ["tRFC"], "350", "ns", "min") == "conflict"
+
+
+def test_table_quantities_and_kinds(spark):
+    assert [(q["number"], q["unit"]) for q in un.table_quantities_of("tRFC, | 295 | - | ns")] == [("295", "ns")]
+    assert un.table_quantities_of("tX | 4 | nCK") == []
+    assert [q["values"][0] for q in un.table_quantities_of("| P | Min (V) |\n|---|---|\n| x | 1.2 |")] == [1.2]
+    assert texts(spark, ["-", "n/a", "12", "1 to 2", "0.5 x VDD", "abc"], un.value_kind) == ["empty", "empty", "number", "range", "expression", "empty"]
+    assert un.format_si(3.5e-7, "s") == "350 ns" and un.format_si(0, "V") == "0 V"
+
+
+def test_grounding():
+    from quillstone.operators import grounding as gr
+
+    word = lambda x, y, t: {"x0": x, "y0": y, "x1": x + 40, "y1": y + 10, "text": t}
+    page = [word(0, 0, "Symbol"), word(100, 0, "Min"), word(200, 0, "Max"), word(0, 20, "tRFC"), word(100, 20, "295ns"), word(200, 20, "350"), word(0, 40, "tXX"), word(200, 40, "350")]
+    assert gr.norm_tokens("DDR4-3200") == ["ddr4", "3200"] and gr.norm_tokens("295ns") == ["295", "ns"] and gr.norm_tokens("1,2") == ["1.2"] and gr.norm_tokens("-40") == ["-40"]
+    assert gr.ground_cell(page, "350", "tRFC", "Max") == "grounded" and gr.ground_cell(page, "295", "tRFC", "Min") == "grounded"
+    assert gr.ground_cell(page, "351", "tRFC", "Max") == "conflict" and gr.ground_cell(page, "350", "tZZ", "Max") == "not_found" and gr.ground_cell([], "1", "a", "b") == "no_text_layer"
+
+
+def test_records(spark, tmp_path):
+    from quillstone.sources import records
+
+    items = records.gold_items(spark, "- question: A?\n  expected_doc: x\n  expected_page: 3\n  facts: [{parameter: tRFC, value: 350, unit: ns}]\n  keywords: [a, [b, c]]\n- question: B?\n  answerable: false").collect()
+    assert (items[0].document, items[0].pages, items[0].facts[0].value, items[0].keywords, items[1].answerable) == ("x", [3], "350", [["a"], ["b", "c"]], False)
+    with pytest.raises(ValueError):
+        records.gold_items(spark, "- {x: 1}")
+    (tmp_path / "a.json").write_text('{"id": "a", "rating": "up", "question": "q", "sources": [{"n": 1, "file": "f", "page_start": 2}]}')
+    (tmp_path / "b.json").write_text('{"id": "b", "rating": "down", "question": "r", "correction": {"value": "5", "unit": "ns", "page": 0}}')
+    (tmp_path / "c.json").write_text("{broken")
+    (tmp_path / "d.json").write_text('{"id": "d", "question": "s", "unanswerable": true}')
+    (tmp_path / "e.json").write_text('{"id": "e", "question": "t", "rating": "down"}')
+    made = records.candidate_items(records.json_records(spark, str(tmp_path), records.FEEDBACK))
+    assert {(r.id, r.answerable, r.document, r.page, r.value) for r in made.collect()} == {("a", True, "f", 2, None), ("b", True, None, None, "5"), ("d", False, None, None, None)}
+    assert "answerable: false" in records.yaml_of(made)
