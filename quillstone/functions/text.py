@@ -30,6 +30,18 @@ TURKISH_WORDS = (
 LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st")]
 
 
+# Fixed values, patterns: a citation and its parts, a number that stands alone, a list's mark, where sentences end,
+# and what looks like an end but is an abbreviation or an initial.
+CITATION = r"\[(\d+(?:\s*[,–-]\s*\d+)*)\]"
+NUMBER = r"(?<![\p{L}\p{N}_.,])(0x[0-9a-fA-F]+|\d+(?:[.,]\d+)*)"
+LIST_MARK = r"^(\s*(?:[-*•]|\d+[.)])\s+)"
+SENTENCE_END = r"(?<=[.!?])\s+(?=\S)"
+ABBREVIATION = (
+    r"(?i)(?:\b(?:e\.g|i\.e|figs?|nos?|approx|min|max|typ|vs|cf|sec|eq|rev|ref|vol|pp|ch|etc|incl|resp|ca|örn|vb|bkz|yy|nom)\."
+    r"|(?<![\w.])(?<!\d )[A-Za-z]\.)$"
+)
+
+
 def lower_safe(text: Column) -> Column:
     """Lower case in which a dotted capital I becomes one letter."""
     return F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
@@ -109,7 +121,7 @@ SCRUB = [
 
 def citations(text: Column) -> Column:
     """Numbers cited as [1], [2,3] or [4-6]; a range is expanded if it has fewer than 50 steps, else dropped."""
-    groups = F.regexp_extract_all(text, F.lit(r"\[(\d+(?:\s*[,–-]\s*\d+)*)\]"), F.lit(1))
+    groups = F.regexp_extract_all(text, F.lit(CITATION), F.lit(1))
     parts = F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*,\s*")))
 
     def expand(part: Column) -> Column:
@@ -123,26 +135,22 @@ def citations(text: Column) -> Column:
 
 def bare_numbers(text: Column) -> Column:
     """Numbers that stand alone, without citations, list marks and single digits."""
-    text = F.regexp_replace(text, r"\[(\d+(?:\s*[,–-]\s*\d+)*)\]", " ")
-    text = F.regexp_replace(text, r"^(\s*(?:[-*•]|\d+[.)])\s+)", " ")
-    found = F.regexp_extract_all(text, F.lit(r"(?<![\p{L}\p{N}_.,])(0x[0-9a-fA-F]+|\d+(?:[.,]\d+)*)"), F.lit(1))
+    text = F.regexp_replace(text, CITATION, " ")
+    text = F.regexp_replace(text, LIST_MARK, " ")
+    found = F.regexp_extract_all(text, F.lit(NUMBER), F.lit(1))
     return F.filter(found, lambda n: ~n.rlike(r"^\d$"))
 
 
 def sentences(text: Column) -> Column:
     """Sentences; a part that ends in an abbreviation or a single letter goes on with the next one."""
-    parts = F.split(text, r"(?<=[.!?])\s+(?=\S)")
-    short = (
-        r"(?i)(?:\b(?:e\.g|i\.e|figs?|nos?|approx|min|max|typ|vs|cf|sec|eq|rev|ref|vol|pp|ch|etc|incl|resp|ca|örn|vb|bkz|yy|nom)\."
-        r"|(?<![\w.])(?<!\d )[A-Za-z]\.)$"
-    )
+    parts = F.split(text, SENTENCE_END)
     last = lambda a: F.element_at(a, -1)
     empty = F.array().cast("array<string>")
     return F.aggregate(
         parts,
         empty,
         lambda a, p: F.when(
-            (F.size(a) > 0) & last(a).rlike(short), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat_ws(" ", last(a), p)))
+            (F.size(a) > 0) & last(a).rlike(ABBREVIATION), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.concat_ws(" ", last(a), p)))
         ).otherwise(F.concat(a, F.array(p))),
     )
 

@@ -38,7 +38,7 @@ def headers_footers(lines: DataFrame, edge: int = 3, least_pages: int = 4) -> Da
     return j.withColumn("dropped", (F.col("pages") >= least_pages) & (exact | number)).select(*lines.columns, "dropped")
 
 
-#: A line that ends in dot leaders or a wide gap, and a page number.
+# Fixed value, a pattern: a line that ends in dot leaders or a wide gap, and a page number.
 LEADER = r"(\.\s?){4,}\s*[0-9ivxlcIVXLC]+\s*$|\s{3,}[0-9]+\s*$"
 
 
@@ -55,9 +55,12 @@ def clean(lines: DataFrame) -> DataFrame:
     return kept.join(toc_pages(kept).select("doc_id", "page"), ["doc_id", "page"], "left_anti")
 
 
-#: Words that begin a unit, so "3.3 V supply" is no heading.
+# Fixed values, patterns: words that begin a unit, so "3.3 V supply" is no heading; a heading by keyword, and by number.
 _UNIT = r"^(?:ns|ps|us|µs|ms|s|mV|V|mA|A|W|mW|kHz|MHz|GHz|Hz|kbps|Mbps|Gbps|Gb/s|Mb/s|GT/s|ohm|Ω|pF|nF|uF|dB|mm|mil|bits?|bytes?|UI|%)\b"
 
+_KEYWORD = r"(?i)^(?:Chapter|Section|Appendix|Annex|Attachment|Part)\s+([A-Z0-9]{1,3}(?:\.\d{1,3})*)\s*[.:\-–—]?\s*([^\n]{0,118})$"
+_NUMBERED = r"^((?:\d{1,2}|[A-Z])(?:\.\d{1,3}){0,7})\.?\s{1,6}([A-Z][^\n]{1,118})$"
+
 
 def heading(line: Column, alone: Column) -> Column:
     """struct(level, title) if a line is a heading, else null: '# ...' marks, keywords with a number, or
@@ -65,8 +68,7 @@ def heading(line: Column, alone: Column) -> Column:
     x = F.trim(line)
     marks = F.regexp_extract(x, r"^(#{1,6})\s+(.+)$", 1)
     marked = F.trim(F.regexp_extract(x, r"^(#{1,6})\s+(.+)$", 2))
-    keyword = r"(?i)^(?:Chapter|Section|Appendix|Annex|Attachment|Part)\s+([A-Z0-9]{1,3}(?:\.\d{1,3})*)\s*[.:\-–—]?\s*([^\n]{0,118})$"
-    numbered = r"^((?:\d{1,2}|[A-Z])(?:\.\d{1,3}){0,7})\.?\s{1,6}([A-Z][^\n]{1,118})$"
+    keyword, numbered = _KEYWORD, _NUMBERED
     dots = lambda n: F.length(n) - F.length(F.replace(n, F.lit("."), F.lit("")))
     kw, num, title = F.regexp_extract(x, keyword, 1), F.regexp_extract(x, numbered, 1), F.trim(F.regexp_extract(x, numbered, 2))
     plain = dots(num) == 0
