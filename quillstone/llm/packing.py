@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import join_small
-from quillstone.session import written
+from quillstone.session import arrow_batches, written
 
 END = 0
 
@@ -89,6 +89,7 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 1024, end: int = END) ->
     A null text is an empty one, and has the end id alone. Repeated rows are packed as often as they
     occur, each for itself. An empty table gives no pieces.
     """
+    arrow_batches(docs.sparkSession)
     tokens = written(tokenized(docs, tokenizer, end), "tokens")
     parts = tokens.groupBy("part").agg(F.sum("n").alias("total"))  # a row for each partition of the input
     before = F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))

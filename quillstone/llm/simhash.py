@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import components
-from quillstone.session import written
+from quillstone.session import arrow_batches, written
 
 SEED = 42
 
@@ -46,6 +46,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
             fps = [_fingerprint(x, shingle) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
+    arrow_batches(docs.sparkSession)
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("binary").alias("text"))
     return slim.mapInArrow(run, "doc_id long, fp long")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import row_key
-from quillstone.session import written
+from quillstone.session import arrow_batches, written
 
 SEVERAL = 3
 WORDS = 15
@@ -110,6 +110,7 @@ def removed(docs: DataFrame, several: int = SEVERAL, words: int = WORDS) -> Data
 
 def _cut(docs: DataFrame, several: int, words: int) -> DataFrame:
     """(_row, text, _removed): _row has docs' other columns, so their names can't clash."""
+    arrow_batches(docs.sparkSession)
     runs = written(spans(docs, several, words), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "first")
     seen = runs.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("origin")).where("times > 1")
