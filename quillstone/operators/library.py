@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quillstone.operators.bounds import numbered
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], recency: list[Column]) -> DataFrame:
     """One row for each key: the newest of both sides."""
@@ -28,7 +30,7 @@ def replace_partition(table: DataFrame, path: str, by: str) -> None:
 
 def clone(rows: DataFrame, id_col: str, first_id: int, order: list[Column], **changes) -> DataFrame:
     """Copies of rows under new ids from first_id on."""
-    out = rows.withColumn("_nth", F.row_number().over(Window.orderBy(*order)) - 1)
+    out = numbered(rows, order, "_nth")
     out = out.withColumn(id_col, (F.lit(first_id) + F.col("_nth")).cast("long")).drop("_nth")
     return out.withColumns({k: F.lit(v) for k, v in changes.items()})
 
@@ -163,8 +165,8 @@ def scope(docs: DataFrame, buckets: list[str] | None, doc_ids: list[int] | None,
     if entities:
         return out(pool.where(tagged), "entity")
     if routed:
-        n = F.sum(F.col("domain").isin(routed).cast("int")).over(Window.partitionBy())
-        marked = pool.withColumn("_n", n)
+        n = pool.agg(F.count_if(F.col("domain").isin(routed)).alias("_n"))
+        marked = pool.join(F.broadcast(n))  # one row
         return marked.where(F.col("domain").isin(routed) | (F.col("_n") == 0)).select("doc_id", F.when(F.col("_n") > 0, "domain").otherwise("all").alias("reason"))
     return out(pool, "all")
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
-from quillstone.operators.bounds import small
+from quillstone.operators.bounds import is_small, small
 
 
 def postings(rows: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
@@ -21,12 +21,6 @@ def postings(rows: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
     return each.groupBy(key, "term").agg(F.sum("w").alias("tf"))
 
 
-def lengths(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(key, len): terms over all fields. No shuffle."""
-    total = sum((F.size(tx.terms(F.coalesce(F.col(f), F.lit("")))) for f in fields[1:]), F.size(tx.terms(F.coalesce(F.col(fields[0]), F.lit("")))))
-    return rows.select(key, total.cast("long").alias("len"))
-
-
 def idf(n: Column, df: Column) -> Column:
     """ln((N - n + 0.5) / (n + 0.5)), at least a millionth."""
     x = F.log((n - df + 0.5) / (df + 0.5))
@@ -36,18 +30,28 @@ def idf(n: Column, df: Column) -> Column:
 def bm25(rows: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, k: int, scope: DataFrame | None = None, digits: int = 8) -> DataFrame:
     """(query_id, key, score, rank): the k best rows for each query (query_id, terms).
 
-    Only postings of asked terms leave the scan: the distinct terms are joined on first, then counted for
-    idf. Corpus size and mean length cover all rows, also under a scope (key), which restricts before
-    ranking. Ties go to the lesser key, after rounding.
+    Only asked terms leave the scan, each with its row's length, so lengths need no join; what is shuffled are
+    a row's counts of those terms. Corpus size and mean length cover all rows, also under a scope (key), which
+    restricts before ranking. Ties go to the lesser key, after rounding.
     """
     asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    found = postings(rows, key, fields).join(small(asked.select("term").distinct()), "term")
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
-    size = lengths(rows, key, list(fields))
-    stats = size.agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))
+    wanted = asked.select("term").distinct()
+    few = is_small(wanted)
+    hint = F.broadcast if few else (lambda x: x)
+    terms = {f: tx.terms(F.coalesce(F.col(f), F.lit(""))) for f in fields}
+    total = sum((F.size(t) for t in list(terms.values())[1:]), F.size(next(iter(terms.values())))).cast("long")
+    each = None
+    for f, weight in fields.items():
+        # Length and terms first: in one projection with explode, the length would be found anew for every term.
+        one = rows.select(key, total.alias("len"), terms[f].alias("t")).select(key, "len", F.explode("t").alias("term"), F.lit(float(weight)).alias("w"))
+        one = one.join(hint(wanted), "term")
+        each = one if each is None else each.unionByName(one)
+    found = each.groupBy(key, "term", "len").agg(F.sum("w").alias("tf"))
+    df = found.groupBy("term").agg(F.count("*").alias("df"))  # no more rows than asked terms
+    stats = rows.select(total.alias("len")).agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))
     if scope is not None:
         found = found.join(small(scope.select(key).distinct()), key, "left_semi")
-    hits = found.join(df, "term").join(size, key).join(F.broadcast(stats))  # stats: one row
+    hits = found.join(hint(df), "term").join(F.broadcast(stats))  # stats: one row
     weight = idf(F.col("n"), F.col("df")) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
     part = hits.select(key, "term", weight.alias("w"))
     scored = part.join(small(asked), "term").groupBy("query_id", key).agg(F.round(F.sum("w"), digits).alias("score"))
