@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,14 @@ def md5_long(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 15), 16, 10).cast("long")
 
 
+def about(df: DataFrame, want: int, total: int, *key: Column) -> DataFrame:
+    """About ``want`` of ``total`` rows, chosen by a hash of their key; all, if there are no more. Each
+    partition decides for itself, so what comes together is bounded, whatever the number of partitions."""
+    if total <= want:
+        return df
+    return df.where(F.pmod(F.xxhash64(F.lit("about"), *key), F.lit(1 << 30)) < F.lit(math.ceil(want / total * (1 << 30))))
+
+
 def join_small(left: DataFrame, small: DataFrame, on: Column, how: str = "inner", rows: int = 200_000) -> DataFrame:
     """Join with a table that is expected to be small: broadcast only after counting its rows, else a
     shuffled join, in which adaptive execution splits hot keys."""

@@ -23,10 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillstone.llm.common import md5_long
-from quillstone.session import written
+from quillstone.llm.common import about
+from quillstone.session import arrow_batches, written
 
-#: Labelled rows of each class that the classifier is fitted to, at most.
+#: About how many labelled rows of each class the classifier is fitted to, at most.
 SAMPLE = 20_000
 #: Units that the model holds, at most: those with the strongest evidence.
 UNITS = 200_000
@@ -86,11 +86,11 @@ def _scan(text: bytes | None, model: dict[bytes, float], memo: dict[bytes, float
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
-    """(text, toxic): at most ``rows`` labelled documents of each class, chosen by a hash of their id."""
+    """(text, toxic): about ``rows`` labelled documents of each class, chosen by a hash of their id."""
     marked = labels.select(labels["doc_id"].alias("_of"), labels["toxic"].cast("int").alias("toxic")).where("toxic in (0, 1) and _of is not null").distinct()
-    order = md5_long(F.lit("toxic"), F.col("_of"))
-    chosen = [marked.where(F.col("toxic") == x).orderBy(order, "_of").limit(rows) for x in (0, 1)]
-    chosen = written(chosen[0].unionByName(chosen[1]), "toxic-labels")  # twice ``rows`` rows at most
+    sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
+    chosen = [about(marked.where(F.col("toxic") == x), rows, sizes.get(x, 0), F.col("_of")) for x in (0, 1)]
+    chosen = written(chosen[0].unionByName(chosen[1]), "toxic-labels")  # about twice ``rows`` rows at most
     slim = docs.select(docs["doc_id"].alias("_id"), docs["text"].cast("binary").alias("text"))
     return slim.join(F.broadcast(chosen), F.col("_id") == F.col("_of")).select("text", "toxic")
 
@@ -148,6 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, units: int = UNI
     def out(tally):
         return pa.RecordBatch.from_arrays([pa.array([u for u, _ in tally], pa.binary()), pa.array([c if t else 0 for (_, t), c in tally.items()], pa.int64()), pa.array([0 if t else c for (_, t), c in tally.items()], pa.int64())], ["unit", "bad", "good"])
 
+    arrow_batches(docs.sparkSession)
     sample = written(_sample(docs, labels, rows), "toxic-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
@@ -195,6 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, units: int = UNI
 
 def _scanned(docs: DataFrame, model: Model) -> DataFrame:
     """(_row, text, _score, _passages): _row has docs' other columns, so their names can't clash."""
+    arrow_batches(docs.sparkSession)
     slim = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("_row"), docs["text"].cast("binary").alias("_text"), docs["text"])
     passage = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("score", T.DoubleType())])
     schema = slim.select("_row", "text").schema.add("_score", "double").add("_passages", T.ArrayType(passage))
