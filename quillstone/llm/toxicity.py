@@ -33,6 +33,8 @@ UNITS = 200_000
 PRIOR = 1.5
 KEEP = 1.5
 DRIFT = 0.25
+#: Evidence that a unit of its own needs: twice the log-likelihood ratio against the share of toxic documents.
+EVIDENCE = 15.0
 SIGNIFICANT = 0.05
 _EDGES = b".,;:!?\"'()[]{}<>*_~-"
 _PREFIXES = (6, 5, 4)
@@ -149,7 +151,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, units: int = UNI
         return pa.RecordBatch.from_arrays([pa.array([u for u, _ in tally], pa.binary()), pa.array([c if t else 0 for (_, t), c in tally.items()], pa.int64()), pa.array([0 if t else c for (_, t), c in tally.items()], pa.int64())], ["unit", "bad", "good"])
 
     arrow_batches(docs.sparkSession)
-    sample = written(_sample(docs, labels, rows), "toxic-sample")
+    # Copies are one piece of evidence: else the words of a text that was copied often would pass for toxic.
+    sample = written(_sample(docs, labels, rows).dropDuplicates(["text", "toxic"]), "toxic-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model({})
@@ -160,15 +163,19 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, units: int = UNI
     is_prefix = F.substring(unit, size, F.lit(1)) == F.lit(b" ")
     level = lambda k: counts.where(is_prefix & (size == k + 1)) if k else counts.where(~is_prefix)
     share = lambda parent: (F.col("bad") + PRIOR * parent) / (F.col("bad") + F.col("good") + PRIOR)
-    known = level(4).select(unit, share(F.lit(0.5)).alias("q")).withColumn("top", F.col("q"))
+    base, bad, good = sizes[1] / (sizes[0] + sizes[1]), F.col("bad").cast("double"), F.col("good") * (sizes[0] / sizes[1])
+    term = lambda n, rate: F.when(n > 0, n * F.log(n / ((bad + good) * rate))).otherwise(0.0)
+    # A share counts by itself only with evidence: of many rare words, some are in toxic documents by chance.
+    own = lambda q: F.when(2 * (term(bad, base) + term(good, 1 - base)) >= EVIDENCE, q).otherwise(0.0)
+    known = level(4).select(unit, share(F.lit(0.5)).alias("q"), own(share(F.lit(0.5))).alias("top"))
     levels = [known]
     stem = known
     for k in (5, 6, 0):
         above = stem.select(F.col("unit").alias("_stem"), F.col("q").alias("_q"), F.col("top").alias("_top"))
         cut = F.substring(unit, F.lit(1), F.lit(k - 1)) if k else F.substring(unit, F.lit(1), F.least(size, F.lit(6)))
         here = level(k).join(above, F.concat(cut, F.lit(b" ")) == F.col("_stem"), "left")
-        here = here.select(unit, share(F.coalesce("_q", F.lit(0.5))).alias("q"), F.coalesce("_top", F.lit(0.0)).alias("_t"))
-        here = here.select("unit", "q", F.greatest("q", "_t").alias("top"))
+        q = share(F.coalesce("_q", F.lit(0.5)))
+        here = here.select(unit, q.alias("q"), F.greatest(own(q), F.coalesce("_top", F.lit(0.0))).alias("top"))
         levels.append(here)
         stem = here if k else stem
     every = levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3])
