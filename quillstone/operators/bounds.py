@@ -29,3 +29,10 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     before = counts.select("_part", (F.sum("_rows").over(Window.orderBy("_part")) - F.col("_rows")).alias("_before"))
     nth = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
     return part.join(small(before), "_part").withColumn(name, (F.col("_before") + nth - 1).cast("long")).drop("_part", "_before")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out, if its scan has fewer partitions than there are cores: a file in one piece would keep the
+    others idle. Inputs of many files or splits stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() * 2 <= cores else df

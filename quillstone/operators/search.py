@@ -38,17 +38,17 @@ def bm25(rows: DataFrame, key: str, fields: dict[str, float], queries: DataFrame
     wanted = asked.select("term").distinct()
     few = is_small(wanted)
     hint = F.broadcast if few else (lambda x: x)
-    terms = {f: tx.terms(F.coalesce(F.col(f), F.lit(""))) for f in fields}
-    total = sum((F.size(t) for t in list(terms.values())[1:]), F.size(next(iter(terms.values())))).cast("long")
+    # Terms first: in one projection with explode, the length would be found anew for every term.
+    base = rows.select(key, *[tx.terms(F.coalesce(F.col(f), F.lit(""))).alias(f"_t{i}") for i, f in enumerate(fields)])
+    total = sum((F.size(f"_t{i}") for i in range(1, len(fields))), F.size("_t0")).cast("long").alias("len")
     each = None
-    for f, weight in fields.items():
-        # Length and terms first: in one projection with explode, the length would be found anew for every term.
-        one = rows.select(key, total.alias("len"), terms[f].alias("t")).select(key, "len", F.explode("t").alias("term"), F.lit(float(weight)).alias("w"))
+    for i, weight in enumerate(fields.values()):
+        one = base.select(key, total, F.col(f"_t{i}").alias("t")).select(key, "len", F.explode("t").alias("term"), F.lit(float(weight)).alias("w"))
         one = one.join(hint(wanted), "term")
         each = one if each is None else each.unionByName(one)
     found = each.groupBy(key, "term", "len").agg(F.sum("w").alias("tf"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))  # no more rows than asked terms
-    stats = rows.select(total.alias("len")).agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))
+    stats = base.select(total).agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))
     if scope is not None:
         found = found.join(small(scope.select(key).distinct()), key, "left_semi")
     hits = found.join(hint(df), "term").join(F.broadcast(stats))  # stats: one row

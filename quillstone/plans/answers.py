@@ -9,7 +9,7 @@ from quillstone.catalog import query, read
 from quillstone.functions import text as tx
 from quillstone.operators import evaluate, verify
 from quillstone.operators import search as s
-from quillstone.operators.bounds import small
+from quillstone.operators.bounds import small, spread
 from quillstone.plans.search import _bm25_sql, _questions
 from quillstone.streaming import events as ev
 
@@ -115,7 +115,7 @@ def _ranked(spark, sf):
     """The rank of the first document that holds the passage, for each passage that some document holds."""
     d, b = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle"))
     gold = d.join(small(b), F.contains("text", F.col("needle"))).select(F.col("item_id").alias("query_id"), "doc_id")
-    hits = s.bm25(d, "doc_id", {"text": 1.0}, _questions(spark, sf), 8)
+    hits = s.bm25(spread(d), "doc_id", {"text": 1.0}, _questions(spark, sf), 8)
     first = hits.join(gold, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     return gold.select("query_id").distinct().join(first, "query_id", "left")
 

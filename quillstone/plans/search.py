@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillstone.catalog import query, read
 from quillstone.functions import text as tx
 from quillstone.operators import search as s
-from quillstone.operators.bounds import small
+from quillstone.operators.bounds import small, spread
 from quillstone.plans.adapters import CHUNKS, chunks
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
@@ -23,6 +23,10 @@ QUERY_TERMS = f"""qterms AS (
   WHERE nth <= 48)"""
 
 
+def _documents(spark, sf):
+    return spread(read(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+
+
 def _questions(spark, sf):
     return read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), tx.search_terms(F.col("text")).alias("terms"))
 
@@ -50,18 +54,18 @@ _OUT = "query_id, doc_id, score, rank"
 @query(_bm25_sql({"text": 1.0}, 10, columns=_OUT))
 def bm25_topk(spark, sf):
     """The ten best documents for each benchmark passage."""
-    return s.bm25(read(spark, sf, "documents"), "doc_id", {"text": 1.0}, _questions(spark, sf), 10)
+    return s.bm25(_documents(spark, sf), "doc_id", {"text": 1.0}, _questions(spark, sf), 10)
 
 
 @query(_bm25_sql({"text": 1.0, "source": 0.6, "lang": 0.3}, 10, columns=_OUT))
 def bm25_weighted_fields(spark, sf):
-    return s.bm25(read(spark, sf, "documents"), "doc_id", {"text": 1.0, "source": 0.6, "lang": 0.3}, _questions(spark, sf), 10)
+    return s.bm25(_documents(spark, sf), "doc_id", {"text": 1.0, "source": 0.6, "lang": 0.3}, _questions(spark, sf), 10)
 
 
 @query(_bm25_sql({"text": 1.0}, 10, "JOIN documents d ON d.doc_id = p.doc_id AND d.lang = 'en'", _OUT))
 def bm25_scoped(spark, sf):
     """Within one collection; corpus statistics stay global."""
-    d = read(spark, sf, "documents")
+    d = _documents(spark, sf)
     return s.bm25(d, "doc_id", {"text": 1.0}, _questions(spark, sf), 10, d.where("lang = 'en'").select("doc_id"))
 
 
@@ -72,12 +76,12 @@ def fts_terms(spark, sf):
 
 @query(f"SELECT doc_id, term, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY doc_id, term")
 def postings(spark, sf):
-    return s.postings(read(spark, sf, "documents"), "doc_id", {"text": 1.0})
+    return s.postings(_documents(spark, sf), "doc_id", {"text": 1.0})
 
 
 @query(f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest({_TERMS.format('text')}) AS term FROM documents) GROUP BY term")
 def term_doc_freq(spark, sf):
-    p = s.postings(read(spark, sf, "documents"), "doc_id", {"text": 1.0})
+    p = s.postings(_documents(spark, sf), "doc_id", {"text": 1.0})
     return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").cast("long").alias("cf"))
 
 
@@ -128,7 +132,7 @@ def per_entity_topk(spark, sf):
 
 
 def _two_lists(spark, sf):
-    d = read(spark, sf, "documents")
+    d = _documents(spark, sf)
     q = _questions(spark, sf)
     a = s.bm25(d, "doc_id", {"text": 1.0}, q, 50).select("query_id", F.lit(0).alias("list_id"), "doc_id", "rank")
     b = s.bm25(d, "doc_id", {"source": 1.0, "text": 0.5}, q, 50).select("query_id", F.lit(1).alias("list_id"), "doc_id", "rank")
