@@ -1,7 +1,9 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences; a sentence of many words is cut further, after words that a hash picks, so
-the cuts are the same wherever the passage stands. From every sentence on, the shortest run of at least
+A text is cut into sentences; a sentence of over ``WINDOW`` words is cut further, after the word of the least
+hash in each window of so many words. So the cuts are the same wherever the passage stands, but for those
+before the first and after the last of its own windows, and no piece is longer than a window: 51 words have
+31 or more between cuts that they have everywhere, and three pieces at most 30. From every sentence on, the shortest run of at least
 ``several`` sentences and ``words`` words is hashed. Runs are counted over all documents. A sentence that
 any run covers which is not the first of its kind, in order of document and place, is removed.
 """
@@ -21,12 +23,30 @@ from quillstone.session import arrow_batches, written
 
 SEVERAL = 3
 WORDS = 15
-LONG = 24
+#: A sentence is cut after the word of the least hash in each so many words.
+WINDOW = 10
 _CUT = re.compile(r"(?<=[.!?…])(?=\s)|(?<=\n)|(?<=[。！？])")
 _WORDS = re.compile(r"\s*\S+")
 
 
-def sentences(text: str, long: int = LONG) -> list[tuple[str, list[str]]]:
+def _least(words: list[str], window: int) -> list[int]:
+    """The places that have the least hash (the last of equal ones) in some window of so many words."""
+    hashes = [zlib.crc32(w.encode(errors="surrogatepass")) for w in words]
+    out, low = [], -1
+    for end in range(window, len(words) + 1):
+        if low < end - window:
+            low = end - window
+            for i in range(low + 1, end):
+                if hashes[i] <= hashes[low]:
+                    low = i
+            out.append(low)
+        elif hashes[end - 1] <= hashes[low]:
+            low = end - 1
+            out.append(low)
+    return out
+
+
+def sentences(text: str, window: int = WINDOW) -> list[tuple[str, list[str]]]:
     """(piece, its words in lower case); the pieces joined are the text, and each has a word, if any has."""
     out: list[tuple[str, list[str]]] = []
 
@@ -40,16 +60,16 @@ def sentences(text: str, long: int = LONG) -> list[tuple[str, list[str]]]:
 
     for piece in _CUT.split(text):
         words = piece.lower().split()
-        if len(words) <= long:
+        if len(words) <= window:
             if piece:
                 add(piece, words)
             continue
         parts, at = _WORDS.findall(piece), 0
-        for i, w in enumerate(words):
-            if i + 1 == len(words) or zlib.crc32(w.encode(errors="surrogatepass")) % 8 == 0:
-                end = "" if i + 1 < len(words) else piece[sum(map(len, parts)) :]
-                add("".join(parts[at : i + 1]) + end, words[at : i + 1])
+        for i in _least(words, window):
+            if i + 1 < len(words):
+                add("".join(parts[at : i + 1]), words[at : i + 1])
                 at = i + 1
+        add("".join(parts[at:]) + piece[sum(map(len, parts)) :], words[at:])
     return out
 
 
