@@ -73,7 +73,6 @@ def _segments(hits: list[tuple[int, float]]) -> list[tuple[float, int, int]]:
 def _scan(text: bytes | None, model: dict[bytes, float], memo: dict[bytes, float]) -> tuple[int, list[tuple[float, int, int]]]:
     words = _words(text)
     hits = []
-    seen = set()
     for at, w in enumerate(words):
         s = memo.get(w)
         if s is None:
@@ -81,8 +80,7 @@ def _scan(text: bytes | None, model: dict[bytes, float], memo: dict[bytes, float
             if len(memo) > 400_000:
                 memo.clear()
             memo[w] = s
-        if s > 0 and w not in seen:  # a word that comes again is not more evidence
-            seen.add(w)
+        if s > 0:
             hits.append((at, s))
     return len(words), _segments(hits)
 
