@@ -215,11 +215,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
 
 
 def first_of_each(docs: DataFrame, **settings) -> DataFrame:
-    """The rows of docs whose id is the least of their group of near_copies, with their columns; one row for each such id
-    (of rows that share an id, that with the least hash of its text). Groups without any id keep none."""
-    least = near_copies(docs, **settings).groupBy("group").agg(F.min("doc_id").alias("_id"))
-    kept = written(least.where("_id is not null").select("_id").distinct(), "kept")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"))
-    rows = rows.join(kept, F.col("_row.doc_id") == F.col("_id"), "left_semi")
-    place = Window.partitionBy("_row.doc_id").orderBy(F.xxhash64("_row.text"))
+    """A row of docs for each group of near_copies, with its columns: that of the least id (null last), then
+    of the least hash of id and text. Of rows that repeat both id and text one stays."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col("key").alias("_key"))
+    first = near_copies(docs, **settings).groupBy("group").agg(F.min(place).alias("_first"))
+    kept = written(first.select("_first._key"), "kept")
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), row_key(docs["doc_id"], docs["text"]).alias("_of"))
+    rows = rows.join(kept, F.col("_of") == F.col("_key"), "left_semi")
+    place = Window.partitionBy("_of").orderBy(F.xxhash64("_row.text"))
     return rows.withColumn("_place", F.row_number().over(place)).where("_place = 1").select("_row.*")
