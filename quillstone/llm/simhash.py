@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import components, join_small, row_key
-from quillstone.session import arrow_batches, written
+from quillstone.session import arrow_batches, discard, written
 
 SEED = 42
 #: Bands of least hashes, and hashes in each.
@@ -194,8 +194,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     bands = nodes.select("node", "x.rid", "x.n", F.posexplode("x.bands").alias("band", "value"))
     bands = written(bands, "bands")
     heads = bands.groupBy("band", "value").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("times")).where("times > 1").drop("times")
-    members = written(bands.join(written(heads, "heads").hint("merge"), ["band", "value"]), "members")
+    heads = written(heads, "heads")
+    members = written(bands.join(heads.hint("merge"), ["band", "value"]), "members")
     sets = written(join_small(rows.select("rid", "node", "grams"), members.select(F.col("rid").alias("_rid")).distinct(), F.col("rid") == F.col("_rid"), "left_semi").drop("rid"), "sets")
+    slim = written(rows.select("doc_id", "key", "node"), "nodes")
+    for used in (rows, bands, heads):  # the largest tables of the stage
+        discard(used)
     fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
     first = members.where((F.col("node") != F.col("head.node")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
     first = written(first.distinct(), "pairs")
@@ -203,14 +207,18 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
 
     found = components(near)
     placed = members.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("band", "value", "node", "n", F.coalesce("component", "node").alias("c"))
-    placed = written(placed, "placed")
-    mixed = placed.groupBy("band", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "value")
-    placed = written(placed.join(mixed.hint("merge"), ["band", "value"]), "mixed")
+    every = written(placed, "placed")
+    mixed = every.groupBy("band", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "value")
+    placed = written(every.join(mixed.hint("merge"), ["band", "value"]), "mixed")
+    discard(every)
     other = placed.select("band", "value", F.col("node").alias("b"), F.col("n").alias("_n"), F.col("c").alias("_c"))
     more = placed.withColumnRenamed("node", "a").join(other.hint("merge"), ["band", "value"]).where((F.col("a") < F.col("b")) & (F.col("c") != F.col("_c")) & fits(F.col("n"), F.col("_n")))
     more = written(more.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    found = components(near.unionByName(written(_alike(more, sets, least), "alike")))
-    of = rows.select("doc_id", "key", "node").join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
+    again = written(_alike(more, sets, least), "alike")
+    found = components(near.unionByName(again))
+    for used in (members, sets, first, near, placed, more, again):
+        discard(used)
+    of = slim.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     return of.select("doc_id", "key", F.coalesce("component", "node").alias("group"))
 
 
