@@ -2,19 +2,20 @@
 
 A byte is removed when a string of ``length`` bytes covers it that also starts earlier in the corpus.
 
-1. Of the k-grams in every ``length``-byte window the one with the least hash is an anchor (the leftmost of
-   equals). Equal windows pick the same anchor, so a repeated string always repeats an anchor. The bytes
-   that windows on an anchor can reach are its context.
+1. Of the k-grams in every ``length``-byte window the one with the least hash is its anchor (the leftmost of
+   equals). Equal windows pick the same anchor, so a repeated string always repeats an anchor. The windows
+   that pick one anchor follow each other; the bytes that they cover are its context.
 2. Anchors meet by hash. Where an anchor's whole context occurred before, all of the context is covered.
-   What is left of anchors with more than one context goes on: the edges of repeats.
-3. Those contexts' windows are put in suffix order, cut at ``length`` bytes, ties in text order. In that
-   order the previous smaller position of a suffix is the row before it, wherever both agree in ``length``
-   bytes; so the longest previous factor reaches ``length`` exactly there, and the window is a later copy.
+   Anchors with more than one context stay open: they hold the edges of repeats.
+3. Open anchors' windows are suffixes cut at ``length`` bytes. They are put in order: by anchor, then by a hash
+   of the cut suffix, which stands for its bytes (only suffixes that agree in all ``length`` bytes have to be
+   neighbours), ties in text order. In that order the previous smaller position of a suffix is the row before
+   it, if both agree; so the longest previous factor reaches ``length`` there, and the window is a later copy.
 4. Covered intervals are united per document.
 
-A task combines equal contexts before anything is shuffled. An anchor that many contexts share is dealt
-out by context where it is frequent already in one task, and its windows are grouped by their own bytes
-instead of sorted together, so no task gathers a group that grows with the corpus.
+Every task orders what it has before anything is shuffled, and passes on the first of equals only, so what
+equal strings add to one task grows with the number of tasks, not with the number of copies. The windows of
+an anchor are dealt to as many tasks as its contexts ask for, by their hash, which equal windows share.
 """
 
 from __future__ import annotations
@@ -32,16 +33,17 @@ from quillstone.llm.common import row_key
 from quillstone.session import arrow_batches, discard, written
 
 LENGTH = 100
-GRAM = 24
-#: Contexts that one anchor may have in one task before they are dealt out by context.
-FREQUENT = 32
-#: Contexts of one anchor that are sorted together at most, and contexts in one sort.
-GROUP = 4_000
-BATCH = 8_000
-#: Bytes of text that a task holds anchors of.
+GRAM = 40
+#: Contexts of an anchor for each task that its windows are dealt to.
+SPREAD = 64
+#: Bytes of text that a task holds anchors of, and bytes of contexts that it holds windows of.
 CHUNK = 48_000_000
+HELD = 12_000_000
 _LAST = np.iinfo(np.int64).max
-_FIELDS = [("h", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("pos", "<i4"), ("left", "u1"), ("right", "u1"), ("many", "u1")]
+_MARK = 2
+_FIELDS = [("h", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("size", "<i4"), ("open", "u1")]
+_WINDOW = [("h", "<u8"), ("w", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("step", "<i4")]
+_MET = "h long, doc long, key long, start int, end int, payload binary, bucket long"
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -66,10 +68,10 @@ def _grams(b: np.ndarray, k: int) -> np.ndarray:
         h, width = _mix(h[:-width] * step + h[width:]), width * 2
 
 
-def anchors(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the anchors of a text of at least ``length`` bytes."""
-    window, found, hashes = length - gram + 1, [], []
-    low = np.uint64((1 << 24) - 1)
+def anchors(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first window, last window) of each anchor of a text of at least ``length`` bytes."""
+    window, low = length - gram + 1, np.uint64((1 << 24) - 1)
+    places, hashes, firsts, lasts = [], [], [], []
     for at in range(0, len(b) - length + 1, 8_000_000):
         g = _grams(b[at : at + 8_000_000 + length - 1], gram)
         x, width = (g & ~low) | np.arange(len(g), dtype=np.uint64), 1
@@ -77,14 +79,17 @@ def anchors(b: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.n
             x, width = np.minimum(x[:-width], x[width:]), width * 2
         if width < window:
             x = np.minimum(x[: len(x) - (window - width)], x[window - width :])
-        p = np.unique(x & low).astype(np.int64)
-        found.append(p + at)
+        p, first, n = np.unique(x & low, return_index=True, return_counts=True)  # the least moves on, never back
+        p = p.astype(np.int64)
+        places.append(p + at)
         hashes.append(g[p])
-    p, h = np.concatenate(found), np.concatenate(hashes)
-    if len(found) > 1:
-        p, first = np.unique(p, return_index=True)
-        h = h[first]
-    return p, h
+        firsts.append(first + at)
+        lasts.append(first + n - 1 + at)
+    p, h, lo, hi = (np.concatenate(x) for x in (places, hashes, firsts, lasts))
+    if len(places) > 1:  # an anchor of windows on both sides of a cut
+        _, first = np.unique(p, return_index=True)
+        h, lo, hi = h[first], lo[first], hi[np.append(first[1:], len(p)) - 1]
+    return h, lo, hi
 
 
 def _pack(cols: list[np.ndarray]) -> bytes:
@@ -92,7 +97,7 @@ def _pack(cols: list[np.ndarray]) -> bytes:
     return np.array([len(cols[0])], "<i8").tobytes() + zstandard.compress(raw, 1)
 
 
-def _unpack(payload: bytes, fields=_FIELDS) -> list[np.ndarray]:
+def _unpack(payload: bytes, fields: list[tuple[str, str]]) -> list[np.ndarray]:
     n, raw, at, out = int(np.frombuffer(payload[:8], "<i8")[0]), zstandard.decompress(payload[8:]), 0, []
     for _, kind in fields:
         size = n * np.dtype(kind).itemsize
@@ -101,256 +106,215 @@ def _unpack(payload: bytes, fields=_FIELDS) -> list[np.ndarray]:
     return out
 
 
-_SPAN = [("key", "<i8"), ("start", "<i4"), ("end", "<i4")]
-
-
-def _runs(order: np.ndarray, *cols: np.ndarray) -> np.ndarray:
-    """Marks rows, in the given order, that begin a run of equal values."""
-    new = np.ones(len(order), bool)
-    if len(order):
-        new[1:] = False
-        for c in cols:
-            c = c[order]
-            new[1:] |= c[1:] != c[:-1]
-    return new
-
-
-def _united(key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Intervals per key, with those that touch made one."""
-    order = np.lexsort((start, key))
-    key, start, end = key[order], start[order].astype(np.int64), end[order].astype(np.int64)
+def _united(doc: np.ndarray, key: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Intervals per document, with those that touch made one."""
+    order = np.lexsort((start, key, doc))
+    doc, key, start, end = doc[order], key[order], start[order].astype(np.int64), end[order].astype(np.int64)
     if not len(key):
-        return [key, start.astype("<i4"), end.astype("<i4")]
-    base = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) << 33  # so keys don't overlap
+        return [doc, key, start.astype("<i4"), end.astype("<i4")]
+    base = np.concatenate([[0], np.cumsum((key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))]) << 33  # so documents don't overlap
     reach = np.maximum.accumulate(base + end)
     new = np.concatenate([[True], base[1:] + start[1:] > reach[:-1]])
     at = np.flatnonzero(new)
     last = np.concatenate([at[1:], [len(key)]]) - 1
-    return [key[at], start[at].astype("<i4"), (reach[last] - base[at]).astype("<i4")]
+    return [doc[at], key[at], start[at].astype("<i4"), (reach[last] - base[at]).astype("<i4")]
+
+
+def earlier_and_later(h, content, doc, key, start) -> tuple[np.ndarray, np.ndarray]:
+    """(rows that are the first of their content, in the order given; rows whose content starts earlier as well).
+
+    Rows are ordered by content, ties by place: a row's previous smaller position with an equal content is
+    then the row before. Rows at one place are one."""
+    both = _mix(h) ^ content
+    order = np.argsort(both)
+    same = both[order[1:]] == both[order[:-1]]
+    repeats = np.zeros(len(order), bool)
+    repeats[order[1:][same]] = repeats[order[:-1][same]] = True
+    rows = np.flatnonzero(repeats)
+    rows = rows[np.lexsort((start[rows], key[rows], doc[rows], content[rows], h[rows]))]
+    before, here = rows[:-1], rows[1:]
+    new = np.ones(len(rows), bool)
+    new[1:] = (h[here] != h[before]) | (content[here] != content[before])
+    origin = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))] if len(rows) else rows
+    there = (doc[rows] == doc[origin]) & (key[rows] == key[origin]) & (start[rows] == start[origin])
+    return np.sort(np.concatenate([np.flatnonzero(~repeats), rows[new]])), rows[~new & ~there]
+
 
+def _rows(h=None, spans=None, payloads=None) -> pa.RecordBatch:
+    """Rows of the schema _MET: open anchors (h), covered intervals, or payloads (bucket, bytes)."""
+    n = len(payloads) if payloads is not None else len(spans[0])
+    none = lambda t: pa.nulls(n, t)
+    place = [pa.array(c, t) for c, t in zip(spans, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)] if spans else [none(pa.int64()), none(pa.int64()), none(pa.int32()), none(pa.int32())]
+    tail = [pa.array([x for _, x in payloads], pa.binary()), pa.array([x for x, _ in payloads], pa.int64())] if payloads is not None else [none(pa.binary()), place[1]]
+    return pa.RecordBatch.from_arrays([none(pa.int64()) if h is None else pa.array(h.view("<i8")), *place, *tail], ["h", "doc", "key", "start", "end", "payload", "bucket"])
 
-def _combine(h, ctx, doc, key, pos) -> tuple[np.ndarray, np.ndarray]:
-    """(rows that are the first of their context, by h; rows that come later at another place)."""
-    order = np.lexsort((pos, key, doc, ctx, h))
-    new = _runs(order, h, ctx)
-    origin = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
-    same = (key[order] == key[origin]) & (pos[order] == pos[origin])
-    return order[new], order[~new & ~same]
+
+def _by_bucket(bucket: np.ndarray, cols) -> list[tuple[int, bytes]]:
+    """A payload for each bucket; cols(rows) gives the columns of some rows, in their order."""
+    order = np.argsort(bucket, kind="stable")
+    parts = np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1)
+    return [(int(bucket[p[0]]), _pack(cols(p))) for p in parts if len(p)]
 
 
 def _anchored(docs: DataFrame, length: int, gram: int, buckets: int) -> DataFrame:
-    """(kind, bucket, payload): kind 1 has anchors for a bucket, kind 0 has covered intervals."""
+    """Payloads of anchors, and intervals that are covered."""
 
     def flush(held):
-        cols = [np.concatenate([x[i] for x in held]) for i in range(7)]
-        h, ctx, doc, key, pos, left, right = cols
-        first, later = _combine(h, ctx, doc, key, pos)
-        rows = []
+        h, ctx, doc, key, start, size = (np.concatenate([x[i] for x in held]) for i in range(6))
+        first, later = earlier_and_later(h, ctx, doc, key, start)
         if len(later):
-            rows.append((0, 0, _pack(_united(key[later], pos[later] - left[later], pos[later] + right[later]))))
-        # first is sorted by h: where an anchor has many contexts here, they are dealt out by context.
-        begins = np.flatnonzero(_runs(first, h))
+            yield _rows(spans=_united(doc[later], key[later], start[later], start[later] + size[later]))
+        # An anchor with one context here goes to its own bucket, to meet others. One with several is known to be
+        # open: its contexts are dealt out by themselves, and a mark tells its bucket.
+        first = first[np.argsort(h[first], kind="stable")]
+        begins = np.flatnonzero(np.concatenate([[True], h[first][1:] != h[first][:-1]]))
         sizes = np.diff(np.append(begins, len(first)))
-        many = np.repeat(sizes > FREQUENT, sizes)
-        bucket = np.where(many, _mix(h[first] + ctx[first]), _mix(h[first])) % np.uint64(buckets)
-        flag = many.astype("u1")
-        mark = begins[sizes > FREQUENT]  # and one of them tells the anchor's own bucket of it
-        pick = np.concatenate([first, first[mark]])
-        bucket = np.concatenate([bucket, _mix(h[first[mark]]) % np.uint64(buckets)])
-        flag = np.concatenate([flag, np.ones(len(mark), "u1")])
-        order = np.argsort(bucket, kind="stable")
-        for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
-            if len(part):
-                rows.append((1, int(bucket[part[0]]), _pack([*(c[pick[part]] for c in cols), flag[part]])))
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["kind", "bucket", "payload"])
+        several = np.repeat(sizes > 1, sizes)
+        mark = first[begins[sizes > 1]]
+        pick = np.concatenate([first, mark])
+        bucket = np.concatenate([np.where(several, _mix(h[first] + _mix(ctx[first])), _mix(h[first])), _mix(h[mark])]) % np.uint64(buckets)
+        flag = np.concatenate([several.astype("u1"), np.full(len(mark), _MARK, "u1")])
+        yield _rows(payloads=_by_bucket(bucket, lambda p: [h[pick[p]], ctx[pick[p]], doc[pick[p]], key[pick[p]], start[pick[p]], size[pick[p]].astype("<i4"), flag[p]]))
 
     def run(batches):
-        held, size = [], 0
+        held, total, digest = [], 0, xxhash.xxh64_intdigest
         for b in batches:
             for k in range(0, b.num_rows, 200):
                 part = b.slice(k, 200)
                 for doc, key, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
-                    if text is None or len(text) < length:
+                    if len(text) < length:
                         continue
-                    p, h = anchors(np.frombuffer(text, np.uint8), length, gram)
-                    left, right = np.minimum(p, length - gram), np.minimum(len(text) - p, length)
-                    # The hash of a context, and of where the anchor is in it.
-                    ctx = np.array([xxhash.xxh64_intdigest(text[q - a : q + z], a) for q, a, z in zip(p.tolist(), left.tolist(), right.tolist(), strict=True)], "<u8")
-                    held.append((h, ctx, np.full(len(p), _LAST if doc is None else doc), np.full(len(p), key), p.astype("<i4"), left.astype("u1"), right.astype("u1")))
-                    size += len(text)
-                    if size > CHUNK:
-                        yield flush(held)
-                        held, size = [], 0
+                    h, lo, hi = anchors(np.frombuffer(text, np.uint8), length, gram)
+                    hi = hi + length
+                    ctx = np.array([digest(text[a:z]) for a, z in zip(lo.tolist(), hi.tolist(), strict=True)], "<u8")
+                    held.append((h, ctx, np.full(len(h), doc), np.full(len(h), key), lo.astype("<i4"), (hi - lo).astype("<i4")))
+                    total += len(text)
+                    if total > CHUNK:
+                        yield from flush(held)
+                        held, total = [], 0
         if held:
-            yield flush(held)
+            yield from flush(held)
 
-    return docs.select("doc", "key", "text").mapInArrow(run, "kind int, bucket long, payload binary")
+    return docs.select("doc", "key", "text").mapInArrow(run, _MET)
 
 
 def _met(table: DataFrame) -> DataFrame:
-    """(h, doc, key, pos, end): anchors whose context is the first of several (end null), and intervals
-    that are covered (h null)."""
-
-    def out(h, doc, key, pos, end):
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(pos, pa.int32()), pa.array(end, pa.int32())], ["h", "doc", "key", "pos", "end"])
+    """Anchors that are open, each with its context's first place (h not null), and covered intervals."""
 
     def run(batches):
-        parts = [_unpack(x) for b in batches for x in b.column(0).to_pylist()]
+        parts = []
+        for b in batches:
+            for payload, *span in zip(b.column(5).to_pylist(), *(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                parts.append(_unpack(payload, _FIELDS) if payload is not None else span)
+        spans = [p for p in parts if not isinstance(p[0], np.ndarray)]
+        parts = [p for p in parts if isinstance(p[0], np.ndarray)]
+        if spans:
+            yield _rows(spans=list(zip(*spans, strict=True)))
         if not parts:
             return
-        h, ctx, doc, key, pos, left, right, many = (np.concatenate([p[i] for p in parts]) for i in range(8))
+        h, ctx, doc, key, start, size, flag = (np.concatenate([p[i] for p in parts]) for i in range(7))
         parts.clear()
-        first, later = _combine(h, ctx, doc, key, pos)
+        known = np.unique(h[flag > 0])
+        keep = flag < _MARK
+        h, ctx, doc, key, start, size = (c[keep] for c in (h, ctx, doc, key, start, size))
+        first, later = earlier_and_later(h, ctx, doc, key, start)
         if len(later):
-            k, s, e = _united(key[later], pos[later] - left[later], pos[later] + right[later])
-            none = pa.nulls(len(k), pa.int64())
-            yield out(none, none, k, s, e)
-        begins = np.flatnonzero(_runs(first, h))
-        sizes = np.diff(np.append(begins, len(first)))
-        flagged = np.zeros(len(h), "u1")
-        np.maximum.at(flagged, first[np.repeat(begins, sizes)], many[first])
-        if len(later):  # a marker counts though its context is another row's
-            owner = np.searchsorted(h[first[begins]], h)
-            np.maximum.at(flagged, first[begins][owner], many)
-        several = np.repeat((sizes > 1) | (flagged[first[begins]] > 0), sizes)
-        pick = first[several]
+            yield _rows(spans=_united(doc[later], key[later], start[later], start[later] + size[later]))
+        first = first[np.argsort(h[first], kind="stable")]
+        if not len(first):
+            return
+        of = h[first]
+        new = np.concatenate([[True], of[1:] != of[:-1]])
+        sizes = np.diff(np.append(np.flatnonzero(new), len(of)))
+        pick = first[(np.repeat(sizes, sizes) > 1) | np.isin(of, known)]
         for at in range(0, len(pick), 50_000):
             p = pick[at : at + 50_000]
-            yield out(h[p].view("<i8"), doc[p], key[p], pos[p], pa.nulls(len(p), pa.int32()))
-
-    return table.where("kind = 1").repartition("bucket").select("payload").mapInArrow(run, "h long, doc long, key long, pos int, end int")
-
-
-def later_copies(contexts: list[bytes], place: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context, the starts in it of ``length``-byte strings whose longest previous factor reaches
-    ``length``. place: (document order, start of the context) of each; windows at one place are one."""
-    n = np.array([len(c) - length + 1 for c in contexts], np.int64)
-    of = np.repeat(np.arange(len(contexts)), np.maximum(n, 0))
-    within = np.arange(len(of)) - np.repeat(np.cumsum(np.maximum(n, 0)) - np.maximum(n, 0), np.maximum(n, 0))
-    base = np.cumsum([0, *map(len, contexts)])[:-1]
-    flat = np.frombuffer(b"".join(contexts), np.uint8)
-    if len(of):  # a string whose hash is here once has no copy here, and needs no sorting
-        g = _grams(flat, length)[base[of] + within]
-        order = np.argsort(g)
-        equal = g[order[1:]] == g[order[:-1]]
-        often = np.zeros(len(of), bool)
-        often[order[1:][equal]] = often[order[:-1][equal]] = True
-        of, within = of[often], within[often]
-    doc, start = place[of, 0], place[of, 1] + within
-    text = np.lexsort((start, doc))  # suffixes in text order
-    words = np.lib.stride_tricks.sliding_window_view(flat, length)[(base[of] + within)[text]]
-    order = np.argsort(np.ascontiguousarray(words).view(f"S{length}").ravel(), kind="stable")  # suffix array
-    agree = (words[order[1:]] == words[order[:-1]]).all(1)  # common prefix of neighbours: all of it
-    doc, start, of, within = doc[text][order], start[text][order], of[text][order], within[text][order]
-    head = np.maximum.accumulate(np.where(np.concatenate([[True], ~agree]), np.arange(len(order)), 0)) if len(order) else np.zeros(0, int)
-    later = (doc != doc[head]) | (start != start[head])
-    out: list[np.ndarray] = [np.zeros(0, np.int64)] * len(contexts)
-    rows = np.lexsort((within[later], of[later]))
-    owners, starts = of[later][rows], within[later][rows]
-    for part in np.split(np.arange(len(owners)), np.flatnonzero(np.diff(owners)) + 1):
-        if len(part):
-            out[owners[part[0]]] = starts[part]
-    return out
+            yield _rows(h[p], [doc[p], key[p], start[p], start[p] + size[p]])
 
+    return table.repartition("bucket").mapInArrow(run, _MET).drop("payload", "bucket")
 
-def _stretches(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    if not len(starts):
-        return []
-    cut = np.flatnonzero(np.diff(starts) > 1)
-    return list(zip(starts[np.concatenate([[0], cut + 1])].tolist(), (starts[np.concatenate([cut, [len(starts) - 1]])] + length).tolist(), strict=True))
 
-
-def _edges(docs: DataFrame, met: DataFrame, length: int, gram: int) -> DataFrame:
-    """(key, start, end): what windows on anchors with several contexts cover."""
+def _windows(docs: DataFrame, met: DataFrame, length: int, buckets: int) -> DataFrame:
+    """Payloads of the windows of open anchors, and intervals that are covered."""
     open_ = met.where("h is not null")
-    sizes = open_.groupBy("h").agg(F.count("*").alias("contexts")).where(F.col("contexts") > GROUP).select(F.col("h").alias("_h"), F.lit(True).alias("big"))
-    sizes = written(sizes, "big-anchors")  # a table, so that the join is of two plain shuffles, which can be split
-    lists = open_.join(sizes.hint("merge"), F.col("h") == F.col("_h"), "left").groupBy("key").agg(F.collect_list(F.struct("h", "pos", F.coalesce("big", F.lit(False)).alias("big"))).alias("asked"))
-    texts = docs.join(lists.withColumnRenamed("key", "_key").hint("merge"), F.col("key") == F.col("_key"))
+    ways = open_.groupBy("h").agg(F.count("*").alias("contexts")).where(F.col("contexts") > SPREAD)
+    ways = written(ways.select(F.col("h").alias("_h"), F.ceil(F.col("contexts") / SPREAD).cast("int").alias("ways")), "ways")  # a table: so the join can be split
+    dealt = open_.join(ways.hint("merge"), F.col("h") == F.col("_h"), "left")
+    lists = dealt.groupBy(F.col("doc").alias("_doc"), F.col("key").alias("_key")).agg(F.collect_list(F.struct("h", "start", "end", F.coalesce("ways", F.lit(1)).alias("ways"))).alias("asked"))
+    texts = docs.join(lists.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("doc") == F.col("_doc")))
+
+    def flush(pieces, held):
+        h, doc, key, start, ways = (np.array(c, np.int64) for c in zip(*held, strict=True))
+        n = np.array([len(x) for x in pieces], np.int64)
+        flat, base, n = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(n) - n, n - length + 1
+        of = np.repeat(np.arange(len(n)), n)
+        within = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
+        w = _grams(flat, length)[base[of] + within]
+        h, doc, key, start = h[of].view("<u8"), doc[of], key[of], start[of] + within
+        first, later = earlier_and_later(h, w, doc, key, start)
+        if len(later):
+            yield _rows(spans=_united(doc[later], key[later], start[later], start[later] + length))
+        share = _mix(w[first]) % ways[of[first]].astype(np.uint64)
+        bucket = _mix(h[first] + _mix(share)) % np.uint64(buckets)
+        yield _rows(payloads=_by_bucket(bucket, lambda p: [c[first[p]] for c in (h, w, doc, key)] + [np.diff(start[first[p]], prepend=0).astype("<i4")]))
 
-    def cut(batches):
+    def run(batches):
+        pieces, held, total = [], [], 0
         for b in batches:
             for k in range(0, b.num_rows, 100):
-                cols: list[list] = [[] for _ in range(6)]
                 part = b.slice(k, 100)
                 for doc, key, text, asked in zip(*(part.column(i).to_pylist() for i in range(4)), strict=True):
                     for a in asked:
-                        lo, hi = max(0, a["pos"] - (length - gram)), min(len(text), a["pos"] + length)
-                        for c, v in zip(cols, (a["h"], a["big"], _LAST if doc is None else doc, key, lo, text[lo:hi]), strict=True):
-                            c.append(v)
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h", "big", "doc", "key", "start", "context"])
-
-    contexts = written(texts.select("doc", "key", "text", "asked").mapInArrow(cut, "h long, big boolean, doc long, key long, start int, context binary"), "contexts")
-
-    def copies(batches):
-        """Whole anchors at a time, so that each sort has at most BATCH + GROUP contexts."""
-        held = list(batches)
-        if not held:
-            return
-        t = pa.Table.from_batches(held)
-        t = t.take(pa.array(np.argsort(t.column("h").to_numpy(), kind="stable")))
-        h = t.column("h").to_numpy()
-        ends = np.append(np.flatnonzero(np.diff(h)) + 1, len(h))
-        at = 0
-        while at < len(h):
-            to = int(ends[min(np.searchsorted(ends, at + BATCH), len(ends) - 1)])
-            part = t.slice(at, to - at)
-            doc, key, start = (part.column(c).to_numpy() for c in ("doc", "key", "start"))
-            rank = np.lexsort((key, doc))
-            doc_order = np.empty(len(rank), np.int64)
-            doc_order[rank] = np.cumsum(_runs(rank, doc, key))
-            found = later_copies(part.column("context").to_pylist(), np.column_stack([doc_order, start.astype(np.int64)]), length)
-            rows = [(k, s + a, s + z) for k, s, x in zip(key.tolist(), start.tolist(), found, strict=True) for a, z in _stretches(x, length)]
-            if rows:
-                yield _interval(rows)
-            at = to
-
-    def _interval(rows):
-        k, s, e = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(s, pa.int32()), pa.array(e, pa.int32())], ["key", "start", "end"])
-
-    spans = "key long, start int, end int"
-    usual = contexts.where("not big").repartition("h").select("h", "doc", "key", "start", "context").mapInArrow(copies, spans)
-
-    # Anchors with very many contexts: each window under its own hash, least place first.
-    def windows(batches):
-        for b in batches:
-            for k in range(0, b.num_rows, 500):
-                cols: list[list] = [[] for _ in range(4)]
-                for doc, key, start, text in zip(*(b.slice(k, 500).column(i).to_pylist() for i in range(4)), strict=True):
-                    for s in range(len(text) - length + 1):
-                        for c, v in zip(cols, (hashlib.blake2b(text[s : s + length], digest_size=16).digest(), doc, key, start + s), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.binary(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["w", "doc", "key", "start"])
-
-    rows = contexts.where("big").select("doc", "key", "start", "context").mapInArrow(windows, "w binary, doc long, key long, start int")
-    place = F.struct("doc", "key", "start")
-    least = rows.groupBy("w").agg(F.min(place).alias("least"), F.max(place).alias("most")).where("least <> most").select(F.col("w").alias("_w"), "least")
-    least = written(least, "windows")  # a table, so that the join below is of two plain shuffles, which can be split
-    unusual = rows.join(least.hint("merge"), F.col("w") == F.col("_w")).where(place != F.col("least")).select("key", "start", (F.col("start") + length).alias("end"))
-    out = written(usual.unionByName(unusual), "edges")
-    discard(contexts)
-    return out
+                        pieces.append(text[a["start"] : a["end"]])
+                        held.append((a["h"], doc, key, a["start"], a["ways"]))
+                        total += a["end"] - a["start"]
+                        if total > HELD:
+                            yield from flush(pieces, held)
+                            pieces, held, total = [], [], 0
+        if held:
+            yield from flush(pieces, held)
 
+    return texts.select("doc", "key", "text", "asked").mapInArrow(run, _MET)
 
-def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(key, spans): of each document that has any, its removed stretches (start, end), as found; they may
-    overlap. docs has doc, key and text in bytes."""
-    spark = docs.sparkSession
-    buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = written(_anchored(docs, length, gram, buckets), "anchors", "uncompressed")
-    met = written(_met(table), "met")
-    edges = _edges(docs, met, length, gram)
-
-    def unpack(batches):
+
+def _copies(table: DataFrame, length: int) -> DataFrame:
+    """(doc, key, start, end): intervals that are covered, those found before among them."""
+
+    def run(batches):
+        parts, spans = [], []
         for b in batches:
-            for x in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in _unpack(x, _SPAN)], ["key", "start", "end"])
+            for payload, *span in zip(b.column(5).to_pylist(), *(b.column(i).to_pylist() for i in range(1, 5)), strict=True):
+                if payload is None:
+                    spans.append(span)
+                else:
+                    parts.append(_unpack(payload, _WINDOW))
+        if spans:
+            yield _spans(list(zip(*spans, strict=True)))
+        if parts:
+            h, w, doc, key = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            start = np.concatenate([np.cumsum(p[4], dtype=np.int32) for p in parts])
+            parts.clear()
+            _, later = earlier_and_later(h, w, doc, key, start)
+            if len(later):
+                yield _spans(_united(doc[later], key[later], start[later], start[later] + length))
+
+    return table.repartition("bucket").mapInArrow(run, "doc long, key long, start int, end int")
 
-    early = table.where("kind = 0").select("payload").mapInArrow(unpack, "key long, start int, end int")
-    every = early.unionByName(met.where("h is null").select("key", F.col("pos").alias("start"), "end")).unionByName(edges)
-    return every.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+
+def _spans(cols) -> pa.RecordBatch:
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["doc", "key", "start", "end"])
+
+
+def covered(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(doc, key, spans): of each document that has any, its removed stretches (start, end), as found; they may
+    overlap. docs has doc, key and text in bytes, none of them null."""
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = written(_met(_anchored(docs, length, gram, buckets)), "met")
+    edges = _copies(_windows(docs, met, length, buckets), length)
+    every = written(edges.unionByName(met.where("h is null").select("doc", "key", "start", "end")), "covered")
+    discard(met)
+    return every.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 
 def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: bool = False) -> DataFrame:
@@ -359,12 +323,15 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: b
     Documents come in order of doc_id, null last. Null texts are empty. Rows that repeat both id and text
     are one document and get one result; rows that share an id but not the text come in the order of a
     hash. Texts below ``length`` bytes lose nothing. A cut may fall within a character: kept is bytes.
+    Strings of ``length`` bytes count as equal if two 64-bit hashes agree, that of the string and that of
+    its anchor; documents are told apart by their id and, where they share it, by a 64-bit hash of the text.
     """
     arrow_batches(docs.sparkSession)
     text = F.coalesce(docs["text"], F.lit("")).cast("binary")
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc"), row_key(docs["doc_id"], docs["text"]).alias("key"), text.alias("text"))
-    found = covered(slim, length, gram).withColumnRenamed("key", "_key")
-    joined = slim.join(found.hint("merge"), F.col("key") == F.col("_key"), "left").select("doc", "text", "spans")
+    doc = docs["doc_id"].cast("long")
+    slim = docs.select(doc.alias("doc_id"), F.coalesce(doc, F.lit(int(_LAST))).alias("doc"), row_key(docs["doc_id"], docs["text"]).alias("key"), text.alias("text"))
+    found = covered(slim, length, gram).withColumnsRenamed({"doc": "_doc", "key": "_key"})
+    joined = slim.join(found.hint("merge"), (F.col("key") == F.col("_key")) & (F.col("doc") == F.col("_doc")), "left").select("doc_id", "text", "spans")
 
     def cut(batches):
         for b in batches:
@@ -373,7 +340,8 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kept: b
                 for text, spans in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
                     rest, at, removed, stretches = [], 0, 0, 0
                     if spans:
-                        _, starts, ends = _united(np.zeros(len(spans), np.int64), np.array([s["start"] for s in spans]), np.array([s["end"] for s in spans]))
+                        one = np.zeros(len(spans), np.int64)
+                        *_, starts, ends = _united(one, one, np.array([s["start"] for s in spans]), np.array([s["end"] for s in spans]))
                         for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                             rest.append(text[at:s])
                             removed, stretches, at = removed + e - s, stretches + 1, e

@@ -55,10 +55,9 @@ def corpus(n=120, seed=1):
 
 @pytest.mark.parametrize("tight", [False, True])
 def test_as_brute_force(spark, monkeypatch, tight):
-    if tight:  # so that frequent anchors take their own ways
-        monkeypatch.setattr(suffixes, "FREQUENT", 2)
-        monkeypatch.setattr(suffixes, "GROUP", 3)
-        monkeypatch.setattr(suffixes, "BATCH", 10)
+    if tight:  # so that tasks hold little at a time, and anchors are dealt to many of them
+        monkeypatch.setattr(suffixes, "SPREAD", 1)
+        monkeypatch.setattr(suffixes, "HELD", 3000)
         monkeypatch.setattr(suffixes, "CHUNK", 8000)
     rows = corpus()
     rows += [rows[5], (None, rows[7][1], "en"), (None, rows[30][1], "de")]
