@@ -24,18 +24,28 @@ LINES = """lines AS (
                unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM documents))"""
 
 
-def chunks(spark, sf: str) -> DataFrame:
-    """(doc_id, lang, source, ordinal, section, page_start, page_end, text): five lines each. Built within
-    the row of a document: no shuffle."""
+def _pieces(spark, sf: str) -> DataFrame:
+    """(doc_id, lang, source, n, pieces): a document's lines, five to a piece. Built within its row: no shuffle."""
     d = read(spark, sf, "documents")
     parts = F.split("text", "\n")
     n = F.size(parts)
     pieces = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / 5).cast("int")), lambda i: F.array_join(F.slice(parts, i * 5 + 1, F.lit(5)), "\n"))
-    each = d.select("doc_id", "lang", "source", n.alias("n"), F.posexplode(pieces).alias("at", "text"))
+    return d.select("doc_id", "lang", "source", n.alias("n"), pieces.alias("pieces"))
+
+
+def chunks(spark, sf: str) -> DataFrame:
+    """(doc_id, lang, source, ordinal, section, page_start, page_end, text): five lines each."""
+    each = _pieces(spark, sf).select("doc_id", "lang", "source", "n", F.posexplode("pieces").alias("at", "text"))
     at = F.col("at").cast("long")
     return each.select("doc_id", "lang", "source", at.alias("ordinal"), F.floor(at / 4).alias("section"), (F.floor(at * 5 / 40) + 1).alias("page_start"), (F.floor(F.least(at * 5 + 4, F.col("n") - 1) / 40) + 1).alias("page_end"), "text")
 
 
+def blocks(spark, sf: str) -> DataFrame:
+    """(doc_id, blocks): the same pieces as an array of (page, text, kind, section), in order."""
+    block = lambda t, i: F.struct((F.floor(i * 5 / 40) + 1).cast("int").alias("page"), t.alias("text"), F.lit("text").alias("kind"), F.concat(F.lit("S"), F.floor(i / 4).cast("string")).alias("section"))
+    return _pieces(spark, sf).select("doc_id", F.transform("pieces", block).alias("blocks"))
+
+
 CHUNKS = (
     LINES
     + """, chunks AS (

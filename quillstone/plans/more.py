@@ -36,10 +36,11 @@ def path_buckets(spark, sf):
     return read(spark, sf, "documents").select("doc_id", md.bucket(rel).alias("b")).select("doc_id", "b.bucket", "b.subpath")
 
 
-@query("SELECT doc_id, CASE WHEN toxic = 1 THEN '' ELSE 'S' || toxic || ' | ' END || source || chr(10) || chr(10) || left(text, 50) AS t FROM documents JOIN labels USING (doc_id)")
+@query("SELECT doc_id, CASE WHEN toxic = 0 THEN 'S0 | ' ELSE '' END || source || chr(10) || chr(10) || text AS t FROM documents LEFT JOIN labels USING (doc_id)")
 def embedding_text(spark, sf):
-    d = read(spark, sf, "documents").join(read(spark, sf, "labels"), "doc_id")
-    return d.select("doc_id", md.search_text(F.expr("case when toxic = 1 then '' else concat('S', toxic) end"), F.col("source"), F.lit(""), F.substring("text", 1, 50)).alias("t"))
+    """What is embedded of every document: the parts of its head that there are, and its whole text."""
+    d = read(spark, sf, "documents").join(read(spark, sf, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    return d.select("doc_id", md.search_text(F.expr("case when toxic = 0 then 'S0' else '' end"), F.col("source"), F.lit(""), F.col("text")).alias("t"))
 
 
 @query()
@@ -48,29 +49,27 @@ def table_quantities(spark, sf):
     return p.select("p_partkey", F.explode(un.table_quantities("t")).alias("q")).select("p_partkey", "q.number", "q.unit", "q.base", F.element_at("q.values", 1).alias("value"))
 
 
-@query("SELECT l_orderkey, l_linenumber, (l_quantity::INT * 3 + sqrt(16)) / 2 - pow(2, l_linenumber) AS value FROM lineitem WHERE l_linenumber < 5")
+@query("SELECT l_orderkey, l_linenumber, (l_quantity::INT * 3 + sqrt(16)) / 2 - pow(2, l_linenumber) AS value FROM lineitem")
 def calculations(spark, sf):
     e = F.expr("concat('(', int(l_quantity), ' × 3 + sqrt(16)) / 2 - 2^', l_linenumber)")
-    return read(spark, sf, "lineitem").where("l_linenumber < 5").select("l_orderkey", "l_linenumber", calc.calculate(e).alias("value"))
+    return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", calc.calculate(e).alias("value"))
 
 
 @query()
 def calculation_trace(spark, sf):
     """Numbers of a calculation, and the line of the order in which each stands."""
-    g = read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.expr("concat(int(l_quantity), ' ns')").alias("t")))).alias("src"))
+    li = read(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"), calc.stated_values(F.expr("concat(int(l_quantity), ' ns')")).alias("values"))
+    g = li.groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("n", "q", "values"))).alias("src"))
+    g = g.withColumn("asked", calc.number_literals(F.concat(F.get("src", F.lit(0))["q"], F.lit(" * 1000 + 77.5"))))
+    g = g.withColumn("inputs", calc.traced(F.col("asked"), F.col("src"))).withColumn("traced", calc.all_traced(F.col("inputs")))
+    each = g.select("l_orderkey", F.explode("inputs").alias("i"), "traced")
+    return each.select("l_orderkey", "i.value", F.array_join(F.transform("i.sources", lambda n: n.cast("string")), ",").alias("sources"), "traced")
 
-    def run(batches):
-        for b in batches:
-            rows = [(k, i["value"], ",".join(map(str, i["sources"])), ok) for k, src in zip(b["l_orderkey"], b["src"], strict=True) for inputs, ok in [calc.trace(f"{src[0]['t'].split()[0]} * 1000 + 77.5", [(x["n"], x["t"]) for x in src])] for i in inputs]
-            yield pd.DataFrame(rows, columns=["l_orderkey", "value", "sources", "traced"])
 
-    return g.mapInPandas(run, "l_orderkey long, value string, sources string, traced boolean")
-
-
-@query("""SELECT event_id, props AS found FROM events WHERE event_id % 50 = 0""")
+@query("""SELECT event_id, props AS found FROM events""")
 def json_salvage(spark, sf):
     raw = F.concat(F.lit("<think>{x}</think>Sure: ```json\n{broken "), F.col("props"), F.lit("\n``` done"))
-    return read(spark, sf, "events").where("event_id % 50 = 0").select("event_id", calc.salvage_json(raw).alias("found"))
+    return read(spark, sf, "events").select("event_id", calc.salvage_json(raw).alias("found"))
 
 
 @query()
@@ -106,14 +105,14 @@ def bm25_stemmed(spark, sf):
 
 def _words(spark, sf):
     """Printed words of made-up pages: a head, and a row for each line of an order."""
-    li = read(spark, sf, "lineitem").where("l_orderkey % 25 = 1")
+    li = read(spark, sf, "lineitem")
     li = li.withColumn("k", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")))
     row = li.select("l_orderkey", "k", F.explode(F.array(*[F.struct(F.lit(float(x)).alias("x0"), (F.col("k") * 20.0).alias("y0"), F.lit(float(x + 40)).alias("x1"), (F.col("k") * 20.0 + 10).alias("y1"), t.alias("text")) for x, t in ((10, F.concat(F.lit("tR"), F.col("k").cast("string"))), (100, F.col("l_quantity").cast("int").cast("string")), (200, F.expr("string(l_linenumber * 100)")), (300, F.lit("ns")))])).alias("w"))
     heads = li.select("l_orderkey").distinct().select("l_orderkey", F.explode(F.array(*[F.struct(F.lit(float(x)).alias("x0"), F.lit(0.0).alias("y0"), F.lit(float(x + 40)).alias("x1"), F.lit(10.0).alias("y1"), F.lit(t).alias("text")) for x, t in ((10, "Symbol"), (100, "Min"), (200, "Max"), (300, "Unit"))])).alias("w"))
     return li, row.select("l_orderkey", "w.*").unionByName(heads.select("l_orderkey", "w.*")).withColumnRenamed("l_orderkey", "doc_id").withColumn("page", F.lit(1))
 
 
-@query("""WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem WHERE l_orderkey % 25 = 1)
+@query("""WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem)
 SELECT l_orderkey AS table_id, CASE WHEN k % 5 = 0 THEN 'conflict' WHEN k % 7 = 0 THEN 'not_found' ELSE 'grounded' END AS status, count(*) AS n FROM li GROUP BY ALL""")
 def ground_cells(spark, sf):
     """Cells of extracted tables, one in five with a wrong value and one in seven without its row, against the page's words."""
@@ -124,23 +123,23 @@ def ground_cells(spark, sf):
     return g.groupBy("table_id", "status").agg(F.count("*").alias("n"))
 
 
-@query("""WITH li AS (SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey % 25 = 1 GROUP BY l_orderkey) SELECT l_orderkey AS doc_id, 1 AS page, n + 1 AS rows FROM li WHERE n + 1 >= 3""")
+@query("""WITH li AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey AS doc_id, 1 AS page, n + 1 AS rows FROM li WHERE n + 1 >= 3""")
 def aligned_rows(spark, sf):
     return gr.aligned_rows(_words(spark, sf)[1])
 
 
-@query("""WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem WHERE l_orderkey % 25 = 1)
+@query("""WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem)
 SELECT l_orderkey AS doc_id, 'tR' || k || ' ' || l_quantity::INT || ' ' || (l_linenumber * 100) || ' ns' AS text FROM li UNION ALL SELECT DISTINCT l_orderkey, 'Symbol Min Max Unit' FROM li""")
 def visual_lines(spark, sf):
     return gr.visual_lines(_words(spark, sf)[1]).select("doc_id", "text")
 
 
-@query("""WITH p AS (SELECT o_custkey AS page, o_orderkey AS a, s_suppkey AS b, round(((o_orderkey * 7 + s_suppkey * 13) % 101) / 100.0::DOUBLE, 4) AS score FROM orders JOIN supplier ON s_suppkey % 7 = o_orderkey % 7 AND s_suppkey <= 20),
+@query("""WITH p AS (SELECT o_custkey AS page, o_orderkey AS a, s_suppkey AS b, round(((o_orderkey * 7 + s_suppkey * 13) % 101) / 100.0::DOUBLE, 4) AS score FROM orders JOIN supplier ON s_suppkey % 7 = o_orderkey % 7),
  n AS (SELECT *, row_number() OVER (PARTITION BY page, a ORDER BY score DESC, b) AS n, lead(score) OVER (PARTITION BY page, a ORDER BY score DESC, b) AS nxt FROM p),
  t AS (SELECT *, row_number() OVER (PARTITION BY page, b ORDER BY score DESC, a) AS o FROM n WHERE n = 1 AND score >= 0.5 AND (nxt IS NULL OR score - nxt > 0.15))
 SELECT page, a, b, score FROM t WHERE o = 1""")
 def table_match(spark, sf):
-    j = read(spark, sf, "orders").join(small(read(spark, sf, "supplier")), F.expr("s_suppkey % 7 = o_orderkey % 7 and s_suppkey <= 20"))
+    j = read(spark, sf, "orders").join(small(read(spark, sf, "supplier")), F.expr("s_suppkey % 7 = o_orderkey % 7"))
     return gr.match_tables(j.selectExpr("o_custkey as page", "o_orderkey as a", "s_suppkey as b", "round(((o_orderkey * 7 + s_suppkey * 13) % 101) / 100.0D, 4) as score"))
 
 
@@ -161,15 +160,15 @@ def glossary_hints(spark, sf):
     return read(spark, sf, "benchmark").select("item_id", w.alias("w")).select("item_id", F.explode(hints).alias("hint"))
 
 
-@query("SELECT event_id, event_id % 3 <> 1 AS framing FROM events WHERE event_id % 10 = 0")
+@query("SELECT event_id, event_id % 3 <> 1 AS framing FROM events")
 def framing_sentences(spark, sf):
     e = F.expr("case event_id % 3 when 0 then 'Sure, here it is:' when 1 then concat('The delay is ', event_id + 10, ' ns here.') else 'Hello there friends' end")
-    return read(spark, sf, "events").where("event_id % 10 = 0").select("event_id", st.framing(e).alias("framing"))
+    return read(spark, sf, "events").select("event_id", st.framing(e).alias("framing"))
 
 
-@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'conflict' WHEN 2 THEN 'conflict' ELSE 'absent' END AS verdict FROM lineitem WHERE l_orderkey % 10 = 1")
+@query("SELECT l_orderkey, l_linenumber, CASE l_linenumber % 4 WHEN 0 THEN 'correct' WHEN 1 THEN 'conflict' WHEN 2 THEN 'conflict' ELSE 'absent' END AS verdict FROM lineitem")
 def judge_facts(spark, sf):
     """A value in another unit is right; a negated one and another one conflict; another parameter's doesn't count."""
-    li = read(spark, sf, "lineitem").where("l_orderkey % 10 = 1")
+    li = read(spark, sf, "lineitem")
     said = F.expr("case l_linenumber % 4 when 0 then concat('tRFC is ', int(l_quantity) * 1000, ' ps [1].') when 1 then concat('tRFC is not ', int(l_quantity), ' ns.') when 2 then concat('tRFC is ', int(l_quantity) + 500, ' ns.') else concat('tXX is ', int(l_quantity), ' ns.') end")
-    return li.select("l_orderkey", "l_linenumber", st.judge_fact(said, F.lit("tRFC"), F.col("l_quantity").cast("int").cast("string"), F.lit("ns")).alias("verdict"))
+    return li.select("l_orderkey", "l_linenumber", st.judge_fact(said, F.array(F.lit("tRFC")), F.col("l_quantity").cast("int").cast("string"), F.lit("ns")).alias("verdict"))

@@ -8,7 +8,7 @@ from quillstone.catalog import query, read
 from quillstone.functions import text as tx
 from quillstone.functions import units as un
 from quillstone.operators import chunking, cleaning
-from quillstone.plans.adapters import LINES, chunks, lines
+from quillstone.plans.adapters import LINES, blocks, lines
 from quillstone.sources import loaders
 
 
@@ -196,9 +196,7 @@ def section_stack(spark, sf):
 @query()
 def chunk_adaptive(spark, sf):
     """No SQL: each chunk depends on the one before."""
-    c = chunks(spark, sf)
-    b = c.select("doc_id", F.col("ordinal").alias("ord"), F.col("page_start").cast("int").alias("page"), "text", F.lit("text").alias("kind"), F.concat(F.lit("S"), F.col("section").cast("string")).alias("section"))
-    return chunking.chunk_documents(b)
+    return chunking.chunk_documents(blocks(spark, sf))
 
 
 @query()

@@ -217,16 +217,24 @@ def test_metadata(spark):
     assert [tuple(b) for b in texts(spark, ["a/b/c.txt", "c.txt", "/x/y.txt", "C:\\x\\y"], md.bucket)] == [("a", "b"), ("", ""), ("", ""), ("", "")]
 
 
-def test_calculator():
+def test_calculator(spark):
     from quillstone.functions import calc
 
-    assert calc.evaluate("2 × (3 + 4)^2 - sqrt(16)") == 94
-    for bad in ("__import__('os')", "2**1000", "x", "(1).real", "1+" * 200 + "1"):
+    assert calc.evaluate("2 × (3 + 4)^2 - sqrt(16)") == 94 and calc.evaluate("-2**2 + max(1, 7 // 2, 2) * 2**-1") == -2.5
+    for bad in ("__import__('os')", "2**1000", "x", "(1).real", "1+" * 200 + "1", "", "2 3", "min(1 2)", "(1"):
         with pytest.raises((ValueError, SyntaxError)):
             calc.evaluate(bad)
-    inputs, ok = calc.trace("350 * 1e-9 * 4", [(1, "is 0,35 µs"), (2, "350 there")])
+
+    def trace(expression, sources):
+        df = spark.createDataFrame([(expression, n, t) for n, t in sources], "e string, n int, t string").withColumn("values", calc.stated_values(F.col("t")))
+        df = df.groupBy("e").agg(F.array_sort(F.collect_list(F.struct("n", "values"))).alias("src")).select(calc.traced(calc.number_literals("e"), F.col("src")).alias("i"))
+        row = df.select("i", calc.all_traced(F.col("i")).alias("ok")).first()
+        return [{"value": x.value, "sources": x.sources} for x in row.i], row.ok
+
+    inputs, ok = trace("350 * 1e-9 * 4", [(1, "is 0,35 µs"), (2, "350 there")])
     assert ok and inputs == [{"value": "350", "sources": [2]}]
-    assert calc.trace("4 * 4", [(1, "4")]) == ([], False) and not calc.trace("99 + 1", [(1, "98")])[1]
+    assert trace("4 * 4", [(1, "4")]) == ([], False) and not trace("99 + 1", [(1, "98")])[1]
+    assert trace("3.5e-7 + 1", [(1, "is 0,35 µs"), (2, "3 V")]) == ([{"value": "3.5e-7", "sources": [1]}], True)
     assert calc.json_in('x {bad {"a": {"b": "}"}} y') == {"a": {"b": "}"}} and calc.json_in("none") is None
     text = "\n".join(["head", *[f"line {i} filler words" for i in range(40)], "tRFC 295 here", "tail"])
     cut = calc.excerpt(text, "value 295 of tRFC", 120)
@@ -235,14 +243,25 @@ def test_calculator():
     assert {w: calc.stem(w) for w in words} == words
 
 
-def test_statements():
-    from quillstone.functions.statements import is_framing, judge
-
-    assert is_framing("Sure, here it is:") and is_framing("Hello there my friend") and is_framing("**Note**")
-    assert not is_framing("The delay is 350 ns.") and not is_framing("Hello, DDR5 has ODT always.") and not is_framing("It is so [1].")
-    assert judge("tRFC is 0.35 µs [2]", ["tRFC"], "350", "ns") == "correct"
-    assert judge("tRFC is not 350 ns", ["tRFC"], "350", "ns") == "conflict" and judge("tRFC is 295 ns", ["tRFC"], "350", "ns") == "conflict"
-    assert judge("tXX is 350 ns", ["tRFC"], "350", "ns") == "absent" and judge("max tRFC is 350 ns", ["tRFC"], "350", "ns", "min") == "conflict"
+def test_statements(spark):
+    from quillstone.functions import statements as st
+
+    said = {
+        "Sure, here it is:": True, "Hello there my friend": True, "**Note**": True, "": True, "Teşekkürler, umarım yardımcı olur": True, "# A heading": True,
+        "The delay is 350 ns.": False, "Hello, DDR5 has ODT always.": False, "It is so [1].": False, "It takes 5 V always here": False, "Here is the DDR5 value we have": False, "# A sentence it is.": False,
+    }
+    assert texts(spark, list(said), st.framing) == list(said.values())
+    facts = [
+        ("tRFC is 0.35 µs [2]", "350", "ns", None, "correct"), ("tRFC is not 350 ns", "350", "ns", None, "conflict"), ("tRFC is 295 ns", "350", "ns", None, "conflict"), ("tXX is 350 ns", "350", "ns", None, "absent"),
+        ("max tRFC is 350 ns", "350", "ns", "min", "conflict"), ("min tRFC is 350 ns", "350", "ns", "min", "correct"), ("tRFC is 350 ns, not 295", "350", "ns", None, "conflict"), ("tRFC is 350 ns or 295 ns", "350", "ns", None, "conflict"),
+        ("tRFC is 350 ns for 16 Gb and 295 ns for 8 Gb", "350", "ns", None, "correct"), ("tRFC is 1,2", "1.2", "", None, "correct"), ("tRFC is long", "350", "ns", None, "absent"), (None, "350", "ns", None, "absent"),
+        ("tRFC is 350 ns; the other one, which is quite far away from here, is not", "350", "ns", None, "correct"), ("tRFC is 4", "5", "", None, "conflict"),
+    ]
+    df = spark.createDataFrame([(i, *f) for i, f in enumerate(facts)], "i int, s string, v string, u string, q string, want string")
+    got = df.select("i", "s", "want", st.judge_fact(F.col("s"), F.array(F.lit("tRFC")), F.col("v"), F.col("u"), F.col("q")).alias("v")).collect()
+    assert [(r.s, r.v) for r in got if r.v != r.want] == []
+    one = spark.createDataFrame([("tRFC is 350 ns at 1x mode",), ("tRFC is 350 ns",)], "s string")
+    assert [r.v for r in one.select(st.judge_fact(F.col("s"), F.array(F.lit("tRFC")), F.lit("350"), F.lit("ns"), conditions=F.array(F.lit("1X  mode"))).alias("v")).collect()] == ["correct", "absent"]
 
 
 def test_table_quantities_and_kinds(spark):
