@@ -52,19 +52,23 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     can be reached. Nodes that are the least of theirs, or have no edge, aren't listed.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join; every round is a
-    written table, so neither lineage nor the driver grows with the graph.
+    written table, so neither lineage nor the driver grows with the graph. Minima are written before they are
+    joined: they are broadcast if few, else the join is of two plain shuffles, and a node of very many edges
+    can be split.
     """
     a, b = F.col("a"), F.col("b")
     e = written(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
     last = None
     for _ in range(most):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        discard(e)
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m")), "minima")
+        large = written(join_small(both, low, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        discard(low)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u"), "minima")
+        small = join_small(large, low, F.col("u") == F.col("_u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = written(small.unionByName(low.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
+        for used in (e, low, large):
+            discard(used)
         e, now = new, new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == last or not now[0]:
             break
@@ -72,3 +76,11 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     else:
         raise RuntimeError(f"components did not settle in {most} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("component"))
+
+
+def least_of_group(nodes: DataFrame, first: str, name: str) -> DataFrame:
+    """nodes (root, first, ...) with the least ``first`` of each root as ``name``. Both sides of the join are
+    tables, so one group that holds most nodes can be split."""
+    nodes = written(nodes, "nodes")
+    least = written(nodes.groupBy("root").agg(F.min(first).alias(name)).withColumnRenamed("root", "_root"), "least")
+    return join_small(nodes, least, F.col("root") == F.col("_root")).drop("_root")

@@ -329,14 +329,15 @@ def cluster_vectors(n, seed, dim=16):
 
 
 @pytest.mark.parametrize("cap", [4000, 100])
-def test_vectors_as_brute_force(spark, monkeypatch, cap):
-    monkeypatch.setattr(vectors, "PER_SHARD", 150)
+def test_vectors_as_brute_force(spark, cap):
     v = cluster_vectors(900, 1)
     u = v.astype(float) / np.linalg.norm(v.astype(float), axis=1, keepdims=True)
     link = u @ u.T >= 0.9
     np.fill_diagonal(link, False)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
-    got = {x.vec_id: x for x in vectors.near_duplicates(df, cap=cap).collect()}
+    out, recall = vectors.linked(df, cap=cap)
+    assert 0.98 <= recall <= 1
+    got = {x.vec_id: x for x in out.collect()}
     found = np.array([got[i].n_links for i in range(len(v))])
     true = link.sum(1)
     assert (found <= true).all() and found.sum() >= 0.97 * true.sum()

@@ -62,9 +62,9 @@ def test_pack(hard, empty):
 def test_vectors(spark):
     nan, inf = float("nan"), float("inf")
     v = [(1, [1.0, 0.0], 0), (2, [2.0, 0.0], 0), (3, [1.0, 0.1], 0), (4, [0.0, 1.0], 0), (5, None, 0), (6, [], 0), (7, [0.0, 0.0], 0), (8, [nan, 1.0], 0), (9, [inf, 1.0], 0)]
-    v += [(10, [None, 1.0], 0), (11, [1.0, 0.0, 0.0], 0), (4, [0.0, 1.0], 0), (None, [0.0, 1.0], None), (12, [1e-30, 0.0], 0), (13, [-1.0, 0.0], 0)]
+    v += [(10, [None, 1.0], 0), (11, [1.0, 0.0, 0.0], 0), (4, [0.0, 1.0], 0), (None, [0.0, 1.0], None), (12, [1e-30, 0.0], 0), (13, [-1.0, 0.0], 0), (14, [0.0, 2.0, 0.0], 0), (15, [0.1, 5.0, 0.0], 0)]
     df = spark.createDataFrame(v, "vec_id long, embedding array<float>, label int").withColumn("root", F.lit("x"))
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(df).collect()), key=repr)
-    want = [(i, 3, 1, i == 1) for i in (1, 2, 3, 12)] + [(4, 2, 4, True)] * 2 + [(None, 2, 4, False)] + [(i, 0, i, True) for i in (5, 6, 7, 8, 9, 10, 11, 13)]
+    want = [(i, 3, 1, i == 1) for i in (1, 2, 3, 12)] + [(4, 2, 4, True)] * 2 + [(None, 2, 4, False)] + [(i, 0, i, True) for i in (5, 6, 7, 8, 9, 10, 11, 13)] + [(14, 1, 14, True), (15, 1, 14, False)]
     assert got == sorted(want, key=repr)
     assert vectors.near_duplicates(df.where("false")).count() == 0
