@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import components, join_small, row_key
+from quillstone.llm.common import components, join_small, least_of_group, row_key
 from quillstone.session import arrow_batches, discard, written
 
 SEED = 42
@@ -85,15 +85,23 @@ def _variants(ring: list[tuple[int, int]], start: int, chain: int, distance: int
     return found
 
 
-def links(fps: DataFrame, distance: int = 4, chain: int = 2) -> DataFrame:
-    """(a, b): the pairs a < b of distinct fingerprints at most ``distance`` bits apart, each once.
+def chain_for(n: int, distance: int) -> int:
+    """Segments of a chain, for n fingerprints: the fewest with which a chain's key has 64 times as many values as
+    there are fingerprints, so that by chance a probe meets few. Links are the same for every chain."""
+    ring = _ring(distance)
+    bits = [min(_cover(ring, i, c).bit_count() for i in range(len(ring))) for c in range(1, len(ring) + 1)]
+    return next((c for c, b in enumerate(bits, 1) if 1 << b >= 64 * n), len(ring))
 
-    A chain of two segments is a key of 25 or more bits; take 3 for more than 10^8 fingerprints.
-    """
+
+def links(fps: DataFrame, distance: int = 4, chain: int | None = None) -> DataFrame:
+    """(a, b): the pairs a < b of distinct fingerprints at most ``distance`` bits apart, each once."""
     ring = _ring(distance)
     m = len(ring)
-    chain = min(chain, m)
     each = fps.select("fp").distinct()
+    if chain is None:
+        each = written(each, "distinct-fingerprints")
+        chain = chain_for(each.count(), distance)
+    chain = min(chain, m)
     lit = lambda x: F.lit(_signed(x)).cast("long")
     whole = [F.col("fp").bitwiseAND(lit(_cover(ring, i, chain))) for i in range(m)]
     index = each.select(F.col("fp").alias("b"), F.posexplode(F.array(*whole)).alias("start", "key"))
@@ -107,7 +115,7 @@ def links(fps: DataFrame, distance: int = 4, chain: int = 2) -> DataFrame:
     return probe.join(index, ["start", "key"]).where((F.col("a") < F.col("b")) & near).select("a", "b").distinct()
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, chain: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, chain: int | None = None) -> DataFrame:
     """(doc_id, fingerprint, component_id): a row for each row of docs; component_id is the least doc_id
     that links reach.
 
@@ -116,12 +124,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, chain:
     ids can be least; a group in which no row has an id has a null component_id.
     """
     fps = written(fingerprints(docs, shingle), "fingerprints")
-    found = components(written(links(fps, distance, chain), "links"))
+    pairs = written(links(fps, distance, chain), "links")
+    found = components(pairs)
+    discard(pairs)
     first = fps.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    root = first.join(found, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("root"))
-    least = root.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = root.join(least, "root").select("fp", "component_id")
-    out = fps.join(of, "fp")
+    root = first.join(found, F.col("fp") == F.col("node"), "left").select(F.col("fp").alias("_fp"), "first", F.coalesce("component", "fp").alias("root"))
+    of = written(least_of_group(root, "first", "component_id").select("_fp", "component_id"), "simhash-groups")
+    out = join_small(fps, of, F.col("fp") == F.col("_fp"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
