@@ -1,8 +1,9 @@
 """Toxic passages: maximum-scoring segments over token log-odds, calibrated by extreme values.
 
-1. From labelled documents, every word and its leading 4, 5 and 6 bytes are counted by class. A unit's
-   toxic share has a Beta prior (a two-class Dirichlet) centred on its shorter prefix's share, and that of
-   the shortest on one half. So inflected forms that training never saw get their stem's log-odds.
+1. In labelled documents, every word and its first 4, 5 and 6 characters are counted by class. A unit's toxic
+   share has a Beta prior (a two-class Dirichlet) centred on its shorter prefix's share, and that of the
+   shortest on one half. So inflected forms that training never saw get their stem's log-odds. A unit speaks,
+   for either side, if it or a prefix of it has evidence: a log-likelihood ratio against chance.
 2. A document's words score their log-odds less a constant drift. One linear scan (Ruzzo and Tompa) finds
    all maximal segments.
 3. Under chance, the best segment of n words follows an extreme-value law: lambda * S - ln(K n) is
@@ -10,12 +11,16 @@
    fewer than 1 in 20 documents are significant.
 4. A logistic link, fitted to labelled documents, turns the best calibrated segment and the number of
    significant ones into a score from 0 to 1.
+
+Labelled documents fall into folds. For 3 and 4 a document is scored by what the other folds have counted, as
+a new one would be; and so are prior, drift and evidence chosen: those with the least log loss.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -24,65 +29,69 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillstone.llm.common import about
-from quillstone.session import arrow_batches, written
+from quillstone.session import arrow_batches, discard, written
 
 #: About how many labelled rows of each class the classifier is fitted to, at most.
 SAMPLE = 20_000
 #: Units that the model holds, at most: those with the strongest evidence.
-UNITS = 200_000
-PRIOR = 1.5
-KEEP = 1.5
-DRIFT = 0.25
-#: Evidence that a unit of its own needs: twice the log-likelihood ratio against the share of toxic documents.
-EVIDENCE = 15.0
+UNITS = 100_000
+FOLDS = 4
+#: What is tried: the prior's weight in documents, the drift, and the evidence that a unit needs.
+PRIORS = (2.0, 8.0, 32.0)
+DRIFTS = (0.25, 0.5, 1.0)
+EVIDENCES = (4.0, 15.0)
 SIGNIFICANT = 0.05
-_EDGES = b".,;:!?\"'()[]{}<>*_~-"
+_EDGES = ".,;:!?\"'()[]{}<>*_~-"
 _PREFIXES = (6, 5, 4)
 
 
-def _words(text: bytes | None) -> list[bytes]:
-    return [w for x in (text or b"").lower().split() if (w := x.strip(_EDGES))]
+def _words(text: str | None) -> list[str]:
+    return [w for x in (text or "").lower().split() if (w := x.strip(_EDGES))]
 
 
-def _units(word: bytes) -> list[bytes]:
+def _units(word: str) -> list[str]:
     """The word itself, then ever shorter prefixes, marked by a blank, which words have not."""
-    return [word, *[word[:k] + b" " for k in _PREFIXES if len(word) > k], *([word + b" "] if len(word) == 4 else [])]
-
-
-def _segments(hits: list[tuple[int, float]]) -> list[tuple[float, int, int]]:
-    """All maximal scoring segments (score, first word, last word) by the scan of Ruzzo and Tompa. hits:
-    (place, positive score); every other word scores -DRIFT."""
-    stack: list[list] = []  # [sum before, sum through, first, last]
-    total, last = 0.0, -1
-    for at, score in hits:
-        total -= DRIFT * (at - last - 1)
-        new = [total, total + score, at, at]
-        total, last = total + score, at
+    return [word, *[word[:k] + " " for k in _PREFIXES if len(word) > k], *([word + " "] if len(word) == 4 else [])]
+
+
+def _segments(scores) -> list[tuple[float, int, int]]:
+    """All maximal scoring segments (score, first, last) of a list of scores, by the scan of Ruzzo and Tompa. Each
+    candidate knows the last one before it with a lower sum on its left, so every step back is taken once."""
+    scores = np.asarray(scores, float)
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    left: list[float] = []
+    right: list[float] = []
+    first: list[int] = []
+    lower: list[int] = []
+    last: list[int] = []
+    for k in np.flatnonzero(scores > 0).tolist():
+        lo, hi, at, j = float(sums[k]), float(sums[k + 1]), k, len(left) - 1
         while True:
-            j = len(stack) - 1
-            while j >= 0 and stack[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or stack[j][1] >= new[1]:
+            while j >= 0 and left[j] >= lo:
+                j = lower[j]
+            if j < 0 or right[j] >= hi:
                 break
-            new = [stack[j][0], new[1], stack[j][2], new[3]]
-            del stack[j:]
-        stack.append(new)
-    return [(x[1] - x[0], x[2], x[3]) for x in stack]
-
-
-def _scan(text: bytes | None, model: dict[bytes, float], memo: dict[bytes, float]) -> tuple[int, list[tuple[float, int, int]]]:
-    words = _words(text)
-    hits = []
-    for at, w in enumerate(words):
+            lo, at, top, j = left[j], first[j], j, lower[j]
+            del left[top:], right[top:], first[top:], lower[top:], last[top:]
+        left.append(lo)
+        right.append(hi)
+        first.append(at)
+        lower.append(j)
+        last.append(k)
+    return [(r - x, a, z) for x, r, a, z in zip(left, right, first, last, strict=True)]
+
+
+def _looked_up(words: list[str], model: dict, memo: dict, missing) -> list:
+    """For each word what the model has of its most specific known unit."""
+    out = []
+    for w in words:
         s = memo.get(w)
         if s is None:
-            s = next((model[u] for u in _units(w) if u in model), 0.0) - DRIFT
             if len(memo) > 400_000:
                 memo.clear()
-            memo[w] = s
-        if s > 0:
-            hits.append((at, s))
-    return len(words), _segments(hits)
+            s = memo[w] = next((model[u] for u in _units(w) if u in model), missing)
+        out.append(s)
+    return out
 
 
 def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
@@ -91,15 +100,20 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     sizes = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}
     chosen = [about(marked.where(F.col("toxic") == x), rows, sizes.get(x, 0), F.col("_of")) for x in (0, 1)]
     chosen = written(chosen[0].unionByName(chosen[1]), "toxic-labels")  # about twice ``rows`` rows at most
-    slim = docs.select(docs["doc_id"].alias("_id"), docs["text"].cast("binary").alias("text"))
+    slim = docs.select(docs["doc_id"].alias("_id"), docs["text"])
     return slim.join(F.broadcast(chosen), F.col("_id") == F.col("_of")).select("text", "toxic")
 
 
 class Model:
-    """Log-odds of units, and the calibration: lambda, ln K and three logistic weights."""
+    """Log-odds of units, the drift, and the calibration: lambda, ln K and three logistic weights."""
 
-    def __init__(self, units: dict[bytes, float], scale=1.0, offset=0.0, link=(-4.0, 1.0, 0.0)):
-        self.units, self.scale, self.offset, self.link = units, scale, offset, link
+    def __init__(self, units: dict[str, float], drift=1.0, scale=1.0, offset=0.0, link=(-4.0, 1.0, 0.0)):
+        self.units, self.drift, self.scale, self.offset, self.link = units, drift, scale, offset, link
+
+    def segments(self, text: str | None, memo: dict) -> tuple[int, list[tuple[float, int, int]]]:
+        """(words, segments) of a text."""
+        words = _words(text)
+        return len(words), _segments(np.array(_looked_up(words, self.units, memo, 0.0)) - self.drift) if words else []
 
     def features(self, n: int, segments: list[tuple[float, int, int]]) -> tuple[float, float]:
         """The best segment's calibrated score, and ln(1 + significant segments)."""
@@ -130,79 +144,137 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, units: int = UNITS) -> Model:
-    """A model from the labelled documents among docs. Without labels of both classes, every score is
-    below one half."""
+def _gumbel(best: np.ndarray, n: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+    """lambda and ln K by the method of moments, over clean documents that have a segment."""
+    clean = (toxic == 0) & (best > 0)
+    if clean.sum() >= 30 and best[clean].std() > 0:
+        scale = float(np.clip(math.pi / (best[clean].std() * math.sqrt(6)), 0.2, 2.0))
+        return scale, float(scale * best[clean].mean() - 0.5772 - np.log(np.maximum(n[clean], 1)).mean())
+    return 1.0, -math.log(max(1.0, float(n.mean())))  # log-odds in nats: lambda is 1 by definition
+
+
+def _log_loss(a: np.ndarray, toxic: np.ndarray) -> float:
+    w = _logistic(a[:, None], toxic)
+    p = np.clip(1 / (1 + np.exp(-np.clip(w[0] + w[1] * a, -30, 30))), 1e-9, 1 - 1e-9)
+    return float(-(toxic * np.log(p) + (1 - toxic) * np.log(1 - p)).mean())
+
+
+class Counts:
+    """Documents of each class that have a unit, by fold; the columns of bad and good are folds."""
+
+    def __init__(self, units: list[str], bad: np.ndarray, good: np.ndarray, sizes: np.ndarray):
+        self.units, self.bad, self.good, self.sizes = units, bad, good, sizes
+        at = {u: i for i, u in enumerate(units)}
+        above = lambda u: [u[:k] + " " for k in _PREFIXES if k < len(u) - 1] if u.endswith(" ") else _units(u)[1:]
+        self.parent = np.array([next((at[p] for p in above(u) if p in at), -1) for u in units], np.int64)
+        level = np.array([len(u) - 1 if u.endswith(" ") else 99 for u in units], np.int64)  # short prefixes first, words last
+        self.levels = [np.flatnonzero(level == k) for k in (*sorted(_PREFIXES), 99)]
+
+    def weights(self, prior: float, evidence: float, without: int | None = None) -> np.ndarray:
+        """The log-odds of each unit from all folds but one; 0 for those without evidence."""
+        folds = [f for f in range(self.bad.shape[1]) if f != without]
+        bad, good, (n1, n0) = self.bad[:, folds].sum(1), self.good[:, folds].sum(1), self.sizes[:, folds].sum(1)
+        if not n1 or not n0:
+            return np.zeros(len(self.units), np.float32)
+        base = n1 / (n0 + n1)
+        term = lambda n, rate: np.where(n > 0, n * np.log(np.maximum(n, 1e-9) / np.maximum((bad + good) * rate, 1e-9)), 0.0)
+        g, q, even = 2 * (term(bad, base) + term(good, 1 - base)), np.full(len(bad), 0.5), good * (n1 / n0)
+        for rows in self.levels:
+            p = self.parent[rows]
+            above = np.where(p >= 0, q[p], 0.5)
+            q[rows] = (bad[rows] + prior * above) / (bad[rows] + even[rows] + prior)
+            g[rows] = np.maximum(g[rows], np.where(p >= 0, g[p], 0.0))
+        return np.where(g >= evidence, np.log(q / (1 - q)), 0.0).astype(np.float32)
+
+
+def _counts(sample: DataFrame, sizes: np.ndarray, units: int) -> Counts:
+    """The units with the strongest evidence, ``units`` at most."""
+    slots = 2 * FOLDS
 
     def count(batches):
         tally: Counter = Counter()
         for b in batches:
-            for text, toxic in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for text, toxic, fold in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
                 # Documents, not occurrences: one that repeats a word is not more evidence.
-                tally.update((u, toxic) for u in {u for w in set(_words(text)) for u in _units(w)})
+                tally.update((u, 2 * fold + toxic) for u in {u for w in set(_words(text)) for u in _units(w)})
             if len(tally) > 300_000:
                 yield out(tally)
                 tally.clear()
         yield out(tally)
 
     def out(tally):
-        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in tally], pa.binary()), pa.array([c if t else 0 for (_, t), c in tally.items()], pa.int64()), pa.array([0 if t else c for (_, t), c in tally.items()], pa.int64())], ["unit", "bad", "good"])
+        return pa.RecordBatch.from_arrays([pa.array([u for u, _ in tally], pa.string()), pa.array([k for _, k in tally], pa.int32()), pa.array(tally.values(), pa.int64())], ["unit", "slot", "n"])
+
+    each = sample.select("text", "toxic", "fold").mapInArrow(count, "unit string, slot int, n long")
+    table = each.groupBy("unit").agg(*[F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)).cast("double").alias(f"n{k}") for k in range(slots)])
+    bad, good = (sum((F.col(f"n{k}") for k in range(x + 2, slots, 2)), F.col(f"n{x}")) for x in (1, 0))
+    base = float(sizes[0].sum() / sizes.sum())
+    term = lambda n, rate: F.when(n > 0, n * F.log(n / ((bad + good) * rate))).otherwise(0.0)
+    table = table.where(bad + good > 1).withColumn("g", 2 * (term(bad, base) + term(good, 1 - base))).where(F.col("g") >= min(EVIDENCES))
+    rows = table.orderBy(F.desc("g"), "unit").limit(units).drop("g").toArrow()
+    n = np.column_stack([rows.column(f"n{k}").to_numpy() for k in range(slots)]) if rows.num_rows else np.zeros((0, slots))
+    return Counts(rows.column("unit").to_pylist(), n[:, 1::2], n[:, 0::2], sizes)
 
+
+def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE, units: int = UNITS) -> Model:
+    """A model from the labelled documents among docs. Without labels of both classes, every score is
+    below one half."""
     arrow_batches(docs.sparkSession)
-    # Copies are one piece of evidence: else the words of a text that was copied often would pass for toxic.
-    sample = written(_sample(docs, labels, rows).dropDuplicates(["text", "toxic"]), "toxic-sample")
-    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    if len(sizes) < 2:
+    context = docs.sparkSession.sparkContext
+    # Copies are one piece of evidence, and of one fold: else the words of a text that was copied often would pass for toxic.
+    sample = _sample(docs, labels, rows).dropDuplicates(["text", "toxic"])
+    sample = written(sample.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "text"), F.lit(FOLDS)).cast("int")), "toxic-sample")
+    sizes = np.zeros((2, FOLDS))
+    for r in sample.groupBy("toxic", "fold").count().collect():
+        sizes[1 - r["toxic"], r["fold"]] = r["count"]
+    if not sizes.sum(1).all():
         return Model({})
-    counts = sample.mapInArrow(count, "unit binary, bad long, good long").groupBy("unit").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    counts = written(counts.withColumn("good", F.col("good") * F.lit(sizes[1] / sizes[0])).where("bad + good > 1"), "toxic-counts")
-    # Shares from the shortest prefixes on: each level's prior is the level before.
-    unit, size = F.col("unit"), F.length("unit")
-    is_prefix = F.substring(unit, size, F.lit(1)) == F.lit(b" ")
-    level = lambda k: counts.where(is_prefix & (size == k + 1)) if k else counts.where(~is_prefix)
-    share = lambda parent: (F.col("bad") + PRIOR * parent) / (F.col("bad") + F.col("good") + PRIOR)
-    base, bad, good = sizes[1] / (sizes[0] + sizes[1]), F.col("bad").cast("double"), F.col("good") * (sizes[0] / sizes[1])
-    term = lambda n, rate: F.when(n > 0, n * F.log(n / ((bad + good) * rate))).otherwise(0.0)
-    # A share counts by itself only with evidence: of many rare words, some are in toxic documents by chance.
-    own = lambda q: F.when(2 * (term(bad, base) + term(good, 1 - base)) >= EVIDENCE, q).otherwise(0.0)
-    known = level(4).select(unit, share(F.lit(0.5)).alias("q"), own(share(F.lit(0.5))).alias("top"))
-    levels = [known]
-    stem = known
-    for k in (5, 6, 0):
-        above = stem.select(F.col("unit").alias("_stem"), F.col("q").alias("_q"), F.col("top").alias("_top"))
-        cut = F.substring(unit, F.lit(1), F.lit(k - 1)) if k else F.substring(unit, F.lit(1), F.least(size, F.lit(6)))
-        here = level(k).join(above, F.concat(cut, F.lit(b" ")) == F.col("_stem"), "left")
-        q = share(F.coalesce("_q", F.lit(0.5)))
-        here = here.select(unit, q.alias("q"), F.greatest(own(q), F.coalesce("_top", F.lit(0.0))).alias("top"))
-        levels.append(here)
-        stem = here if k else stem
-    every = levels[0].unionByName(levels[1]).unionByName(levels[2]).unionByName(levels[3])
-    odds = lambda q: F.log(F.col(q) / (1 - F.col(q)))
-    strong = every.where(odds("top") >= KEEP).orderBy(F.desc("top"), "unit").limit(units)
-    model = Model({bytes(r["unit"]): r["w"] for r in strong.select("unit", odds("q").alias("w")).collect()})
-
-    def segments(batches):
-        memo: dict = {}
+    counts = _counts(sample, sizes, units)
+    tried = list(product(PRIORS, EVIDENCES))
+    table = context.broadcast((counts.units, [np.array([counts.weights(p, e, f) for p, e in tried]) for f in range(FOLDS)]))
+
+    def best(batches):
+        names, weights = table.value
+        index, memo = {u: i for i, u in enumerate(names)}, {}
+        for b in batches:
+            out = []
+            for text, fold in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                ids = np.array(_looked_up(_words(text), index, memo, -1), np.int64)
+                w = np.where(ids >= 0, weights[fold][:, ids], 0.0) if len(names) and len(ids) else np.zeros((len(tried), len(ids)))
+                out.append([len(ids), *(max((x[0] for x in _segments(row - d)), default=0.0) for row in w for d in DRIFTS)])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1:] for x in out], pa.list_(pa.float64()))], ["toxic", "fold", "n", "best"])
+
+    seen = sample.select("text", "toxic", "fold").mapInArrow(best, "toxic int, fold int, n long, best array<double>").toArrow()  # numbers of the bounded sample
+    toxic, n = seen.column("toxic").to_numpy(), seen.column("n").to_numpy()
+    by = np.array(seen.column("best").to_pylist(), float)
+    losses = []
+    for k in range(by.shape[1]):
+        scale, offset = _gumbel(by[:, k], n, toxic)
+        losses.append(_log_loss(np.clip(np.where(by[:, k] > 0, scale * by[:, k] - offset - np.log(np.maximum(n, 1)), -20.0), -20.0, 40.0), toxic))
+    k = int(np.argmin(losses))
+    (prior, evidence), drift = tried[k // len(DRIFTS)], DRIFTS[k % len(DRIFTS)]
+    scale, offset = _gumbel(by[:, k], n, toxic)
+
+    def features(batches):
+        names, weights = table.value
+        models = [Model({u: float(x) for u, x in zip(names, w[k // len(DRIFTS)], strict=True)}, drift, scale, offset) for w in weights]
+        memos: list[dict] = [{} for _ in models]
         for b in batches:
-            best = [(n, max((x[0] for x in s), default=0.0)) for n, s in (_scan(t, model.units, memo) for t in b.column(0).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[0] for x in best], pa.int64()), pa.array([x[1] for x in best], pa.float64())], ["toxic", "n", "best"])
+            out = [models[f].features(*models[f].segments(t, memos[f])) for t, f in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([x[0] for x in out], pa.float64()), pa.array([x[1] for x in out], pa.float64())], ["toxic", "a", "b"])
 
-    seen = sample.mapInArrow(segments, "toxic int, n long, best double").toPandas()  # numbers of the bounded sample
-    clean = seen[(seen["toxic"] == 0) & (seen["best"] > 0)]
-    if len(clean) >= 30 and clean["best"].std() > 0:
-        model.scale = float(np.clip(math.pi / (clean["best"].std() * math.sqrt(6)), 0.2, 2.0))
-        model.offset = float(model.scale * clean["best"].mean() - 0.5772 - np.log(clean["n"].clip(lower=1)).mean())
-    else:  # log-odds in nats: lambda is 1 by definition
-        model.offset = -math.log(max(1.0, float(seen["n"].mean())))
-    x = np.array([model.features(n, [(s, 0, 0)] if s > 0 else []) for n, s in zip(seen["n"], seen["best"], strict=True)])
-    model.link = _logistic(x, seen["toxic"].to_numpy(float))
-    return model
+    seen = sample.select("text", "toxic", "fold").mapInArrow(features, "toxic int, a double, b double").toArrow()
+    link = _logistic(np.column_stack([seen.column("a").to_numpy(), seen.column("b").to_numpy()]), seen.column("toxic").to_numpy().astype(float))
+    table.destroy()
+    discard(sample)
+    final = counts.weights(prior, evidence)
+    return Model({u: float(w) for u, w in zip(counts.units, final, strict=True) if w}, drift, scale, offset, link)
 
 
 def _scanned(docs: DataFrame, model: Model) -> DataFrame:
     """(_row, text, _score, _passages): _row has docs' other columns, so their names can't clash."""
     arrow_batches(docs.sparkSession)
-    slim = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("_row"), docs["text"].cast("binary").alias("_text"), docs["text"])
+    slim = docs.select(F.struct(*[docs[c] for c in docs.columns if c != "text"]).alias("_row"), docs["text"])
     passage = T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("score", T.DoubleType())])
     schema = slim.select("_row", "text").schema.add("_score", "double").add("_passages", T.ArrayType(passage))
     arrow = pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64()), ("score", pa.float64())]))
@@ -212,10 +284,10 @@ def _scanned(docs: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             scores, found = [], []
             for t in b.column(1).to_pylist():
-                n, s = _scan(t, model.units, memo)
+                n, s = model.segments(t, memo)
                 scores.append(model.score(n, s))
                 found.append([{"first": a, "last": z, "score": x} for x, a, z in s if model.features(n, [(x, a, z)])[1] > 0])
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(scores, pa.float64()), pa.array(found, arrow)], names=["_row", "text", "_score", "_passages"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.float64()), pa.array(found, arrow)], names=["_row", "text", "_score", "_passages"])
 
     return slim.mapInArrow(run, schema)
 
