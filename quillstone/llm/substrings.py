@@ -11,6 +11,7 @@ any run covers which is not the first of its kind, in order of document and plac
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 
 import pyarrow as pa
@@ -73,8 +74,8 @@ def sentences(text: str, window: int = WINDOW) -> list[tuple[str, list[str]]]:
     return out
 
 
-def _spans(pieces: list[tuple[str, list[str]]], several: int, least: int) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, sentences) of the run from each sentence on."""
+def _spans(pieces: list[tuple[str, list[str]]], several: int, least: int) -> list[tuple[int, int, int, int]]:
+    """(hash of 128 bits in two numbers, first sentence, sentences) of the run from each sentence on."""
     words = [" ".join(w).encode(errors="surrogatepass") for _, w in pieces]
     counts = [len(w) for _, w in pieces]
     out, end, total = [], 0, 0
@@ -84,32 +85,31 @@ def _spans(pieces: list[tuple[str, list[str]]], several: int, least: int) -> lis
             end += 1
         if end - i < several or total < least:
             break
-        h = xxhash.xxh64_intdigest(b"\n".join(words[i:end]))
-        out.append((h - (1 << 64) if h >> 63 else h, i, end - i))
+        out.append((*struct.unpack("<qq", xxhash.xxh3_128_digest(b"\n".join(words[i:end]))), i, end - i))
         total -= counts[i]
     return out
 
 
 def spans(docs: DataFrame, several: int = SEVERAL, words: int = WORDS) -> DataFrame:
-    """(hash, doc_id, key, first, n): a row for every run."""
+    """(h1, h2, doc_id, key, first, n): a row for every run."""
 
     def run(batches):
         for b in batches:
             for k in range(0, b.num_rows, 500):
                 part = b.slice(k, 500)
-                cols: list[list] = [[], [], [], [], []]
+                cols: list[list] = [[] for _ in range(6)]
                 for doc, key, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     found = _spans(sentences(text or ""), several, words)
                     if found:
                         for c, v in zip(cols, (*zip(*found, strict=True),), strict=False):
                             c.extend(v)
-                        cols[3].extend([doc] * len(found))
-                        cols[4].extend([key] * len(found))
-                kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["hash", "first", "n", "doc_id", "key"])
+                        cols[4].extend([doc] * len(found))
+                        cols[5].extend([key] * len(found))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["h1", "h2", "first", "n", "doc_id", "key"])
 
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs["doc_id"], docs["text"]).alias("key"), docs["text"])
-    return slim.mapInArrow(run, "hash long, first int, n int, doc_id long, key long")
+    return slim.mapInArrow(run, "h1 long, h2 long, first int, n int, doc_id long, key long")
 
 
 def deduplicate(docs: DataFrame, several: int = SEVERAL, words: int = WORDS) -> DataFrame:
@@ -118,7 +118,8 @@ def deduplicate(docs: DataFrame, several: int = SEVERAL, words: int = WORDS) ->
     The first occurrence is that of the least doc_id (null last), then of the first sentence. Null and
     empty texts stay as they are, as do texts of fewer than ``several`` sentences. Rows that repeat both
     id and text are one document, and each of them keeps what it keeps. Of copies under different ids, the
-    least keeps its text, and the others keep the last sentences of a text that is too short for a run.
+    least keeps its text, and the others keep the last sentences of a text that is too short for a run. Runs are
+    equal if 128-bit hashes are; rows are told apart by id and, where they share it, by a 64-bit hash of the text.
     """
     return _cut(docs, several, words).select(*[F.col("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
@@ -133,16 +134,16 @@ def _cut(docs: DataFrame, several: int, words: int) -> DataFrame:
     arrow_batches(docs.sparkSession)
     runs = written(spans(docs, several, words), "spans")
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "first")
-    seen = runs.groupBy("hash").agg(F.count("*").alias("times"), F.min(place).alias("origin")).where("times > 1")
+    seen = runs.groupBy("h1", "h2").agg(F.count("*").alias("times"), F.min(place).alias("origin")).where("times > 1")
     # Runs of a very frequent passage share a key. As the other side is a table of its own, both sides of the
     # join are plain shuffles, of which adaptive execution splits the skewed partitions.
-    seen = written(seen.select("hash", "origin"), "repeated")
-    again = runs.join(seen.hint("merge"), "hash").where(place != F.col("origin"))
-    gone = again.groupBy("key").agg(F.collect_set(F.struct("first", "n")).alias("_gone")).withColumnRenamed("key", "_of")
+    seen = written(seen.select("h1", "h2", "origin"), "repeated")
+    again = runs.join(seen.hint("merge"), ["h1", "h2"]).where(place != F.col("origin"))
+    gone = again.groupBy("key", "doc_id").agg(F.collect_set(F.struct("first", "n")).alias("_gone")).withColumnsRenamed({"key": "_of", "doc_id": "_of_id"})
 
     names = docs.columns
-    keyed = docs.select(F.struct(*[docs[c] for c in names if c != "text"]).alias("_row"), docs["text"], row_key(docs["doc_id"], docs["text"]).alias("_key"))
-    joined = keyed.join(gone, F.col("_key") == F.col("_of"), "left").select("_row", "text", "_gone")
+    keyed = docs.select(F.struct(*[docs[c] for c in names if c != "text"]).alias("_row"), docs["text"], docs["doc_id"].cast("long").alias("_id"), row_key(docs["doc_id"], docs["text"]).alias("_key"))
+    joined = keyed.join(gone, (F.col("_key") == F.col("_of")) & F.col("_id").eqNullSafe(F.col("_of_id")), "left").select("_row", "text", "_gone")
 
     def cut(batches):
         for b in batches:
