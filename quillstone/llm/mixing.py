@@ -3,13 +3,15 @@
 1. Every source gets a target in tokens: its weight's share of all tokens, at most ``max_epochs`` times
    its own size; what is above that is shared again by weight (water-filling, in closed form).
 2. The mix is cut into equal blocks. Blocks go to sources by the highest quotients amount / (2k - 1).
-3. Each source's documents fall into seeded shards of bounded size, and the source's blocks go to its
-   shards by the same rule: integer quotas per shard.
+3. Each source's documents fall into seeded shards of bounded size, about as many to a group as a source has
+   groups. The source's blocks go to its groups, and a group's to its shards, by the same rule: integer quotas
+   per shard.
 4. A shard's documents stand in seeded order on a ring of tokens; the shard takes its quota of blocks
    from a seeded block onwards, round the ring as often as the quota asks for.
 
-All of it is DataFrame expressions. Windows are over shards, over a source's shards, and over sources;
-never over a source's documents.
+All of it is DataFrame expressions. Windows are over a shard's documents, over a group's shards, over a source's
+groups, and over sources; never over a source's documents. With sources of 10^13 words, there are 12,000 groups of as
+many shards; sources are taken to be few enough to be sorted in one task.
 """
 
 from __future__ import annotations
@@ -44,17 +46,17 @@ def water_fill(sources: DataFrame, max_epochs: int) -> DataFrame:
     )
 
 
-def sainte_lague(items: DataFrame, amount: str, blocks: str, key: str, out: str, by: str | None = None) -> DataFrame:
+def sainte_lague(items: DataFrame, amount: str, blocks: str, key: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds ``out``: how many of ``blocks`` each item gets by the highest quotients amount / (2k - 1);
     ties go to the lesser key. ``blocks`` is the same in all rows of a group.
 
     No list of all quotients is made: with S items, all quotients above that of the divisor of
     blocks - S/2 are certain to win, and none beyond that of blocks + S/2 can, so about 3 S remain.
     """
-    group = Window.partitionBy(by) if by else Window.partitionBy()
+    group = Window.partitionBy(*by)
     a, n = F.col(amount).cast("double"), F.col(blocks).cast("double")
     total, half = F.col("_sum"), F.col("_items") / 2.0
-    rank = (Window.partitionBy(by) if by else Window.partitionBy()).orderBy(F.col("_quotient").desc(), F.col(key))
+    rank = Window.partitionBy(*by).orderBy(F.col("_quotient").desc(), F.col(key))
     share = lambda of: F.when(total > 0, F.floor(a * F.greatest(of, F.lit(0.0)) / total + 0.5)).otherwise(0)
     ready = (
         items.withColumn("_sum", F.sum(a).over(group))
@@ -69,7 +71,7 @@ def sainte_lague(items: DataFrame, amount: str, blocks: str, key: str, out: str,
     return won.groupBy(*kept, "_base").agg(F.sum(F.col("_won").cast("long")).alias("_more")).select(*kept, (F.col("_base") + F.col("_more")).alias(out))
 
 
-def _plan(docs: DataFrame, slim: DataFrame, weigh, max_epochs: int, block_tokens: int, shard_tokens: int, max_shards: int, seed: str) -> DataFrame:
+def _plan(docs: DataFrame, slim: DataFrame, weigh, max_epochs: int, block_tokens: int, shard_tokens: int, seed: str) -> DataFrame:
     """docs (_id, _s, _n, more columns) with _size, _target, _at (its first token on its shard's ring of
     _len tokens), _epochs, _off and _rem: the ring is taken _epochs times, and _rem tokens from _off on."""
     sources = water_fill(weigh(slim.groupBy("_s").agg(F.sum("_n").alias("_size"))), max_epochs)
@@ -79,27 +81,32 @@ def _plan(docs: DataFrame, slim: DataFrame, weigh, max_epochs: int, block_tokens
     block = F.greatest(F.lit(1), F.least(F.lit(block_tokens), F.floor(F.coalesce(least, F.lit(1.0)) / 32))).cast("long")
     sources = sources.withColumn("_block", block).withColumn("_all", F.round(F.sum("_target").over(whole) / F.col("_block")).cast("long"))
     sources = sainte_lague(sources, "_target", "_all", "_rank", "_quota")
-    shards = F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("_size") / shard_tokens))).cast("long")
-    sources = written(sources.withColumn("_shards", shards), "mix-sources")
+    shards = F.greatest(F.lit(1), F.ceil(F.col("_size") / shard_tokens)).cast("long")
+    groups = F.ceil(F.sqrt(shards.cast("double"))).cast("long")
+    sources = sources.withColumn("_groups", groups).withColumn("_shards", F.ceil(shards / F.col("_groups")).cast("long"))
+    sources = written(sources, "mix-sources")
 
     def placed(df: DataFrame) -> DataFrame:
-        of = sources.select(F.col("_s").alias("_of"), "_rank", "_shards")
-        out = join_small(df, of, F.col("_s").eqNullSafe(F.col("_of"))).drop("_of")
-        return out.withColumn("_h", md5_long(F.lit(seed), F.col("_id"))).withColumn("_shard", F.col("_h") % F.col("_shards"))
-
-    lens = placed(slim).groupBy("_rank", "_shard").agg(F.sum("_n").alias("_len"))
-    lens = join_small(lens, sources.select(F.col("_rank").alias("_r"), "_quota", "_block", "_size", "_target"), F.col("_rank") == F.col("_r")).drop("_r")
-    lens = sainte_lague(lens, "_len", "_quota", "_shard", "_q", by="_rank").drop("_quota")
+        of = sources.select(F.col("_s").alias("_of"), "_rank", "_groups", "_shards")
+        out = join_small(df, of, F.col("_s").eqNullSafe(F.col("_of"))).drop("_of").withColumn("_h", md5_long(F.lit(seed), F.col("_id")))
+        return out.withColumn("_group", F.col("_h") % F.col("_groups")).withColumn("_shard", F.expr("_h div _groups") % F.col("_shards"))
+
+    lens = written(placed(slim).groupBy("_rank", "_group", "_shard").agg(F.sum("_n").alias("_len")), "mix-shards")
+    parts = lens.groupBy("_rank", "_group").agg(F.sum("_len").alias("_words"))
+    parts = join_small(parts, sources.select(F.col("_rank").alias("_r"), "_quota", "_block", "_size", "_target"), F.col("_rank") == F.col("_r")).drop("_r")
+    parts = sainte_lague(parts, "_words", "_quota", "_group", "_share", by=("_rank",)).select(F.col("_rank").alias("_r"), F.col("_group").alias("_g"), "_share", "_block", "_size", "_target")
+    lens = join_small(lens, written(parts, "mix-groups"), (F.col("_rank") == F.col("_r")) & (F.col("_group") == F.col("_g"))).drop("_r", "_g")
+    lens = sainte_lague(lens, "_len", "_share", "_shard", "_q", by=("_rank", "_group")).drop("_share")
     length, tokens = F.col("_len"), F.least(F.col("_q") * F.col("_block"), F.col("_len") * max_epochs)
-    first = F.when(length > 0, md5_long(F.lit(seed), F.lit("first"), F.col("_rank"), F.col("_shard")) % F.ceil(length / F.col("_block"))).otherwise(0)
+    first = F.when(length > 0, md5_long(F.lit(seed), F.lit("first"), F.col("_rank"), F.col("_group"), F.col("_shard")) % F.ceil(length / F.col("_block"))).otherwise(0)
     lens = (
         lens.withColumn("_epochs", F.when(length > 0, F.floor(tokens / length)).otherwise(0).cast("long"))
         .withColumn("_rem", tokens - F.col("_epochs") * length)
         .withColumn("_off", (first * F.col("_block")).cast("long"))
-        .select("_rank", "_shard", "_len", "_epochs", "_rem", "_off", "_size", "_target")
+        .select("_rank", "_group", "_shard", "_len", "_epochs", "_rem", "_off", "_size", "_target")
     )
-    ring = Window.partitionBy("_rank", "_shard").orderBy("_h", "_id", "_n").rowsBetween(Window.unboundedPreceding, 0)
-    return placed(docs).join(lens, ["_rank", "_shard"]).withColumn("_at", F.sum("_n").over(ring) - F.col("_n"))
+    ring = Window.partitionBy("_rank", "_group", "_shard").orderBy("_h", "_id", "_n", "_text_hash").rowsBetween(Window.unboundedPreceding, 0)
+    return placed(docs).join(lens, ["_rank", "_group", "_shard"]).withColumn("_at", F.sum("_n").over(ring) - F.col("_n"))
 
 
 def _cuts() -> tuple[Column, Column, Column, Column]:
@@ -110,10 +117,10 @@ def _cuts() -> tuple[Column, Column, Column, Column]:
 
 
 def _slim(docs: DataFrame, *more: Column) -> DataFrame:
-    return docs.select(docs["doc_id"].alias("_id"), docs["source"].alias("_s"), n_words(docs["text"]).alias("_n"), *more)
+    return docs.select(docs["doc_id"].alias("_id"), docs["source"].alias("_s"), n_words(docs["text"]).alias("_n"), F.xxhash64(docs["text"]).alias("_text_hash"), *more)
 
 
-SETTINGS = {"weigh": by_rank, "max_epochs": 3, "block_tokens": 64, "shard_tokens": 65_536, "max_shards": 16_384, "seed": "mix"}
+SETTINGS = {"weigh": by_rank, "max_epochs": 3, "block_tokens": 64, "shard_tokens": 65_536, "seed": "mix"}
 
 
 def quotas(docs: DataFrame, **settings) -> DataFrame:

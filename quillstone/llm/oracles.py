@@ -34,14 +34,17 @@ OP1 = f"""WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS n, {_md5("'
  s4 AS (SELECT *, greatest(1, least(64, floor(coalesce(min(CASE WHEN target >= 1 THEN target END) OVER (), 1) / 32)))::BIGINT AS block FROM s3),
  s5 AS (SELECT *, round(sum(target) OVER () / block)::BIGINT AS all_ FROM s4),
  {_lague("s6", "s5", "target", "all_", "rnk", "quota")},
- s AS (SELECT source, size, rnk, target, block, quota, least(16384, greatest(1, ceil(size / 65536::DOUBLE)))::BIGINT AS shards FROM s6),
- p AS (SELECT d.doc_id, d.source, d.n, d.h, s.rnk, d.h % s.shards AS shard FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
- l0 AS (SELECT rnk, shard, sum(n)::BIGINT AS len FROM p GROUP BY rnk, shard),
- l1 AS (SELECT l0.*, s.quota, s.block, s.size, s.target FROM l0 JOIN s USING (rnk)),
- {_lague("l2", "l1", "len", "quota", "shard", "q", "rnk")},
- l3 AS (SELECT *, least(q * block, len * 3) AS tokens, CASE WHEN len > 0 THEN {_md5("'mix'", "'first'", "rnk", "shard")} % ceil(len / block::DOUBLE)::BIGINT ELSE 0 END AS first FROM l2),
- l AS (SELECT rnk, shard, len, size, target, CASE WHEN len > 0 THEN tokens // len ELSE 0 END AS epochs, tokens - CASE WHEN len > 0 THEN tokens // len ELSE 0 END * len AS rem, first * block AS off FROM l3),
- r AS (SELECT p.*, l.* EXCLUDE (rnk, shard), sum(n) OVER (PARTITION BY p.rnk, p.shard ORDER BY h, doc_id, n ROWS UNBOUNDED PRECEDING) - n AS begins FROM p JOIN l USING (rnk, shard))
+ s AS (SELECT source, size, rnk, target, block, quota, greatest(1, ceil(size / 65536::DOUBLE))::BIGINT AS all_shards FROM s6),
+ sg AS (SELECT *, ceil(sqrt(all_shards::DOUBLE))::BIGINT AS groups, ceil(all_shards / ceil(sqrt(all_shards::DOUBLE)))::BIGINT AS shards FROM s),
+ p AS (SELECT d.doc_id, d.source, d.n, d.h, s.rnk, d.h % s.groups AS grp, (d.h // s.groups) % s.shards AS shard FROM d JOIN sg s ON d.source IS NOT DISTINCT FROM s.source),
+ l0 AS (SELECT rnk, grp, shard, sum(n)::BIGINT AS len FROM p GROUP BY rnk, grp, shard),
+ g1 AS (SELECT g.rnk, g.grp, g.words, s.quota FROM (SELECT rnk, grp, sum(len)::BIGINT AS words FROM l0 GROUP BY rnk, grp) g JOIN s USING (rnk)),
+ {_lague("g2", "g1", "words", "quota", "grp", "part", "rnk")},
+ l1 AS (SELECT l0.*, g2.part, s.block, s.size, s.target FROM l0 JOIN g2 USING (rnk, grp) JOIN s USING (rnk)),
+ {_lague("l2", "l1", "len", "part", "shard", "q", "rnk, grp")},
+ l3 AS (SELECT *, least(q * block, len * 3) AS tokens, CASE WHEN len > 0 THEN {_md5("'mix'", "'first'", "rnk", "grp", "shard")} % ceil(len / block::DOUBLE)::BIGINT ELSE 0 END AS first FROM l2),
+ l AS (SELECT rnk, grp, shard, len, size, target, CASE WHEN len > 0 THEN tokens // len ELSE 0 END AS epochs, tokens - CASE WHEN len > 0 THEN tokens // len ELSE 0 END * len AS rem, first * block AS off FROM l3),
+ r AS (SELECT p.*, l.* EXCLUDE (rnk, grp, shard), sum(n) OVER (PARTITION BY p.rnk, p.grp, p.shard ORDER BY h, doc_id, n ROWS UNBOUNDED PRECEDING) - n AS begins FROM p JOIN l USING (rnk, grp, shard))
 SELECT doc_id, n AS size, source, size::BIGINT AS source_size, target,
  (epochs * n + greatest(0, least(n, greatest(0, least(off + rem, len) - begins)) - least(n, greatest(0, off - begins))) + least(n, greatest(0, off + rem - len - begins)))::BIGINT AS taken FROM (SELECT * FROM r)"""
 
