@@ -130,7 +130,8 @@ def verdicts(docs: DataFrame, least: int = LEAST, spreads: float = SPREADS) -> D
 
 
 def keep(docs: DataFrame, least: int = LEAST, spreads: float = SPREADS) -> DataFrame:
-    """The rows of docs that are kept, with their columns."""
-    measured = measure(docs)
+    """The rows of docs that are kept, with their columns. Rows are written once with their measures, so that
+    nothing is measured twice."""
+    measured = written(measure(docs), "measures")
     table = written(limits(sketches(measured), least, spreads), "limits")
     return _judge(measured, table).where("_kept").select("_row.*")

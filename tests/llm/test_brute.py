@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -87,9 +88,6 @@ def test_hmm_is_exact_and_beats_the_base(spark):
         for x in s[1:]:
             a = (a @ chain.move) * chain.emit[x]
         assert abs(g - math.log(a.sum())) < 1e-9
-    # Expected counts add up to what is there.
-    first, pairs, seen = chain.expect(flat, begins, np.array([len(s) for s in seqs]), np.array([True, True, False]))
-    assert abs(first.sum() - 2) < 1e-9 and abs(pairs.sum() - 6) < 1e-9 and np.allclose(seen.sum(1), np.bincount(flat))
     r = random.Random(1)
     a, b = (["".join(r.choice(x) for _ in range(4)) for _ in range(60)] for x in ("abc", "xyz"))
     rows = [(i, prose(r, 80, [a, b][i % 2])) for i in range(300)]
@@ -107,6 +105,77 @@ def test_hmm_is_exact_and_beats_the_base(spark):
     assert held and sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
 
 
+def plain_baum_welch(chain, seqs):
+    """Expected counts by the unscaled recursions, token by token; and the sum of ln likelihoods."""
+    k, v = len(chain.start), len(chain.emit)
+    first, pairs, seen, total = np.zeros(k), np.zeros((k, k)), np.zeros((v, k)), 0.0
+    for s in seqs:
+        alpha, beta = [chain.start * chain.emit[s[0]]], [np.ones(k)]
+        for x in s[1:]:
+            alpha.append((alpha[-1] @ chain.move) * chain.emit[x])
+        for x in s[:0:-1]:
+            beta.insert(0, chain.move @ (chain.emit[x] * beta[0]))
+        z = alpha[-1].sum()
+        total += math.log(z)
+        for t, x in enumerate(s):
+            seen[x] += alpha[t] * beta[t] / z
+            if t:
+                pairs += alpha[t - 1][:, None] * chain.move * (chain.emit[x] * beta[t])[None] / z
+        first += alpha[0] * beta[0] / z
+    return first, pairs, seen, total
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 7, 256])
+def test_baum_welch_counts_as_written_out(stretch):
+    r = np.random.default_rng(4)
+    emit, move, start = r.gamma(0.5, 1.0, (6, 4)), r.gamma(0.5, 1.0, (4, 4)), r.gamma(1.0, 1.0, 4)
+    chain = hmm.Chain(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    seqs = [r.integers(0, 6, n).tolist() for n in (1, 2, 3, 7, 8, 14, 20, 1, 45)]
+    flat, n = np.array(sum(seqs, [])), np.array([len(s) for s in seqs])
+    want = plain_baum_welch(chain, seqs)
+    for got, w in zip(chain.expect(flat, np.cumsum(n) - n, n, stretch), want, strict=True):
+        assert np.allclose(got, w)
+    each = [plain_baum_welch(chain, [s])[3] for s in seqs]
+    assert np.allclose(chain.forward(flat, np.cumsum(n) - n, n, stretch), each)
+
+
+def test_hmm_does_not_depend_on_partitions(spark, monkeypatch):
+    """Above the sample's size, and with texts of many stretches."""
+    monkeypatch.setattr(hmm, "SAMPLE", 20)
+    monkeypatch.setattr(hmm, "STRETCH", 16)
+    df = spark.createDataFrame([(r[0], r[1]) for r in hard_rows()], "doc_id long, text string")
+    read = lambda k: sorted((str(r.doc_id), r.n_tokens, round(r.score, 4)) for r in hmm.score(df.repartition(k), fold(F.col("doc_id")) == 1).collect())
+    assert read(2) == read(7)
+
+
+def test_hmm_scores_as_written_out(spark, monkeypatch):
+    """The whole query by plain loops: counts, classes, start, passes over all texts, and the score."""
+    monkeypatch.setattr(hmm, "CLASSES", 12)
+    monkeypatch.setattr(hmm, "ROUNDS", 2)
+    monkeypatch.setattr(hmm, "GAIN", -1e9)
+    r = random.Random(2)
+    vocabulary = ["".join(r.choice("abc") for _ in range(3)) for _ in range(40)]
+    rows = [(i, prose(r, r.randint(0, 60), vocabulary) if i % 7 else None) for i in range(30)]
+    held = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 5 == 1}
+    toks = {i: [*(t or "").lower().encode().split(), b""] for i, t in rows}
+    tally = Counter(t for i in toks if i not in held for t in toks[i])
+    n, v = sum(tally.values()), len(tally)
+    names = sorted(tally, key=lambda t: (t != b"", -tally[t], t))[:12]
+    rare_n, rare_v = n - sum(tally[t] for t in names), v - len(names)
+    unigram = np.array([rare_n + 0.5 * (rare_v + 1), *(tally[t] + 0.5 for t in names)])
+    unigram /= unigram.sum()
+    code = lambda i: [names.index(t) + 1 if t in names else 0 for t in toks[i]]
+    chain = hmm.Chain.seeded(unigram, 3)
+    for _ in range(2 + 2):  # all texts are in the sample
+        first, pairs, seen, _total = plain_baum_welch(chain, [code(i) for i in toks if i not in held])
+        start, move, emit = first + 1, pairs + 1, seen + 20 * unigram[:, None]
+        chain = hmm.Chain(start / start.sum(), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    for x in hmm.score(spark.createDataFrame(rows, "doc_id long, text string"), fold(F.col("doc_id")) == 1, states=3, passes=2).collect():
+        ln = plain_baum_welch(chain, [code(x.doc_id)])[3]
+        within = sum(math.log10((tally[t] + 0.5) / (rare_n + 0.5 * (rare_v + 1))) for t in toks[x.doc_id] if t not in names)
+        assert abs(x.score - (ln / math.log(10) + within)) < 1e-6
+
+
 def test_hmm_tail_is_joined(spark, monkeypatch):
     """With few cached types, the rest come by the join, and nothing changes in the base score."""
     df = spark.createDataFrame([(r[0], r[1]) for r in hard_rows()], "doc_id long, text string")
@@ -241,18 +310,37 @@ def test_pigeonring_loses_no_link(spark, distance, chain):
     assert got == want
 
 
+def cut_up(text):
+    """Sentences, cut further after every word that has the least crc32 (the last of equals) of ten in a row."""
+    pieces, out = [], []
+    for line in re.split(r"(?<=[.!?…])(?=\s)|(?<=\n)|(?<=[。！？])", text):
+        spans = [m.span() for m in re.finditer(r"\s*\S+", line)]
+        crc = [zlib.crc32(line[a:z].strip().lower().encode()) for a, z in spans]
+        after = {max(range(i, i + 10), key=lambda k: (-crc[k], k)) for i in range(len(spans) - 9)} if len(spans) > 10 else set()
+        cuts = [0, *(spans[i][1] for i in sorted(after) if i + 1 < len(spans)), len(line)]
+        pieces += [line[a:z] for a, z in zip(cuts, cuts[1:], strict=False)]
+    for p in pieces:  # what has no word goes with its neighbour
+        if out and p and not (p.split() and out[-1].split()):
+            out[-1] += p
+        elif p:
+            out.append(p)
+    return out
+
+
 def test_substrings_as_brute_force(hard):
     docs = sorted({(r[0] is None, r[0] or 0, r[1] or "") for r in hard_rows()})
     seen, want = {}, {}
-    runs = [(d, substrings.sentences(d[2])) for d in docs]
-    for d, s in runs:
-        assert "".join(p for p, _ in s) == d[2]
-    for d, s in runs:
+    for d in docs:
+        pieces = cut_up(d[2])
+        assert "".join(pieces) == d[2] and pieces == [p for p, _ in substrings.sentences(d[2])]
         gone = set()
-        for h, i, n in substrings._spans(s, substrings.SEVERAL, substrings.WORDS):
-            if seen.setdefault(h, (d, i)) != (d, i):
-                gone |= set(range(i, i + n))
-        want[(None if d[0] else d[1], d[2])] = ("".join(p for k, (p, _) in enumerate(s) if k not in gone), len(gone))
+        for i in range(len(pieces)):  # the shortest run of three sentences or more and fifteen words or more
+            n = next((n for n in range(3, len(pieces) - i + 1) if len(" ".join(pieces[i : i + n]).split()) >= 15), None)
+            if n:
+                run = tuple(" ".join(p.lower().split()) for p in pieces[i : i + n])
+                if seen.setdefault(run, (d, i)) != (d, i):
+                    gone |= set(range(i, i + n))
+        want[(None if d[0] else d[1], d[2])] = ("".join(p for k, p in enumerate(pieces) if k not in gone), len(gone))
     text = {}
     for r in hard_rows():
         text.setdefault(r[0], r[1])
@@ -301,23 +389,82 @@ def test_toxicity_held_out(spark):
     assert got[0].passages and rows[0][1].split()[got[0].passages[0]["first"]].startswith(tuple(bad))
 
 
+def best_stretches(x):
+    """By the definition: the best stretch, then on to its left and right."""
+
+    def best(lo, hi):
+        found = [(sum(x[i : j + 1]), -(j - i), -i) for i in range(lo, hi) for j in range(i, hi)]
+        s, length, i = max(found, default=(0, 0, 0))
+        if s <= 0:
+            return []
+        i, j = -i, -i - length
+        return [*best(lo, i), (round(s, 6), i, j), *best(j + 1, hi)]
+
+    return best(0, len(x))
+
+
 def test_segments_are_all_the_maximal_ones():
-    """Against the definition: repeatedly take the best stretch, then go on to its left and right."""
     r = random.Random(3)
-    for _ in range(200):
-        n = r.randint(1, 25)
-        x = [r.choice([1.0, 2.0, 0.5]) if r.random() < 0.4 else -toxicity.DRIFT for _ in range(n)]
-
-        def best(lo, hi):
-            found = [(sum(x[i : j + 1]), -(j - i), -i) for i in range(lo, hi) for j in range(i, hi)]
-            s, length, i = max(found, default=(0, 0, 0))
-            if s <= 0:
-                return []
-            i, j = -i, -i - length
-            return [*best(lo, i), (round(s, 6), i, j), *best(j + 1, hi)]
-
-        got = [(round(s, 6), a, b) for s, a, b in toxicity._segments([(i, v) for i, v in enumerate(x) if v > 0])]
-        assert got == best(0, n)
+    for _ in range(300):
+        x = [r.choice([1.0, 2.0, 0.5]) if r.random() < 0.4 else r.choice([-0.25, -0.75, -2.0]) for _ in range(r.randint(0, 25))]
+        assert [(round(s, 6), a, b) for s, a, b in toxicity._segments(x)] == best_stretches(x)
+
+
+def test_segments_take_linear_time():
+    import time
+
+    def took(n):
+        x = [1.0, *[-0.5] * 9] * n  # every hit is a segment of its own
+        y = [1.0, -0.5] * n + [-0.75] * n  # and here each joins all before it
+        began = time.process_time()
+        assert len(toxicity._segments(x)) == n and len(toxicity._segments(y)) == 1
+        return time.process_time() - began
+
+    took(1000)
+    assert took(80_000) < 30 * max(took(8_000), 0.02)
+
+
+def test_toxic_passages_are_all_found():
+    model = toxicity.Model({"vile": 4.0, "nasty": 4.0}, 0.5)
+    text = "vile nasty " + "clean " * 200 + "vile nasty"
+    assert [(a, b) for _, a, b in model.segments(text, {})[1]] == [(0, 1), (202, 203)]
+
+
+def test_toxicity_weights_and_score_as_written_out(spark):
+    """Shares, evidence, calibration and link, each by plain loops over the same documents."""
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(60)]
+    docs = [(" ".join(r.choices(vocabulary[:30] if y else vocabulary[15:], k=25)), y) for y in (0, 1) * 60]
+    have = [{u for w in toxicity._words(t) for u in toxicity._units(w)} for t, _ in docs]
+    n1, n0 = 60, 60
+    tally = {u: (sum(u in h and y for h, (_, y) in zip(have, docs)), sum(u in h and not y for h, (_, y) in zip(have, docs))) for u in set().union(*have)}
+
+    def share(u, prior):
+        chain = [u, *(u[:k] + " " for k in (6, 5, 4) if k < len(u) - u.endswith(" ") or (k == len(u) == 4))]
+        q, g = 0.5, 0.0
+        for x in reversed(chain):
+            bad, good = tally[x]
+            q = (bad + prior * q) / (bad + good * n1 / n0 + prior)
+            g = max(g, 2 * sum(n * math.log(n / ((bad + good) * 0.5)) for n in (bad, good) if n))
+        return q, g
+
+    sizes = np.array([[n1], [n0]], float)
+    units = sorted(tally)
+    counts = toxicity.Counts(units, np.array([[tally[u][0]] for u in units], float), np.array([[tally[u][1]] for u in units], float), sizes)
+    for prior, evidence in ((2.0, 4.0), (8.0, 15.0)):
+        got = counts.weights(prior, evidence)
+        for u, w in zip(units, got, strict=True):
+            q, g = share(u, prior)
+            assert abs(w - (math.log(q / (1 - q)) if g >= evidence else 0.0)) < 1e-4
+    model = toxicity.Model({u: float(w) for u, w in zip(units, counts.weights(2.0, 4.0), strict=True) if w}, 0.5, 0.7, 1.3, (-1.0, 0.8, 0.4))
+    rows = [(i, t) for i, (t, _) in enumerate(docs)] + [(900, ""), (901, None)]
+    for x in toxicity.scores(spark.createDataFrame(rows, "doc_id long, text string"), model).collect():
+        words = toxicity._words(dict(rows)[x.doc_id])
+        scores = [next((model.units[u] for u in toxicity._units(w) if u in model.units), 0.0) - 0.5 for w in words]
+        parts = [s for s, _, _ in best_stretches(scores)]
+        s = [0.7 * p - 1.3 - math.log(len(words)) for p in parts]
+        a, b = (min(max(max(s), -20), 40), math.log(1 + sum(math.exp(-math.exp(-v)) > 0.95 for v in s))) if s else (-20.0, 0.0)
+        assert abs(x.score - 1 / (1 + math.exp(1.0 - 0.8 * a - 0.4 * b))) < 1e-4
 
 
 def cluster_vectors(n, seed, dim=16):
