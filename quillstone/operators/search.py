@@ -1,24 +1,56 @@
-"""Search and ranking: postings, BM25, exact vector search, fusion, passages and token budgets."""
+"""Search and ranking: an inverted index, BM25, exact vector search, fusion, passages and token budgets."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.functions import text as tx
-from quillstone.operators.bounds import is_small, small
+from quillstone.operators.bounds import small
+from quillstone.session import written
+
+#: Asked terms up to which they are pushed down to the index's files.
+PUSHED = 2_000
+
+
+def _counted(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """(key, term, f0, f1, ...): how often a term occurs in each field of a row. Repeats are counted before
+    anything is shuffled."""
+    tag = lambda i: lambda t: F.struct(t.alias("term"), F.lit(i).alias("field"))
+    tagged = [F.transform(tx.terms(F.coalesce(F.col(f), F.lit(""))), tag(i)) for i, f in enumerate(fields)]
+    each = rows.select(key, F.explode(F.concat(*tagged) if len(tagged) > 1 else tagged[0]).alias("t"))
+    return each.groupBy(key, F.col("t.term").alias("term")).agg(*[F.count_if(F.col("t.field") == i).alias(f"f{i}") for i in range(len(fields))])
 
 
 def postings(rows: DataFrame, key: str, fields: dict[str, float]) -> DataFrame:
-    """(key, term, tf): how often a term occurs in a row's fields, weighted by field. Repeats are counted
-    within each row before anything is shuffled."""
-    each = None
-    for name, weight in fields.items():
-        terms = rows.select(key, F.explode(tx.terms(F.coalesce(F.col(name), F.lit("")))).alias("term"), F.lit(float(weight)).alias("w"))
-        each = terms if each is None else each.unionByName(terms)
-    return each.groupBy(key, "term").agg(F.sum("w").alias("tf"))
+    """(key, term, tf): how often a term occurs in a row's fields, weighted by field."""
+    tf = sum((F.col(f"f{i}") * float(w) for i, w in enumerate(fields.values())), F.lit(0.0))
+    return _counted(rows, key, list(fields)).select(key, "term", tf.alias("tf"))
+
+
+@dataclass
+class Index:
+    """An inverted index in the shared folder. Each of its files is sorted by term, so a search reads the pages
+    of asked terms only. lengths has a row's terms by field, stats one row with the rows and mean lengths."""
+
+    key: str
+    fields: list[str]
+    postings: DataFrame
+    lengths: DataFrame
+    stats: dict[str, float]
+
+
+def build_index(rows: DataFrame, key: str, fields: list[str]) -> Index:
+    """Tokenizes rows once, for any number of searches, scopes and weights."""
+    found = written(_counted(rows, key, fields).sortWithinPartitions("term"), "postings")
+    sizes = [F.regexp_count(tx.lower_safe(F.coalesce(F.col(f), F.lit(""))), F.lit(tx.TERM)).cast("long").alias(f"l{i}") for i, f in enumerate(fields)]
+    lengths = written(rows.select(key, *sizes), "lengths")
+    one = lengths.agg(F.count("*").cast("double").alias("n"), *[F.coalesce(F.sum(f"l{i}"), F.lit(0)).cast("double").alias(f"l{i}") for i in range(len(fields))]).first()
+    return Index(key, fields, found, lengths, one.asDict())
 
 
 def idf(n: Column, df: Column) -> Column:
@@ -27,78 +59,103 @@ def idf(n: Column, df: Column) -> Column:
     return F.when(x <= 0, F.lit(1e-6)).otherwise(x)
 
 
-def bm25(rows: DataFrame, key: str, fields: dict[str, float], queries: DataFrame, k: int, scope: DataFrame | None = None, digits: int = 8) -> DataFrame:
+def asked_postings(index: Index, terms: DataFrame, fields: list[int] | None = None) -> DataFrame:
+    """The index's rows for the distinct terms (term) asked, with a count in one of the fields."""
+    hit = F.lit(False)
+    for i in range(len(index.fields)) if fields is None else fields:
+        hit = hit | (F.col(f"f{i}") > 0)
+    found = index.postings.where(hit)
+    few = [r["term"] for r in terms.limit(PUSHED + 1).collect()]  # bounded
+    if len(few) <= PUSHED:
+        return found.where(F.col("term").isin(few)) if few else found.where("false")
+    return found.join(small(terms), "term", "left_semi")
+
+
+def bm25(rows: DataFrame | Index, key: str, fields: dict[str, float], queries: DataFrame, k: int, scope: DataFrame | None = None, digits: int = 8) -> DataFrame:
     """(query_id, key, score, rank): the k best rows for each query (query_id, terms).
 
-    Only asked terms leave the scan, each with its row's length, so lengths need no join; what is shuffled are
-    a row's counts of those terms. Corpus size and mean length cover all rows, also under a scope (key), which
-    restricts before ranking. Ties go to the lesser key, after rounding.
+    rows: an Index, or rows to be indexed for this search. Corpus size and mean length cover all rows, also under a
+    scope (key), which restricts before ranking. Ties go to the lesser key, after rounding.
     """
+    index = rows if isinstance(rows, Index) else build_index(rows, key, list(fields))
+    at = {f: index.fields.index(f) for f in fields}
     asked = queries.select("query_id", F.explode("terms").alias("term")).distinct()
-    wanted = asked.select("term").distinct()
-    few = is_small(wanted)
-    hint = F.broadcast if few else (lambda x: x)
-    # Terms first: in one projection with explode, the length would be found anew for every term.
-    base = rows.select(key, *[tx.terms(F.coalesce(F.col(f), F.lit(""))).alias(f"_t{i}") for i, f in enumerate(fields)])
-    total = sum((F.size(f"_t{i}") for i in range(1, len(fields))), F.size("_t0")).cast("long").alias("len")
-    each = None
-    for i, weight in enumerate(fields.values()):
-        one = base.select(key, total, F.col(f"_t{i}").alias("t")).select(key, "len", F.explode("t").alias("term"), F.lit(float(weight)).alias("w"))
-        one = one.join(hint(wanted), "term")
-        each = one if each is None else each.unionByName(one)
-    found = each.groupBy(key, "term", "len").agg(F.sum("w").alias("tf"))
+    found = asked_postings(index, asked.select("term").distinct(), list(at.values()))
+    found = found.select(key, "term", sum((F.col(f"f{i}") * float(fields[f]) for f, i in at.items()), F.lit(0.0)).alias("tf"))
     df = found.groupBy("term").agg(F.count("*").alias("df"))  # no more rows than asked terms
-    stats = base.select(total).agg(F.count("*").cast("double").alias("n"), F.avg("len").alias("mean"))
     if scope is not None:
         found = found.join(small(scope.select(key).distinct()), key, "left_semi")
-    hits = found.join(hint(df), "term").join(F.broadcast(stats))  # stats: one row
-    weight = idf(F.col("n"), F.col("df")) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
+    n, mean = index.stats["n"], sum(index.stats[f"l{i}"] for i in at.values()) / max(1.0, index.stats["n"])
+    lengths = index.lengths.select(key, sum((F.col(f"l{i}") for i in at.values()), F.lit(0)).alias("len"))
+    hits = found.join(small(df), "term").join(small(lengths), key)
+    weight = idf(F.lit(n), F.col("df")) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.lit(mean)))
     part = hits.select(key, "term", weight.alias("w"))
     scored = part.join(small(asked), "term").groupBy("query_id", key).agg(F.round(F.sum("w"), digits).alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), F.asc(key)], k)
 
 
+def containing(index: Index, texts: DataFrame, needles: DataFrame, text: str = "text") -> DataFrame:
+    """(query_id, key): rows of texts (key, text) that contain a needle (query_id, needle), found by the index.
+
+    A term within a needle, first and last aside, stands in every text that contains it; the rarest is looked up,
+    and the few rows that have it are read. Needles without such a term are compared with all texts."""
+    inner = needles.select("query_id", "needle", F.array_distinct(F.slice(tx.terms(F.col("needle")), 2, F.greatest(F.size(tx.terms(F.col("needle"))) - 2, F.lit(0)))).alias("inner"))
+    asked = inner.select("query_id", F.explode("inner").alias("term"))
+    found = asked_postings(index, asked.select("term").distinct()).select(index.key, "term")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    rare = asked.join(small(df), "term").groupBy("query_id").agg(F.min(F.struct("df", "term")).alias("r")).select("query_id", "r.term")
+    pairs = found.join(small(rare), "term").join(small(needles), "query_id").select(index.key, "query_id", "needle")
+    near = texts.select(index.key, text).join(small(pairs), index.key)
+    bare = inner.where(F.size("inner") == 0).select("query_id", "needle")
+    out = near.where(F.contains(F.col(text), F.col("needle"))).select("query_id", index.key)
+    if not bare.isEmpty():
+        out = out.unionByName(texts.join(small(bare), F.contains(F.col(text), F.col("needle"))).select("query_id", index.key))
+    return out
+
+
 def top(rows: DataFrame, by: list[str], order: list[Column], k: int) -> DataFrame:
     """The first k rows of each group, with their rank from 1. Partitions drop all but k before the shuffle."""
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
-def dense(vectors: DataFrame, key: str, queries: DataFrame, k: int, digits: int = 6, block: int = 1024) -> DataFrame:
-    """(query_id, key, score, rank): exact inner products, k best for each query (query_id, vector).
+def _blocks(rows: DataFrame, key: str, vector: str, prefix: str, block: int) -> DataFrame:
+    """(width, n, ids, flat): vectors of one length, up to ``block`` to a row. Built within partitions."""
 
-    Queries go to the workers in blocks of a bounded size; each batch of vectors is one matrix product, and
-    only its k best per query go on. Vectors of another length than the query's are skipped.
-    """
-    asked = queries.select("query_id", F.col("vector").cast("array<double>")).orderBy("query_id").toLocalIterator(prefetchPartitions=True)
-    out, held = None, []
+    def run(batches):
+        for b in batches:
+            sizes = np.array([len(x) if x is not None else 0 for x in b.column(1)], np.int64)
+            for w in np.unique(sizes[sizes > 0]).tolist():
+                rows = np.flatnonzero(sizes == w)
+                for at in range(0, len(rows), block):
+                    part = pa.array(rows[at : at + block])
+                    yield pa.RecordBatch.from_arrays([pa.array([w], pa.int32()), pa.array([b.column(0).take(part).to_pylist()], pa.list_(pa.int64())), pa.array([b.column(1).take(part).flatten().to_pylist()], pa.list_(pa.float64()))], [f"{prefix}width", f"{prefix}ids", f"{prefix}flat"])
 
-    def one(rows: list) -> DataFrame:
-        ids, q = [r[0] for r in rows], np.array([r[1] for r in rows])
+    slim = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")).where("id is not null and not exists(v, x -> x is null)")
+    return slim.mapInArrow(run, f"{prefix}width int, {prefix}ids array<long>, {prefix}flat array<double>")
 
-        def run(batches):
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+
+def dense(vectors: DataFrame, key: str, queries: DataFrame, k: int, digits: int = 6, block: int = 512) -> DataFrame:
+    """(query_id, key, score, rank): exact inner products, k best for each query (query_id, vector).
+
+    Blocks of queries meet blocks of vectors of their length, each pair one matrix product of which only the k best
+    per query go on. Vectors are read once, whatever the queries; nothing comes to the driver. Vectors without an id,
+    or with a null component, take no part.
+    """
+    asked = _blocks(queries, "query_id", "vector", "q_", block)
+    held = _blocks(vectors, key, "embedding", "v_", block)
+    pairs = held.join(small(asked, max(1, 20_000_000 // (block * 512))), F.col("q_width") == F.col("v_width")).select("q_ids", "q_flat", "v_ids", "v_flat")
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                ids, keys = (b.column(c)[i].values.to_numpy() for c in (0, 2))
+                q, x = (b.column(c)[i].values.to_numpy().reshape(n, -1) for c, n in ((1, len(ids)), (3, len(keys))))
                 s = np.round(x @ q.T, digits)
-                keys = np.asarray(b.column(0))
                 order = np.lexsort((np.broadcast_to(keys[:, None], s.shape), -s), axis=0)[:k]
-                cols = np.repeat(np.arange(len(ids))[None, :], len(order), 0).ravel()
-                pick = order.ravel()
-                yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[cols]), pa.array(keys[pick]), pa.array(s[pick, cols] + 0.0)], ["query_id", key, "score"])
-
-        width = q.shape[1]
-        fit = vectors.select(F.col(key).cast("long").alias(key), F.col("embedding").cast("array<double>").alias("e")).where(F.size("e") == width)
-        return fit.mapInArrow(run, f"query_id long, {key} long, score double")
-
-    for row in asked:
-        held.append(row)
-        if len(held) == block:
-            out, held = (one(held) if out is None else out.unionByName(one(held))), []
-    if held:
-        out = one(held) if out is None else out.unionByName(one(held))
-    if out is None:
-        return vectors.sparkSession.createDataFrame([], f"query_id long, {key} long, score double, rank long")
+                cols, pick = np.repeat(np.arange(len(ids))[None, :], len(order), 0).ravel(), order.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[cols]), pa.array(keys[pick]), pa.array(s[pick, cols] + 0.0)], ["query_id", key, "score"])
+
+    out = pairs.mapInArrow(run, f"query_id long, {key} long, score double")
     return top(out, ["query_id"], [F.desc("score"), F.asc(key)], k)
 
 

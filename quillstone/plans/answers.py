@@ -9,8 +9,9 @@ from quillstone.catalog import query, read
 from quillstone.functions import text as tx
 from quillstone.operators import evaluate, verify
 from quillstone.operators import search as s
-from quillstone.operators.bounds import small, spread
-from quillstone.plans.search import _bm25_sql, _questions
+from quillstone.operators.bounds import small
+from quillstone.plans.search import _bm25_sql, _index, _questions
+from quillstone.session import written
 from quillstone.streaming import events as ev
 
 # Answers made of order lines: an order is an answer, its lines are claims and sources.
@@ -104,8 +105,8 @@ def answer_claims(spark, sf):
 def support_units(spark, sf):
     """Rows only: a technical term is told by its capitals."""
     d = read(spark, sf, "documents").select("doc_id", "text")
-    b = read(spark, sf, "benchmark").select(F.col("item_id").alias("claim_id"), F.col("text").alias("needle"))
-    pairs = d.join(small(b), F.contains("text", F.col("needle"))).select("claim_id", "doc_id", F.col("needle").alias("text"))
+    b = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
+    pairs = s.containing(_index(spark, sf), d, b).join(small(b), "query_id").select(F.col("query_id").alias("claim_id"), "doc_id", F.col("needle").alias("text"))
     first = pairs.groupBy("claim_id").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("x")).select("claim_id", "x.doc_id", "x.text")
     units = d.join(small(first.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("unit_id", "text"))
     return verify.support(first, units)
@@ -113,9 +114,9 @@ def support_units(spark, sf):
 
 def _ranked(spark, sf):
     """The rank of the first document that holds the passage, for each passage that some document holds."""
-    d, b = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle"))
-    gold = d.join(small(b), F.contains("text", F.col("needle"))).select(F.col("item_id").alias("query_id"), "doc_id")
-    hits = s.bm25(spread(d), "doc_id", {"text": 1.0}, _questions(spark, sf), 8)
+    d, b = read(spark, sf, "documents").select("doc_id", "text"), read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
+    gold = written(s.containing(_index(spark, sf), d, b), "gold")
+    hits = s.bm25(_index(spark, sf), "doc_id", {"text": 1.0}, _questions(spark, sf), 8)
     first = hits.join(gold, ["query_id", "doc_id"], "left_semi").groupBy("query_id").agg(F.min("rank").alias("first_rank"))
     return gold.select("query_id").distinct().join(first, "query_id", "left")
 
@@ -208,7 +209,8 @@ def usage_batch_tumbling(spark, sf):
  i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM i GROUP BY user_id, island""")
 def usage_stream_session(spark, sf):
-    out = ev.sessions(read(spark, sf, "events"))
+    """The stream itself, in complete mode, so that no session stays open."""
+    out = ev.run_available(spark, f"{sf}/events.parquet", ev.sessions, "complete")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"), "n")
 
 
