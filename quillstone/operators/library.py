@@ -181,3 +181,18 @@ def number_sources(rows: DataFrame, by: list[str], key: str, arrival: str) -> Da
     """Adds n: a dense number from 1 for each key, in order of first arrival."""
     first = rows.withColumn("_first", F.min(arrival).over(Window.partitionBy(*by, key)))
     return first.withColumn("n", F.dense_rank().over(Window.partitionBy(*by).orderBy("_first")).cast("long")).drop("_first")
+
+
+def mirror(remote: DataFrame, local: DataFrame, key: str, version: list[str]) -> DataFrame:
+    """(key, action): copy what is new or of another version, remove what the remote has no more, keep the rest."""
+    r = remote.select(F.col(key), F.struct(*version).alias("_r"))
+    own = local.select(F.col(key), F.struct(*version).alias("_l"))
+    action = F.when(F.col("_r").isNull(), "remove").when(F.col("_l").isNull() | ~F.col("_r").eqNullSafe(F.col("_l")), "copy").otherwise("keep")
+    return r.join(own, key, "full_outer").select(key, action.alias("action"))
+
+
+def compatible(manifest: DataFrame, model: str, dim: int) -> None:
+    """An error, if vectors of another model or length than the current one are stored (manifest: model, dim)."""
+    other = manifest.where((F.col("model") != model) | (F.col("dim") != dim)).select("model", "dim").limit(1).collect()
+    if other:
+        raise ValueError(f"the library's vectors are of {other[0]['model']} ({other[0]['dim']}), not of {model} ({dim}): make them anew")

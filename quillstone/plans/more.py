@@ -15,7 +15,6 @@ from quillstone.functions import units as un
 from quillstone.operators import grounding as gr
 from quillstone.operators import search as s
 from quillstone.operators.bounds import small
-from quillstone.plans.adapters import chunks
 
 _NAME = "concat(array('JESD79-4C', 'PCIe_Base_5.0_r1.0', 'Layout Guide rev B', 'USB Errata 2.0 March 2021', 'Addendum 2019-07')[o_orderkey % 5], ' ', o_orderkey % 7)"
 
@@ -81,20 +80,6 @@ def judge_excerpts(spark, sf):
     return read(spark, sf, "documents").select("doc_id", cut("text", F.substring("text", -80, 80)).alias("excerpt"))
 
 
-@query()
-def reference_follow(spark, sf):
-    """Passages that name a table of their own document, and the chunk that has its caption: an equi-join on
-    document and label; three for each document at most."""
-    c = chunks(spark, sf).select("doc_id", "ordinal", F.expr("concat(text, '\nsee Table ', ordinal % 3 + 1, '-2 and\nTable ', ordinal, '-2 Limits')").alias("text"))
-    label = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?i)see\s+(?:table|tablo)\s+([A-Z]?\d+(?:[.\-–]\d+)*)"), F.lit(1))))
-    asked = c.select("doc_id", F.col("ordinal").alias("parent"), label.alias("label"))
-    heads = c.select("doc_id", F.col("ordinal").alias("target"), F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*(?:Table|Tablo)\s+([A-Z]?\d+(?:[.\-–]\d+)*)\s+[A-Z]"), F.lit(1))).alias("label"))
-    hit = asked.join(heads, ["doc_id", "label"]).where("target <> parent")
-    once = F.row_number().over(Window.partitionBy("doc_id", "label").orderBy("parent", "target"))
-    hit = hit.withColumn("n", once).where("n = 1").drop("n")
-    return s.top(hit, ["doc_id"], [F.asc("parent"), F.asc("label")], 3).select("doc_id", "parent", "label", "target")
-
-
 @query()
 def bm25_stemmed(spark, sf):
     """Rows only: Porter's stems on both sides."""
@@ -150,16 +135,6 @@ def rect_overlap(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.round(gr.overlap_area(box(p, F.lit(0), p + 10, F.lit(10)), box(F.lit(20), F.lit(5), F.lit(30), F.lit(15))), 4).alias("area"))
 
 
-@query(r"""WITH g AS (SELECT item_id, text, regexp_extract_all(lower(text), '[\p{L}]+') AS w FROM benchmark)
-SELECT item_id, unnest(list_filter([CASE WHEN list_contains(w, 'the') THEN 'article' END, CASE WHEN list_contains(w, 'of') OR list_contains(w, 'de') THEN 'genitive' END, CASE WHEN list_contains(w, 'and') THEN 'conjunction' END], lambda x: x IS NOT NULL)) AS hint FROM g""")
-def glossary_hints(spark, sf):
-    """Terms of a dictionary that a question has, in the dictionary's order."""
-    entries = [("article", ["the"]), ("genitive", ["of", "de"]), ("conjunction", ["and"])]
-    w = F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}]+"), F.lit(0))
-    hints = F.array_compact(F.array(*[F.when(F.arrays_overlap("w", F.array(*[F.lit(x) for x in names])), k) for k, names in entries]))
-    return read(spark, sf, "benchmark").select("item_id", w.alias("w")).select("item_id", F.explode(hints).alias("hint"))
-
-
 @query("SELECT event_id, event_id % 3 <> 1 AS framing FROM events")
 def framing_sentences(spark, sf):
     e = F.expr("case event_id % 3 when 0 then 'Sure, here it is:' when 1 then concat('The delay is ', event_id + 10, ' ns here.') else 'Hello there friends' end")
