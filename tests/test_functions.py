@@ -203,6 +203,27 @@ def test_sql_functions(spark, sf):
     assert (row.t, row.f, row.s, row.b) == (6, "hizi", ["ivme"], "s")
     assert spark.sql("SELECT c.ordinal, c.text FROM (SELECT 'one\n\ntwo' AS t) x, LATERAL chunk_text(t) c").collect()[0].text == "one\n\ntwo"
     assert spark.sql("SELECT count(*) FROM documents").first()[0] == 200
+    assert spark.sql("SELECT fts_terms('the cat in a hat cat') AS s, parse_citations('see [1][2,4-6]') AS c, scrub('token = abc123 at 10.0.0.1:80') AS x").first() == (["cat", "hat"], [1, 2, 4, 5, 6], "token <redacted> at <address>")
+
+
+def test_clarification_rendering_and_plans(spark):
+    from quillstone.operators import evidence, ingest, render
+
+    items = [("heading", "# A"), ("text", "Here:"), ("blank", ""), ("heading", "## B"), ("head", "| a |"), ("sep", "|---|"), ("blank", ""), ("fence", "```"), ("fence", "```"), ("text", "Stays."), ("heading", "# C"), ("heading", "## D")]
+    assert [t for _, t in render.tidy(items) if t] == ["# A", "## B", "Stays."]
+    assert render.tidy([("head", "| a |"), ("sep", "|-|"), ("row", "| 1 |")]) == [("head", "| a |"), ("sep", "|-|"), ("row", "| 1 |")]
+    assert render.tidy([("text", "one:"), ("text", "two:"), ("text", "three")]) == [("text", "two:"), ("text", "three")]
+    assert render.tidy([("fence", "```"), ("code", "x"), ("fence", "```")]) == [("fence", "```"), ("code", "x"), ("fence", "```")]
+    room = spark.createDataFrame([([(100, 0.9, True), (80, 0.5, False), (50, 0.2, False)],)], "p array<struct<tokens:long,score:double,parent:boolean>>")
+    fits = lambda tokens, score, budget: room.select(evidence.fits_after_making_room(F.col("p"), F.struct(F.lit(tokens).alias("tokens"), F.lit(score).alias("score")), budget)).first()[0]
+    assert fits(60, 0.4, 240) and not fits(60, 0.1, 240) and fits(120, 0.8, 220)
+    docs = spark.createDataFrame([(1, "a", "v"), (2, "b", None)], "id int, name string, note string")
+    assert sorted(tuple(r) for r in ingest.bulk_update(docs, spark.createDataFrame([(2, "c"), (1, None)], "id int, name string"), "id").collect()) == [(1, "a", "v"), (2, "c", None)]
+    with pytest.raises(ValueError):
+        library.compatible(spark.createDataFrame([("m", 3)], "model string, dim int"), "m", 4)
+    library.compatible(spark.createDataFrame([("m", 3)], "model string, dim int"), "m", 3)
+    words = ingest.dictionary("domains:\n  x: {}\n")
+    assert set(words["domains"]) == {"x", "general"} and ingest.dictionary("")["terms"] == {}
 
 
 def test_metadata(spark):
