@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -45,21 +46,49 @@ def arrow_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(name, str(rows))
 
 
-def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+#: Tables that written() has made and nothing has deleted yet, and the innermost scope that takes note of them.
+_MADE: dict[str, SparkSession] = {}
+_SCOPES: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, compression: str = "zstd", keep: bool = False) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: its lineage ends there, and lost
-    executors lose nothing of it."""
+    executors lose nothing of it. keep: the table outlives the scope in which it is made."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillstone/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._quillstone_path = path
+    _MADE[path] = spark
+    if _SCOPES and not keep:
+        _SCOPES[-1].append(path)
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table made by written(); nothing that is still to run may read it."""
-    path = getattr(df, "_quillstone_path", None)
-    if path:
-        spark = df.sparkSession
+def _delete(path: str) -> None:
+    spark = _MADE.pop(path, None)
+    if spark is not None:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table made by written(); nothing that is still to run may read it."""
+    _delete(getattr(df, "_quillstone_path", ""))
+
+
+@contextmanager
+def scratch():
+    """Tables made inside are deleted at its end, but for those that are kept: what is returned must be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(path)
+
+
+def sweep() -> None:
+    """Delete all tables that operators have written in this process: once the results that read them are stored."""
+    for path in list(_MADE):
+        _delete(path)
