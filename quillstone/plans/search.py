@@ -9,6 +9,7 @@ from quillstone.functions import text as tx
 from quillstone.operators import search as s
 from quillstone.operators.bounds import small, spread
 from quillstone.plans.adapters import CHUNKS, chunks
+from quillstone.session import alive
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in tx.STOPWORDS) + "]"
 _TERMS = r"regexp_extract_all(lower(replace({0}, 'İ', 'i')), '[\p{{L}}\p{{N}}_]+')"
@@ -37,7 +38,7 @@ def _index(spark, sf) -> s.Index:
     path = spark._jvm.org.apache.hadoop.fs.Path
     status = lambda f: path(f).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path(f))
     of = (spark.sparkContext.applicationId, *((f, status(f).getLen(), status(f).getModificationTime()) for f in sorted(d.inputFiles())))
-    if of not in _INDEXES:
+    if of not in _INDEXES or not alive(_INDEXES[of].postings):
         _INDEXES[of] = s.build_index(_documents(spark, sf), "doc_id", ["text", "source", "lang"])
     return _INDEXES[of]
 

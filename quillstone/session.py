@@ -72,6 +72,11 @@ def _delete(path: str) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def alive(df: DataFrame) -> bool:
+    """A table of written() that nothing has deleted."""
+    return getattr(df, "_quillstone_path", "") in _MADE
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by written(); nothing that is still to run may read it."""
     _delete(getattr(df, "_quillstone_path", ""))
