@@ -52,25 +52,34 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
     can be reached. Nodes that are the least of theirs, or have no edge, aren't listed.
 
     Alternates large-star and small-star steps, each a grouped minimum and a join; every round is a
-    written table, so neither lineage nor the driver grows with the graph. Minima are written before they are
-    joined: they are broadcast if few, else the join is of two plain shuffles, and a node of very many edges
-    can be split.
+    written table, so neither lineage nor the driver grows with the graph. Of a graph of few edges, as counted,
+    minima are broadcast. Otherwise they are written before they are joined, so that the join is of two plain
+    shuffles, and a node of very many edges can be split.
     """
     a, b = F.col("a"), F.col("b")
     e = written(edges.where(a != b).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "edges")
-    last = None
+    n, last = e.count(), None
     for _ in range(most):
+        used, few = [e], n <= 100_000
+
+        def table(df: DataFrame, few=few, used=used) -> DataFrame:
+            if few:
+                return df
+            used.append(written(df, "minima"))
+            return used[-1]
+
+        hint = F.broadcast if few else (lambda x: x.hint("merge"))
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m")), "minima")
-        large = written(join_small(both, low, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
-        discard(low)
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u"), "minima")
-        small = join_small(large, low, F.col("u") == F.col("_u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = table(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("_u"), F.least("u", "m").alias("m")))
+        large = table(both.join(hint(low), F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = table(large.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "_u"))
+        small = large.join(hint(low), F.col("u") == F.col("_u")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = written(small.unionByName(low.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct(), "edges")
-        for used in (e, low, large):
-            discard(used)
+        for x in used:
+            discard(x)
         e, now = new, new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == last or not now[0]:
+        n = now[0]
+        if now == last or not n:
             break
         last = now
     else:

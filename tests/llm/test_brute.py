@@ -294,6 +294,22 @@ def test_simhash_as_brute_force(spark):
     assert len({x[2] for x in want}) < len(rows)
 
 
+@pytest.mark.parametrize("few", [True, False])
+def test_components_as_brute_force(spark, monkeypatch, few):
+    """Chains, stars and random graphs; with minima broadcast, and written."""
+    from quillstone.llm import common
+
+    r = random.Random(12)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + r.randint(1, 30)) for _ in range(40)] + [(200 + r.randint(0, 60), 200 + r.randint(0, 60)) for _ in range(40)]
+    if not few:
+        monkeypatch.setattr(common.DataFrame, "count", lambda self: 10**9)
+    got = {x.node: x.component for x in common.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    linked = {frozenset(e) for e in edges}
+    nodes = sorted({x for e in edges for x in e})
+    top = reach(len(nodes), lambda i, j: frozenset((nodes[i], nodes[j])) in linked)
+    assert got == {n: nodes[t] for n, t in zip(nodes, top, strict=True) if nodes[t] != n}
+
+
 @pytest.mark.parametrize(("distance", "chain"), [(4, 1), (4, 2), (4, 3), (7, 3), (1, 2)])
 def test_pigeonring_loses_no_link(spark, distance, chain):
     r = random.Random(distance)
