@@ -25,6 +25,8 @@ SEED = 42
 #: Bands of least hashes, and hashes in each.
 BANDS = 32
 BAND = 6
+#: Neighbours of another group that a text is compared with, in each order.
+NEAR = 4
 
 
 def _fingerprint(text: bytes | None, shingle: int) -> int:
@@ -170,6 +172,25 @@ def _shingled(docs: DataFrame, shingle: int) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, key long, node long, n int, bands array<long>, grams binary")
 
 
+def _neighbours(placed: DataFrame, keys: tuple[str, ...], least: float) -> DataFrame:
+    """(a, b): texts of one band and different groups that stand close together in the order of keys. Rows are sorted by
+    range, so a band that most texts share is split."""
+    order = ["band", "value", *keys, "node"]
+
+    def run(batches):
+        held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if held is None or not held.num_rows:
+            return
+        band, value, node, n, c = (held.column(x).to_numpy() for x in ("band", "value", "node", "n", "c"))
+        for k in range(1, min(NEAR, len(node) - 1) + 1):
+            near = (band[k:] == band[:-k]) & (value[k:] == value[:-k]) & (c[k:] != c[:-k]) & (np.minimum(n[k:], n[:-k]) >= least * np.maximum(n[k:], n[:-k]) - 1e-9)
+            x, y = node[k:][near], node[:-k][near]
+            pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    return placed.select("band", "value", *keys, "node", *[x for x in ("n", "c") if x not in keys]).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
+
+
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose sets have at least that share of their union in common."""
 
@@ -194,13 +215,16 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     to the other that have ``least`` of their distinct shingles in common, as counted on the shingles.
 
     Fingerprints can't find such pairs: at 0.8 they differ in too many bits for any key. Candidates agree in
-    one of BANDS bands of BAND least hashes, which a pair at 0.8 fails to do in 1 of 16,000 cases. First every
-    text is compared with the least of its band, then those that this left in different groups with each
-    other. Texts without words are one group.
+    one of BANDS bands of BAND least hashes, which a pair at 0.8 fails to do in 1 of 16,000 cases. Of those that share
+    a band, every text is compared with the least one, and then, where this left different groups, with NEAR
+    neighbours of another group in two orders: by the next band's hash, which near copies often share as well,
+    and by size. So comparisons grow with the texts, not with pairs: of many texts that share bands without being
+    alike, a pair may go unseen that is in none of these places. Texts without words are one group.
     """
     rows = written(_shingled(docs, shingle).withColumn("rid", F.monotonically_increasing_id()), "shingled")
     nodes = rows.groupBy("node").agg(F.min_by(F.struct("rid", "n", "bands"), "rid").alias("x"))
-    bands = nodes.select("node", "x.rid", "x.n", F.posexplode("x.bands").alias("band", "value"))
+    bands = nodes.select("node", "x.rid", "x.n", "x.bands", F.posexplode("x.bands").alias("band", "value"))
+    bands = bands.select("node", "rid", "n", "band", "value", F.get("bands", (F.col("band") + 1) % BANDS).alias("next"))
     bands = written(bands, "bands")
     heads = bands.groupBy("band", "value").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("times")).where("times > 1").drop("times")
     heads = written(heads, "heads")
@@ -214,18 +238,18 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     first = written(first.distinct(), "pairs")
     near = written(_alike(first, sets, least), "alike")
 
-    found = components(near)
-    placed = members.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left").select("band", "value", "node", "n", F.coalesce("component", "node").alias("c"))
-    every = written(placed, "placed")
-    mixed = every.groupBy("band", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("band", "value")
-    placed = written(every.join(mixed.hint("merge"), ["band", "value"]), "mixed")
-    discard(every)
-    other = placed.select("band", "value", F.col("node").alias("b"), F.col("n").alias("_n"), F.col("c").alias("_c"))
-    more = placed.withColumnRenamed("node", "a").join(other.hint("merge"), ["band", "value"]).where((F.col("a") < F.col("b")) & (F.col("c") != F.col("_c")) & fits(F.col("n"), F.col("_n")))
-    more = written(more.select("a", "b").distinct().join(first, ["a", "b"], "left_anti"), "pairs")
-    again = written(_alike(more, sets, least), "alike")
-    found = components(near.unionByName(again))
-    for used in (members, sets, first, near, placed, more, again):
+    found, tried = components(near), first
+    for keys in (("next",), ("n",)):
+        of = found.withColumnRenamed("node", "_node")
+        every = written(join_small(members, of, F.col("node") == F.col("_node"), "left").select("band", "value", "next", "node", "n", F.coalesce("component", "node").alias("c")), "placed")
+        mixed = every.groupBy("band", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("band").alias("_band"), F.col("value").alias("_value"))
+        placed = join_small(every, written(mixed, "mixed"), (F.col("band") == F.col("_band")) & (F.col("value") == F.col("_value")))
+        more = written(_neighbours(placed, keys, least).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        again = written(_alike(more, sets, least), "alike")
+        discard(every)
+        tried, near = written(tried.unionByName(more), "tried"), written(near.unionByName(again), "alike")
+        found = components(near)
+    for used in (members, sets, first, tried, near):
         discard(used)
     of = slim.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     return of.select("doc_id", "key", F.coalesce("component", "node").alias("group"))
