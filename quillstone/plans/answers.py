@@ -224,3 +224,11 @@ def dedup_stream(spark, sf):
     """Every event twice in the stream, once in what comes out."""
     twice = lambda e: ev.once(e.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))), ["event_id"]).select("event_id")
     return ev.run_available(spark, f"{sf}/events.parquet", twice, "append").select("event_id")
+
+
+@query("SELECT event_id AS stream_id, 'for ' || event_type || (CASE WHEN event_id % 4 = 0 THEN '' ELSE ' end' END) AS answer, 'of ' || user_id || (CASE WHEN event_id % 4 = 0 THEN ' end' ELSE '' END) AS thoughts FROM events")
+def think_split_stream(spark, sf):
+    """Answers that arrive in pieces of five characters; one in four never closes its thought."""
+    whole = F.expr("concat('for ', event_type, '<think>of ', user_id, case when event_id % 4 = 0 then '' else '</think>' end, ' end')")
+    cut = lambda e: ev.split_thoughts(e.withColumn("t", whole).select(F.col("event_id").alias("stream_id"), F.posexplode(F.regexp_extract_all("t", F.lit("(?s).{1,5}"), F.lit(0))).alias("at", "text")))
+    return ev.run_available(spark, f"{sf}/events.parquet", cut, "complete")

@@ -108,6 +108,17 @@ def ground_cells(spark, sf):
     return g.groupBy("table_id", "status").agg(F.count("*").alias("n"))
 
 
+@query("""WITH li AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
+SELECT l_orderkey AS doc_id, CASE WHEN l_orderkey % 2 = 0 THEN 'ok' ELSE 'mismatch' END AS unit, 1 AS wrapped, CASE WHEN l_orderkey % 3 = 0 THEN 'not_found' ELSE 'found' END AS place FROM li""")
+def page_checks(spark, sf):
+    """Of each page: the unit of its first row, its label's places, and where its head is printed, a word aside."""
+    w = _words(spark, sf)[1]
+    page = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "x1", "y1", "text"))).alias("w"))
+    said = F.expr("case when doc_id % 3 = 0 then 'nothing of this stands here' else 'Symbol Min Max Units tR1' end")
+    c = gr.page_checks("w", F.expr("case when doc_id % 2 = 0 then 'ns' else 'mV' end"), F.lit("tR1"), F.lit("Max"), said)
+    return page.select("doc_id", c.alias("c")).select("doc_id", "c.*")
+
+
 @query("""WITH li AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey) SELECT l_orderkey AS doc_id, 1 AS page, n + 1 AS rows FROM li WHERE n + 1 >= 3""")
 def aligned_rows(spark, sf):
     return gr.aligned_rows(_words(spark, sf)[1])

@@ -37,6 +37,14 @@ def once(events: DataFrame, key: list[str], late: str = "1 day") -> DataFrame:
     return timed(events).withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
+def split_thoughts(pieces: DataFrame) -> DataFrame:
+    """(stream_id, answer, thoughts): texts that arrive in pieces (stream_id, at, text), parted at <think> and </think>,
+    wherever the pieces are cut. For batches, and for streams in complete mode: a stream's pieces are joined in their order."""
+    whole = pieces.groupBy("stream_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "text"))), lambda x: x["text"]), "").alias("t"))
+    closed = F.regexp_replace("t", r"(?s)<think>.*?(?:</think>|$)", "")
+    return whole.select("stream_id", closed.alias("answer"), F.array_join(F.regexp_extract_all("t", F.lit(r"(?s)<think>(.*?)(?:</think>|$)"), F.lit(1)), "").alias("thoughts"))
+
+
 def run_available(spark: SparkSession, path: str, transform, mode: str = "append") -> DataFrame:
     """What a stream over a folder of Parquet files yields once all that is there is read. The result is a
     table in the shared folder; state and progress are kept there as well, so a lost executor costs a retry."""

@@ -303,6 +303,16 @@ def test_grounding():
     assert gr.ground_cell(page, "351", "tRFC", "Max") == "conflict" and gr.ground_cell(page, "350", "tZZ", "Max") == "not_found" and gr.ground_cell([], "1", "a", "b") == "no_text_layer"
 
 
+def test_places_on_pages():
+    from quillstone.operators import grounding as gr
+
+    word = lambda x, y, t: {"x0": x, "y0": y, "x1": x + 40, "y1": y + 10, "text": t}
+    page = [word(0, 0, "Symbol"), word(100, 0, "Min"), word(200, 0, "Unit"), word(0, 20, "Refresh"), word(45, 20, "cycle"), word(100, 20, "295"), word(200, 20, "ns"), word(0, 32, "time"), word(0, 60, "VDD"), word(100, 60, "1.2"), word(200, 60, "V")]
+    assert len(gr.find_wrapped(page, "Refresh cycle time")) == 1 and gr.find_wrapped(page, "Refresh time cycle") == [] and gr.find_wrapped(page, "") == []
+    assert gr.find_unit(page, "ns", "Refresh cycle time", "Min") == "ok" and gr.find_unit(page, "mV", "VDD", "Min") == "mismatch" and gr.find_unit(page[:3], "ns", "VDD", "Min") == "not_found"
+    assert gr.locate(page, "VDD 1.2 V")[0] == "found" and gr.locate(page + [word(0, 90, "VDD"), word(100, 90, "1.2"), word(200, 90, "V")], "VDD 1.2 V")[0] == "ambiguous" and gr.locate(page, "something else")[0] == "not_found"
+
+
 def test_records(spark, tmp_path):
     from quillstone.sources import records
 
