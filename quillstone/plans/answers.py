@@ -60,9 +60,9 @@ def provenance_priority(spark, sf):
     return verify.check(*_claims_and_sources(spark, sf)).select("answer_id", "claim_id", "provenance")
 
 
-@query()
+@query(f"WITH {_CHECKED} SELECT answer_id, claim_id, 50 AS add FROM k WHERE len(codes) = 1 AND codes[1] = 'value_missing'")
 def citation_repair(spark, sf):
-    """Rows only: the pattern of a whole number is made from the row."""
+    """Claims that lack a value take the one further source that has it: no other line's source has both of their numbers."""
     c, src = _claims_and_sources(spark, sf)
     # One more source for each answer, in which all its values stand.
     every = c.groupBy("answer_id").agg(F.array_join(F.array_sort(F.collect_list("text")), "; ").alias("text"))

@@ -19,9 +19,10 @@ from quillstone.operators.bounds import small
 _NAME = "concat(array('JESD79-4C', 'PCIe_Base_5.0_r1.0', 'Layout Guide rev B', 'USB Errata 2.0 March 2021', 'Addendum 2019-07')[o_orderkey % 5], ' ', o_orderkey % 7)"
 
 
-@query()
+@query("""SELECT o_orderkey, ['base', 'base', 'guide', 'errata', 'amendment'][o_orderkey % 5 + 1] AS doc_type, ['C', '1.0', 'B', '', ''][o_orderkey % 5 + 1] AS revision, ['', '5.0', '', '2.0', ''][o_orderkey % 5 + 1] AS version,
+ ['', '', '', '2021-03', '2019-07'][o_orderkey % 5 + 1] AS doc_date, ['jesd79-4', 'pci express base ' || o_orderkey % 7, 'layout guide ' || o_orderkey % 7, 'usb march ' || o_orderkey % 7, '07 ' || o_orderkey % 7][o_orderkey % 5 + 1] AS series FROM orders""")
 def doc_metadata(spark, sf):
-    """Rows only: patterns with look-behind."""
+    """Five names of known documents, each with a number behind it."""
     o = read(spark, sf, "orders").select("o_orderkey", F.expr(_NAME).alias("n"))
     n = F.col("n")
     return o.select("o_orderkey", md.doc_type(n).alias("doc_type"), md.revision(n).alias("revision"), md.version(n).alias("version"), md.date(n).alias("doc_date"), md.series(n).alias("series"))
@@ -54,7 +55,9 @@ def calculations(spark, sf):
     return read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", calc.calculate(e).alias("value"))
 
 
-@query()
+@query("""WITH li AS (SELECT l_orderkey, l_linenumber AS n, l_quantity::INT AS q FROM lineitem), f AS (SELECT l_orderkey, arg_min(q, (n, q)) AS q0 FROM li GROUP BY l_orderkey)
+SELECT f.l_orderkey, q0::VARCHAR AS value, string_agg(n::VARCHAR, ',' ORDER BY n, q) AS sources, false AS traced FROM f JOIN li ON li.l_orderkey = f.l_orderkey AND li.q = f.q0 WHERE q0 > 16 GROUP BY f.l_orderkey, q0
+UNION ALL SELECT l_orderkey, '77.5', '', false FROM f""")
 def calculation_trace(spark, sf):
     """Numbers of a calculation, and the line of the order in which each stands."""
     li = read(spark, sf, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_quantity").cast("int").alias("q"), calc.stated_values(F.expr("concat(int(l_quantity), ' ns')")).alias("values"))
