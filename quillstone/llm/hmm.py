@@ -268,7 +268,6 @@ def score(docs: DataFrame, held_out, states: int = STATES, passes: int = PASSES)
     classes = min(CLASSES, len(c))
     rare_n, rare_v = n - int(c[:classes].sum()), v - classes
     table = docs.sparkSession.sparkContext.broadcast((names, c))
-    index: dict = {}
 
     def encode(batches):
         names, c = table.value
@@ -291,7 +290,6 @@ def score(docs: DataFrame, held_out, states: int = STATES, passes: int = PASSES)
                 kinds = [pa.int64()] * 3 + [pa.float64()] * 2 + [pa.int64(), pa.binary(), pa.map_(pa.binary(), pa.int64())]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *(pa.array(x, t) for x, t in zip(cols, kinds, strict=True))], schema.split(";"))
 
-    del index
     schema = "doc_id;held_out;key;row;n_tokens;known;held;held_rare;rare;ids;tail"
     encoded = written(slim.mapInArrow(encode, "doc_id long, held_out boolean, key long, row long, n_tokens long, known long, held double, held_rare double, rare long, ids binary, tail map<binary,long>"), "encoded")
 

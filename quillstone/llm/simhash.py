@@ -178,10 +178,11 @@ def _neighbours(placed: DataFrame, keys: tuple[str, ...], least: float) -> DataF
     order = ["band", "value", *keys, "node"]
 
     def run(batches):
-        held = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
-        if held is None or not held.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
-        band, value, node, n, c = (held.column(x).to_numpy() for x in ("band", "value", "node", "n", "c"))
+        table = pa.Table.from_batches(held)
+        band, value, node, n, c = (table.column(x).to_numpy() for x in ("band", "value", "node", "n", "c"))
         for k in range(1, min(NEAR, len(node) - 1) + 1):
             near = (band[k:] == band[:-k]) & (value[k:] == value[:-k]) & (c[k:] != c[:-k]) & (np.minimum(n[k:], n[:-k]) >= least * np.maximum(n[k:], n[:-k]) - 1e-9)
             x, y = node[k:][near], node[:-k][near]
