@@ -14,11 +14,12 @@ def test_excerpts_of_every_document(spark, sf):
 def test_traces_of_every_order(spark, sf):
     orders = {}
     for r in read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity").collect():
-        orders.setdefault(r.l_orderkey, []).append((r.l_linenumber, f"{int(r.l_quantity)} ns"))
+        orders.setdefault(r.l_orderkey, []).append((r.l_linenumber, int(r.l_quantity)))
     want = []
     for k, src in orders.items():
-        src.sort()
-        inputs, ok = calc.trace(f"{src[0][1].split()[0]} * 1000 + 77.5", src)
-        want += [(k, i["value"], ",".join(map(str, i["sources"])), ok) for i in inputs]
+        first = min(src)[1]
+        if first > 16:  # smaller whole numbers need no source
+            want.append((k, str(first), ",".join(str(n) for n, q in sorted(src) if q == first), False))
+        want.append((k, "77.5", "", False))
     assert len({w[0] for w in want}) == len(orders)
     assert sorted(map(tuple, catalog.QUERIES["calculation_trace"](spark, sf).collect())) == sorted(want)
