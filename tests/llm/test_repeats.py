@@ -2,17 +2,17 @@
 
 from quillstone.llm import toxicity
 
+MODEL = toxicity.Model({"vile": 4.0, "grob": 4.0, "nasty": 4.0}, 0.25)
+
 
 def test_a_second_passage_of_the_same_words_is_found():
     bad, plain = "vile grob nasty", " ".join(["plain"] * 60)
-    model = {b"vile": 4.0, b"grob": 4.0, b"nasty": 4.0}
-    n, segments = toxicity._scan(f"{bad} {plain} {bad}".encode(), model, {})
+    n, segments = MODEL.segments(f"{bad} {plain} {bad}", {})
     assert n == 66 and [(a, z) for _, a, z in segments] == [(0, 2), (63, 65)]
-    assert segments[0][0] == segments[1][0] == 3 * (4.0 - toxicity.DRIFT)
+    assert segments[0][0] == segments[1][0] == 3 * (4.0 - MODEL.drift)
 
 
 def test_a_passage_of_words_that_came_singly_is_found():
     plain = " ".join(["plain"] * 60)
-    model = {b"vile": 4.0, b"grob": 4.0, b"nasty": 4.0}
-    _, segments = toxicity._scan(f"vile {plain} grob {plain} nasty {plain} vile grob nasty".encode(), model, {})
+    _, segments = MODEL.segments(f"vile {plain} grob {plain} nasty {plain} vile grob nasty", {})
     assert max(segments)[1:] == (183, 185)
