@@ -111,4 +111,64 @@ OP10 = """WITH b AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x,
  e AS (SELECT k.doc_id, sum(hi - lo)::BIGINT AS removed, count(*) AS spans, string_agg(substr(x, 2 * upto + 1, 2 * (lo - upto)), '' ORDER BY lo) || substr(any_value(x), 2 * max(hi) + 1) AS rest FROM k JOIN b USING (doc_id) GROUP BY k.doc_id)
 SELECT b.doc_id, n AS n_bytes, coalesce(removed, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(rest, x))) AS kept_sha256 FROM b LEFT JOIN e USING (doc_id)"""
 
-ORACLES = {"op1_mixing": OP1, "op2_sharding": OP2, "op4_quality": OP4, "op8_vectors": OP8, "op10_suffixes": OP10}
+OP11 = """WITH v AS (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+ s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INT AS rank, vec_id, score FROM r WHERE rank <= 20"""
+
+#: CRC-32 of a list of bytes, over a table made by the polynomial's rule.
+_CRC_TABLE = "(SELECT list(list_reduce([i::BIGINT] || range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY i) AS t FROM range(256) r(i))"
+
+
+def _crc(data: str) -> str:
+    return f"xor(list_reduce([4294967295] || {data}, lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295)"
+
+
+_DIGITS = "list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ord(x)::BIGINT)"
+
+
+def _leaf(text: str) -> str:
+    parts = [f"coalesce(strlen({c}::VARCHAR)::VARCHAR || ':' || {c}::VARCHAR, '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(parts)})"
+
+
+_RISE = "list_transform(range((len(l) + 15) // 16), lambda i: sha256(array_to_string(l[16 * i + 1 : 16 * i + 16], '')))"
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+OP12 = f"""WITH RECURSIVE crc AS MATERIALIZED {_CRC_TABLE},
+ d0 AS MATERIALIZED (SELECT doc_id, source, {_leaf("text")} AS leaf, {_leaf(f"translate(text, {_UPPER})")} AS other, {_crc(_DIGITS)} % 5 = 0 AS hit FROM documents, crc),
+ d AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS i FROM d0),
+ up AS (SELECT source, 0 AS k, list(leaf ORDER BY i) AS l FROM d GROUP BY source UNION ALL SELECT source, k + 1, {_RISE} FROM up WHERE len(l) > 1),
+ sub AS MATERIALIZED (SELECT source, l[1] AS subroot, k AS depth, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS i FROM up WHERE len(l) = 1),
+ top AS (SELECT 0 AS k, list(subroot ORDER BY i) AS l FROM sub UNION ALL SELECT k + 1, {_RISE} FROM top WHERE len(l) > 1),
+ step AS (SELECT d.source, d.i AS leaf_i, u.k, l, d.i // (16 ** u.k)::BIGINT AS p FROM d JOIN up u ON d.source IS NOT DISTINCT FROM u.source WHERE len(l) > 1
+  UNION ALL SELECT d.source, d.i, s.depth + t.k, l, s.i // (16 ** t.k)::BIGINT FROM d JOIN sub s ON d.source IS NOT DISTINCT FROM s.source, top t WHERE len(l) > 1),
+ way AS MATERIALIZED (SELECT source, leaf_i, list({{'a': array_to_string(l[p - p % 16 + 1 : p], ''), 'b': array_to_string(l[p + 2 : p - p % 16 + 16], '')}} ORDER BY k) AS w FROM step GROUP BY source, leaf_i),
+ f(source, leaf_i, k, h) AS (SELECT source, i, 0, CASE WHEN hit THEN other ELSE leaf END FROM d
+  UNION ALL SELECT f.source, f.leaf_i, k + 1, sha256(w[k + 1].a || h || w[k + 1].b) FROM f JOIN way ON f.source IS NOT DISTINCT FROM way.source AND f.leaf_i = way.leaf_i WHERE k < len(w)),
+ last AS (SELECT source, leaf_i, arg_max(h, k) AS h FROM f GROUP BY source, leaf_i),
+ root AS (SELECT l[1] AS root FROM top WHERE len(l) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(w, lambda x: x.a || x.b), ''), '')) AS proof_sha256, h AS folded_root, h = root AS verified
+ FROM d JOIN sub s ON d.source IS NOT DISTINCT FROM s.source JOIN last ON last.source IS NOT DISTINCT FROM d.source AND last.leaf_i = d.i LEFT JOIN way ON way.source IS NOT DISTINCT FROM d.source AND way.leaf_i = d.i, root"""
+
+
+def _features(table: str, key: str) -> str:
+    words = rf"regexp_extract_all(translate(coalesce(text, ''), {_UPPER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    return f"(SELECT {key}, len(w) AS n_words, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM (SELECT {key}, {words} AS w FROM {table}))"
+
+
+_BYTES = "list_transform(range(strlen(f)), lambda i: ('0x' || substr(hex(encode(f)), (2 * i + 1)::INT, 2))::BIGINT)"
+
+OP13 = f"""WITH crc AS MATERIALIZED {_CRC_TABLE},
+ d AS MATERIALIZED {_features("documents", "doc_id")}, b AS MATERIALIZED {_features("benchmark", "item_id")},
+ h AS MATERIALIZED (SELECT f, {_crc(_BYTES)} % 10000 AS bucket FROM (SELECT f FROM d UNION SELECT f FROM b), crc),
+ s AS (SELECT bucket, count(*)::DOUBLE AS s FROM d JOIN h USING (f) GROUP BY bucket), t AS (SELECT bucket, count(*)::DOUBLE AS t FROM b JOIN h USING (f) GROUP BY bucket),
+ g AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT count(*) FROM d) + 10000.0::DOUBLE) / ((coalesce(s, 0) + 1) * ((SELECT count(*) FROM b) + 10000.0::DOUBLE))))::BIGINT AS gain FROM s FULL JOIN t USING (bucket)),
+ w AS (SELECT doc_id, count(*) AS n_features, any_value(n_words) AS n_words, floor(sum(gain) / count(*)::DOUBLE)::BIGINT AS weight FROM d JOIN h USING (f) JOIN g USING (bucket) GROUP BY doc_id),
+ a AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(n_words, 0) AS n_words, coalesce(weight, 0) AS weight,
+   coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM documents LEFT JOIN w USING (doc_id)),
+ r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM a WHERE n_words >= 20)
+SELECT a.doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN rank <= 25 * (SELECT count(*) FROM r) // 100 THEN rank END AS rank FROM a LEFT JOIN r USING (doc_id)"""
+
+ORACLES = {"op1_mixing": OP1, "op2_sharding": OP2, "op4_quality": OP4, "op8_vectors": OP8, "op10_suffixes": OP10, "op11_topk": OP11, "op12_manifest": OP12, "op13_resampling": OP13}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quillstone.llm import hmm, mixing, packing, quality, sharding, simhash, substrings, suffixes, toxicity, vectors
+from quillstone.llm import hmm, manifest, mixing, packing, quality, resampling, sharding, simhash, substrings, suffixes, topk, toxicity, vectors
 from quillstone.llm.common import read
 from quillstone.llm.oracles import ORACLES  # noqa: F401
 
@@ -64,4 +64,19 @@ def op10_suffixes(spark, sf_dir):
     return suffixes.deduplicate(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_hmm, op4_quality, op5_packing, op6_substrings, op7_toxicity, op8_vectors, op9_simhash, op10_suffixes)}
+def op11_topk(spark, sf_dir):
+    return topk.search(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_manifest(spark, sf_dir):
+    """Tampered: texts lower-cased in A-Z, of the ids whose crc32 is divisible by 5."""
+    docs = read(spark, sf_dir, "documents")
+    return manifest.manifest(docs, F.when(fold(F.col("doc_id")) == 0, manifest.lower_ascii(F.col("text"))))
+
+
+def op13_resampling(spark, sf_dir):
+    rows = resampling.scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op2_sharding, op3_hmm, op4_quality, op5_packing, op6_substrings, op7_toxicity, op8_vectors, op9_simhash, op10_suffixes, op11_topk, op12_manifest, op13_resampling)}
