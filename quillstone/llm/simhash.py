@@ -25,8 +25,8 @@ SEED = 42
 #: Bands of least hashes, and hashes in each.
 BANDS = 32
 BAND = 6
-#: Neighbours of another group that a text is compared with, in each order.
-NEAR = 4
+#: Partners of a text that a task compares it with.
+PARTNERS = 2048
 
 
 def _fingerprint(text: bytes | None, shingle: int) -> int:
@@ -172,43 +172,63 @@ def _shingled(docs: DataFrame, shingle: int) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, key long, node long, n int, bands array<long>, grams binary")
 
 
-def _neighbours(placed: DataFrame, keys: tuple[str, ...], least: float) -> DataFrame:
-    """(a, b): texts of one band and different groups that stand close together in the order of keys. Rows are sorted by
-    range, so a band that most texts share is split."""
-    order = ["band", "value", *keys, "node"]
-
-    def run(batches):
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        band, value, node, n, c = (table.column(x).to_numpy() for x in ("band", "value", "node", "n", "c"))
-        for k in range(1, min(NEAR, len(node) - 1) + 1):
-            near = (band[k:] == band[:-k]) & (value[k:] == value[:-k]) & (c[k:] != c[:-k]) & (np.minimum(n[k:], n[:-k]) >= least * np.maximum(n[k:], n[:-k]) - 1e-9)
-            x, y = node[k:][near], node[:-k][near]
-            pairs = np.unique(np.column_stack([np.minimum(x, y), np.maximum(x, y)]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-    return placed.select("band", "value", *keys, "node", *[x for x in ("n", "c") if x not in keys]).repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, "a long, b long")
-
-
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least that share of their union in common."""
+    """The pairs (a, b) whose sets have at least that share of their union in common. Pairs are dealt by a, in
+    tasks of bounded size, and the set of a goes before those of its partners, once for each of these tasks."""
+    dealt = "a", "way", "b"
 
     def run(batches):
+        held, of = None, None
         for x in batches:
-            for k in range(0, x.num_rows, 500):
-                part = x.slice(k, 500)
-                keep = []
-                for p, q in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    p, q = np.frombuffer(p, "<u8"), np.frombuffer(q, "<u8")
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    keep.append(both >= least * (len(p) + len(q) - both) - 1e-9)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("grams").alias("_p")), "a")
-    each = left.join(sets.select(F.col("node").alias("b"), F.col("grams").alias("_q")), "b")
-    return each.select("a", "b", "_p", "_q").mapInArrow(run, "a long, b long")
+            a, way, b, sized = x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).to_pylist(), x.column(3)
+            keep = []
+            for i in range(x.num_rows):
+                grams = np.frombuffer(sized[i].as_py(), "<u8")
+                if b[i] is None:
+                    held, of = grams, (a[i], way[i])
+                    keep.append(False)
+                else:
+                    assert of == (a[i], way[i])
+                    both = len(np.intersect1d(held, grams, assume_unique=True))
+                    keep.append(both >= least * (len(held) + len(grams) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(2)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    ways = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("long").alias("ways")), "ways")
+    lead = ways.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("way"), F.lit(None).cast("long").alias("b"))
+    lead = lead.join(sets.select(F.col("node").alias("a"), "grams"), "a").select(*dealt, "grams")
+    rest = join_small(pairs, ways.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).select("a", F.pmod(F.xxhash64("b"), F.col("ways")).alias("way"), "b")
+    rest = rest.join(sets.select(F.col("node").alias("b"), "grams"), "b").select(*dealt, "grams")
+    return lead.unionByName(rest).repartition("a", "way").sortWithinPartitions("a", "way", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+
+
+def _candidates(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b): all pairs of nodes (node, n, c) of different c that can have the share ``least`` in common.
+
+    Shingles are put in order of how many of these texts have them, the rarest first. A pair that is alike has one of
+    the first n - least * n + 1 of both in common, and enough after the first such one (prefix and positional
+    filters, which lose nothing). Those that a single text has are counted, not joined."""
+    each = join_small(sets, nodes.select(F.col("node").alias("_node"), "n", "c"), F.col("node") == F.col("_node")).select("node", "n", "c", "grams")
+
+    def spread(batches):
+        for x in batches:
+            for i in range(x.num_rows):
+                g = np.frombuffer(x.column(3)[i].as_py(), "<i8")
+                rows = x.slice(i, 1)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(rows.column(k).to_numpy(), len(g))) for k in (0, 1, 2)), pa.array(g)], ["node", "n", "c", "gram"])
+
+    grams = written(each.mapInArrow(spread, "node long, n int, c long, gram long"), "mixed-shingles")
+    often = written(grams.groupBy("gram").agg(F.count("*").alias("times"), F.min("c").alias("lo"), F.max("c").alias("hi")), "shingle-counts")
+    shared = grams.join(often.where("times > 1").select(F.col("gram").alias("_gram"), "times", (F.col("lo") < F.col("hi")).alias("crosses")).hint("merge"), F.col("gram") == F.col("_gram")).drop("_gram")
+    own = Window.partitionBy("node")  # a text's shingles
+    alone = F.col("n") - F.count("*").over(own)
+    first = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
+    pre = shared.withColumn("at", alone + F.row_number().over(own.orderBy("times", "gram"))).where((F.col("at") <= first) & F.col("crosses")).select("node", "n", "c", "gram", "at")
+    pre = written(pre, "prefixes")
+    side = lambda k: pre.select(*[F.col(x).alias(f"{k}_{x}") for x in pre.columns])
+    rest = F.least(F.col("p_n") - F.col("p_at"), F.col("q_n") - F.col("q_at"))
+    fits = (F.least("p_n", "q_n") >= least * F.greatest("p_n", "q_n") - 1e-9) & (rest + 1 >= least / (1 + least) * (F.col("p_n") + F.col("q_n")) - 1e-9)
+    met = side("p").hint("merge").join(side("q"), F.col("p_gram") == F.col("q_gram")).where((F.col("p_node") < F.col("q_node")) & (F.col("p_c") != F.col("q_c")) & fits)
+    return met.select(F.col("p_node").alias("a"), F.col("q_node").alias("b")).distinct()
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -217,16 +237,13 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
 
     Fingerprints can't find such pairs: at 0.8 they differ in too many bits for any key. Candidates agree in
     one of BANDS bands of BAND least hashes, which a pair at 0.8 fails to do in 1 of 16,000 cases. Of those that share
-    a band, every text is compared with the least one, and then, where this left different groups, with NEAR
-    neighbours of another group in two orders: by the next band's hash, which near copies often share as well,
-    and by size. So comparisons grow with the texts, not with pairs: of many texts that share bands without being
-    alike, a pair may go unseen that is in none of these places. Texts without words are one group.
+    a band, every text is compared with the least one. Texts of bands in which this left different groups are then joined
+    with each other by prefixes of their rarest shingles, which loses no pair, and what is found is counted out. Groups are the
+    same for every number of partitions. Texts without words are one group.
     """
     rows = written(_shingled(docs, shingle).withColumn("rid", F.monotonically_increasing_id()), "shingled")
     nodes = rows.groupBy("node").agg(F.min_by(F.struct("rid", "n", "bands"), "rid").alias("x"))
-    bands = nodes.select("node", "x.rid", "x.n", "x.bands", F.posexplode("x.bands").alias("band", "value"))
-    bands = bands.select("node", "rid", "n", "band", "value", F.get("bands", (F.col("band") + 1) % BANDS).alias("next"))
-    bands = written(bands, "bands")
+    bands = written(nodes.select("node", "x.rid", "x.n", F.posexplode("x.bands").alias("band", "value")), "bands")
     heads = bands.groupBy("band", "value").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("times")).where("times > 1").drop("times")
     heads = written(heads, "heads")
     members = written(bands.join(heads.hint("merge"), ["band", "value"]), "members")
@@ -239,18 +256,15 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFr
     first = written(first.distinct(), "pairs")
     near = written(_alike(first, sets, least), "alike")
 
-    found, tried = components(near), first
-    for keys in (("next",), ("n",)):
-        of = found.withColumnRenamed("node", "_node")
-        every = written(join_small(members, of, F.col("node") == F.col("_node"), "left").select("band", "value", "next", "node", "n", F.coalesce("component", "node").alias("c")), "placed")
-        mixed = every.groupBy("band", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("band").alias("_band"), F.col("value").alias("_value"))
-        placed = join_small(every, written(mixed, "mixed"), (F.col("band") == F.col("_band")) & (F.col("value") == F.col("_value")))
-        more = written(_neighbours(placed, keys, least).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        again = written(_alike(more, sets, least), "alike")
-        discard(every)
-        tried, near = written(tried.unionByName(more), "tried"), written(near.unionByName(again), "alike")
-        found = components(near)
-    for used in (members, sets, first, tried, near):
+    of = components(near).withColumnRenamed("node", "_node")
+    placed = written(join_small(members, of, F.col("node") == F.col("_node"), "left").select("band", "value", "node", "n", F.coalesce("component", "node").alias("c")), "placed")
+    discard(members)
+    mixed = placed.groupBy("band", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("band").alias("_band"), F.col("value").alias("_value"))
+    open_ = join_small(placed, written(mixed, "mixed"), (F.col("band") == F.col("_band")) & (F.col("value") == F.col("_value")), "left_semi").select("node", "n", "c").distinct()
+    more = written(_candidates(written(open_, "open"), sets, least).join(first, ["a", "b"], "left_anti"), "pairs")
+    near = written(near.unionByName(_alike(more, sets, least)), "alike")
+    found = components(near)
+    for used in (placed, sets, first, more, near):
         discard(used)
     of = slim.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     return of.select("doc_id", "key", F.coalesce("component", "node").alias("group"))

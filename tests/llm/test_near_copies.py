@@ -62,3 +62,37 @@ def test_texts_of_near_fingerprints_stay_if_less_alike(spark):
     assert len({x.component_id for x in simhash.near_duplicates(df, shingle=5).collect()}) < 6
     assert len(set(brute([t for _, t in docs]))) == 6
     assert simhash.first_of_each(df).count() == 6
+
+
+def family(r, words):
+    """Many texts that share most of their shingles, and few of which are alike: every one has edits of its own."""
+    base = prose(r, words)
+    texts = [edited(r, base, r.choice([2, 4, 6, 8])) for _ in range(120)]
+    return texts + [edited(r, t, 1) for t in texts[::3]]
+
+
+def test_no_pair_is_lost_in_a_large_family_whatever_the_partitions(spark):
+    r = random.Random(8)
+    texts = family(r, 150) + family(r, 60)
+    want = brute(texts)
+    groups = len(set(want))
+    assert 30 < groups < len(texts) - 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in (8, 64, 211):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = {x.doc_id: x.group for x in simhash.near_copies(docs.repartition(n % 7 + 1)).collect()}
+            first = {}
+            for i in sorted(got):
+                first.setdefault(got[i], i)
+            assert [first[got[i]] for i in range(len(texts))] == want
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_partners_of_one_text_are_dealt_to_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PARTNERS", 3)
+    texts = corpus()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.first_of_each(docs).collect()) == sorted(set(brute(texts)))
