@@ -45,14 +45,16 @@ def split_thoughts(pieces: DataFrame) -> DataFrame:
     return whole.select("stream_id", closed.alias("answer"), F.array_join(F.regexp_extract_all("t", F.lit(r"(?s)<think>(.*?)(?:</think>|$)"), F.lit(1)), "").alias("thoughts"))
 
 
-def run_available(spark: SparkSession, path: str, transform, mode: str = "append") -> DataFrame:
-    """What a stream over a folder of Parquet files yields once all that is there is read. The result is a
+def run_available(spark: SparkSession, path: str, transform, mode: str = "append", files: int | None = None) -> DataFrame:
+    """What a stream over a folder of Parquet files yields once all that is there is read, ``files`` of them in a
+    micro-batch, in the order in which they were written (none given: all in one). The result is a
     table in the shared folder; state and progress are kept there as well, so a lost executor costs a retry."""
     schema = spark.read.parquet(path).schema
     base = f"{shared_dir(spark)}/quillstone/stream-{uuid.uuid4().hex}"
     # A single file is a table too: the glob limits the stream to it.
     folder, _, name = path.rstrip("/").rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*")
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet")
+    stream = (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(f"{folder}/{name}*")
     out = transform(stream)
 
     def keep(batch: DataFrame, number: int) -> None:
