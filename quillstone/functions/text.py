@@ -171,4 +171,5 @@ def contains_all(text: Column, expected: Column) -> Column:
 
 
 def strip_thinking(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?s)<think>.*?</think>", "")
+    """A whole answer without thoughts, nor what stands before a closing tag that nothing opened."""
+    return F.btrim(F.regexp_replace(F.regexp_replace(text, r"(?s)<think>.*?</think>", ""), r"(?s)^.*?</think>", ""), F.lit(" \t\r\n"))

@@ -196,3 +196,13 @@ def compatible(manifest: DataFrame, model: str, dim: int) -> None:
     other = manifest.where((F.col("model") != model) | (F.col("dim") != dim)).select("model", "dim").limit(1).collect()
     if other:
         raise ValueError(f"the library's vectors are of {other[0]['model']} ({other[0]['dim']}), not of {model} ({dim}): make them anew")
+
+
+def relink(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """old and new side by side where a key stands once on either side; null keys, and those that repeat, link nothing."""
+
+    def single(d: DataFrame) -> DataFrame:
+        rest = [c for c in d.columns if c != key]
+        return d.groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*rest)).alias("_r")).where("_n = 1").select(key, "_r.*")
+
+    return single(old).join(single(new), key)

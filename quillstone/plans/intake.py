@@ -301,10 +301,10 @@ def model_prefixes(spark, sf):
     return read(spark, sf, "customer").select("c_custkey", cd.with_prefix(F.col("c_name"), model, True).alias("q"), cd.with_prefix(F.col("c_name"), model, False).alias("p"))
 
 
-@query("SELECT doc_id, source || ' ' || doc_id AS title, lang || '-' || (doc_id % 3) AS doc_key, n_chars < 500 AS legacy FROM documents WHERE contains(lower(source), 'e')")
+@query("SELECT doc_id, source || ' ' || doc_id AS title, lang || '-' || (doc_id % 3) AS doc_key, n_chars < 500 AS legacy FROM documents WHERE contains(lower(source), 'c1')")
 def public_documents(spark, sf):
     """What callers see: derived names and marks, no tables of contents; titles by a folded part."""
-    d = read(spark, sf, "documents").where(F.contains(tx.fold(F.col("source")), tx.fold(F.lit("E"))))
+    d = read(spark, sf, "documents").where(F.contains(tx.fold(F.col("source")), tx.fold(F.lit("C1"))))
     return d.select("doc_id", F.concat_ws(" ", "source", F.col("doc_id").cast("string")).alias("title"), F.concat_ws("-", "lang", (F.col("doc_id") % 3).cast("string")).alias("doc_key"), (F.col("n_chars") < 500).alias("legacy"))
 
 

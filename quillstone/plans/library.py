@@ -295,9 +295,11 @@ def root_missing_counts(spark, sf):
     return j.select("c_custkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("missing", F.lit(0)).alias("missing"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority LIKE '1%')")
 def orphans_anti(spark, sf):
-    return read(spark, sf, "customer").select("c_custkey").join(read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    """Customers without a pending order of the first priority."""
+    o = read(spark, sf, "orders").where("o_orderstatus = 'P' and o_orderpriority like '1%'")
+    return read(spark, sf, "customer").select("c_custkey").join(o.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -312,13 +314,12 @@ def status_order_page(spark, sf):
     return read(spark, sf, "orders").orderBy(rank, F.lower("o_orderpriority"), "o_orderkey").select("o_orderkey", "o_orderstatus").offset(100).limit(50)
 
 
-@query("""WITH n AS (SELECT doc_id, n_chars % 97 AS k FROM documents), o AS (SELECT k, any_value(doc_id) AS doc_id FROM n WHERE doc_id % 2 = 0 GROUP BY k HAVING count(*) = 1),
+@query("""WITH n AS (SELECT doc_id, lang || '/' || (n_chars // 7) AS k FROM documents), o AS (SELECT k, any_value(doc_id) AS doc_id FROM n WHERE doc_id % 2 = 0 GROUP BY k HAVING count(*) = 1),
  p AS (SELECT k, any_value(doc_id) AS doc_id FROM n WHERE doc_id % 2 = 1 GROUP BY k HAVING count(*) = 1) SELECT o.doc_id AS old_id, p.doc_id AS new_id FROM o JOIN p USING (k)""")
 def relink_orphans(spark, sf):
     """Records whose key is unique on both sides are linked again."""
-    n = read(spark, sf, "documents").select("doc_id", (F.col("n_chars") % 97).alias("k"))
-    side = lambda r, name: n.where(F.col("doc_id") % 2 == r).groupBy("k").agg(F.count("*").alias("c"), F.min("doc_id").alias(name)).where("c = 1").drop("c")
-    return side(0, "old_id").join(side(1, "new_id"), "k").select("old_id", "new_id")
+    n = read(spark, sf, "documents").select("doc_id", F.expr("concat(lang, '/', n_chars div 7)").alias("k"))
+    return lib.relink(n.where("doc_id % 2 = 0").withColumnRenamed("doc_id", "old_id"), n.where("doc_id % 2 = 1").withColumnRenamed("doc_id", "new_id"), "k").select("old_id", "new_id")
 
 
 @query("SELECT doc_id, CASE WHEN nth = 1 THEN rel ELSE rel || ' (' || nth || ')' END AS rel FROM (SELECT doc_id, lang || '/' || source AS rel, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS nth FROM documents)")

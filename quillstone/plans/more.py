@@ -13,8 +13,10 @@ from quillstone.functions import statements as st
 from quillstone.functions import text as tx
 from quillstone.functions import units as un
 from quillstone.operators import grounding as gr
+from quillstone.operators import pages as pg
+from quillstone.operators import records as rc
 from quillstone.operators import search as s
-from quillstone.operators.bounds import small
+from quillstone.plans.answers import _ONE, _lines
 
 _NAME = "concat(array('JESD79-4C', 'PCIe_Base_5.0_r1.0', 'Layout Guide rev B', 'USB Errata 2.0 March 2021', 'Addendum 2019-07')[o_orderkey % 5], ' ', o_orderkey % 7)"
 
@@ -101,14 +103,17 @@ def _words(spark, sf):
 
 
 @query("""WITH li AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem)
-SELECT l_orderkey AS table_id, CASE WHEN k % 5 = 0 THEN 'conflict' WHEN k % 7 = 0 THEN 'not_found' ELSE 'grounded' END AS status, count(*) AS n FROM li GROUP BY ALL""")
+SELECT l_orderkey AS table_id, CASE WHEN k % 5 = 0 THEN 'conflict' WHEN k % 7 = 0 THEN 'not_found' WHEN k % 3 = 0 AND l_linenumber * 100 = 300 THEN 'ambiguous' ELSE 'grounded' END AS status, count(*) AS n FROM li GROUP BY ALL""")
 def ground_cells(spark, sf):
-    """Cells of extracted tables, one in five with a wrong value and one in seven without its row, against the page's words."""
+    """Cells of extracted tables against the page's words: one in five has the value of another column, one in seven no row, and
+    some values stand twice in their row, the second time under a second head."""
     li, w = _words(spark, sf)
-    page = w.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "x1", "y1", "text"))).alias("w")).select("doc_id", F.transform("w", lambda x: F.struct(x["x0"].alias("x0"), x["y0"].alias("y0"), x["x1"].alias("x1"), x["y1"].alias("y1"), x["text"].alias("text"))).alias("words"))
-    cells = li.select(F.col("l_orderkey").alias("table_id"), F.expr("case when k % 7 = 0 and k % 5 <> 0 then 'absent' else concat('tR', k) end").alias("row"), F.lit("Max").alias("column"), F.expr("case when k % 5 = 0 then '98765' else string(l_linenumber * 100) end").alias("value"))
-    g = gr.ground(cells.join(page, F.col("table_id") == F.col("doc_id")).select("table_id", "row", "column", "value", "words"))
-    return g.groupBy("table_id", "status").agg(F.count("*").alias("n"))
+    twice = li.where("k % 3 = 0 and l_linenumber * 100 = 300").select(F.col("l_orderkey").alias("doc_id"), F.lit(400.0).alias("x0"), (F.col("k") * 20.0).alias("y0"), F.lit(440.0).alias("x1"), (F.col("k") * 20.0 + 10).alias("y1"), F.lit("300").alias("text"), F.lit(1).alias("page"))
+    second = li.select("l_orderkey").distinct().select(F.col("l_orderkey").alias("doc_id"), F.lit(400.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(440.0).alias("x1"), F.lit(10.0).alias("y1"), F.lit("Max").alias("text"), F.lit(1).alias("page"))
+    words = w.unionByName(twice).unionByName(second).withColumn("raised", F.lit(False))
+    value = F.expr("case when k % 5 = 0 then string(int(l_quantity)) else string(l_linenumber * 100) end")
+    cells = li.select(F.col("l_orderkey").alias("doc_id"), F.lit(1).alias("page"), F.col("k").alias("value_id"), value.alias("value"), F.expr("array(case when k % 7 = 0 and k % 5 <> 0 then 'absent' else concat('tR', k) end)").alias("labels"), F.array(F.lit("Max")).alias("heads"), F.array().cast("array<string>").alias("groups"))
+    return pg.ground_values(cells, words).groupBy(F.col("doc_id").alias("table_id"), "status").agg(F.count("*").alias("n"))
 
 
 @query("""WITH li AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)
@@ -133,13 +138,25 @@ def visual_lines(spark, sf):
     return gr.visual_lines(_words(spark, sf)[1]).select("doc_id", "text")
 
 
-@query("""WITH p AS (SELECT o_custkey AS page, o_orderkey AS a, s_suppkey AS b, round(((o_orderkey * 7 + s_suppkey * 13) % 101) / 100.0::DOUBLE, 4) AS score FROM orders JOIN supplier ON s_suppkey % 7 = o_orderkey % 7),
- n AS (SELECT *, row_number() OVER (PARTITION BY page, a ORDER BY score DESC, b) AS n, lead(score) OVER (PARTITION BY page, a ORDER BY score DESC, b) AS nxt FROM p),
- t AS (SELECT *, row_number() OVER (PARTITION BY page, b ORDER BY score DESC, a) AS o FROM n WHERE n = 1 AND score >= 0.5 AND (nxt IS NULL OR score - nxt > 0.15))
-SELECT page, a, b, score FROM t WHERE o = 1""")
+_READ = "'p' || l_partkey % 40 || ' s' || l_suppkey % 9 || ' q' || l_quantity::INT || ' d' || (l_discount * 100)::INT"
+_PRINTED = "CASE WHEN l_tax > 0.06 THEN 'x y' WHEN l_tax > 0.03 THEN 'p' || l_partkey % 40 || ' z' ELSE 'p' || l_partkey % 40 || ' s' || l_suppkey % 9 END || ' q' || l_quantity::INT || ' d' || (l_discount * 100)::INT"
+
+
+@query(f"""WITH RECURSIVE l AS MATERIALIZED (SELECT l_orderkey AS o, l_linenumber AS n, string_split({_READ}, ' ') AS r, string_split({_PRINTED}, ' ') AS p FROM {_ONE}),
+ s AS MATERIALIZED (SELECT a.o, a.n AS a, b.n AS b, round(len(list_intersect(a.r, b.p)) / len(list_distinct(a.r || b.p))::DOUBLE, 6) AS score FROM l a JOIN l b USING (o)),
+ g AS MATERIALIZED (SELECT o, list(a ORDER BY a) AS tables FROM (SELECT DISTINCT o, a FROM s) GROUP BY o),
+ f(o, k, taken, a, b, score) AS (SELECT o, 0, []::BIGINT[], NULL::BIGINT, NULL::BIGINT, NULL::DOUBLE FROM g
+  UNION ALL SELECT o, k + 1, CASE WHEN b IS NULL THEN taken ELSE list_append(taken, b) END, a, b, score FROM (
+   SELECT f.o, f.k, f.taken, g.tables[f.k + 1] AS a, c.hit.b AS b, c.hit.score AS score FROM f JOIN g USING (o), LATERAL (
+    SELECT CASE WHEN m[1].score >= 0.5 AND (len(m) = 1 OR m[2].score < m[1].score - 0.15) THEN m[1] END AS hit FROM (SELECT list({{'score': s.score, 'b': s.b}} ORDER BY s.score DESC, s.b) AS m FROM s WHERE s.o = f.o AND s.a = g.tables[f.k + 1] AND NOT list_contains(f.taken, s.b))) c WHERE f.k < len(g.tables)))
+SELECT o AS doc_id, a, b, score FROM f WHERE b IS NOT NULL""")
 def table_match(spark, sf):
-    j = read(spark, sf, "orders").join(small(read(spark, sf, "supplier")), F.expr("s_suppkey % 7 = o_orderkey % 7"))
-    return gr.match_tables(j.selectExpr("o_custkey as page", "o_orderkey as a", "s_suppkey as b", "round(((o_orderkey * 7 + s_suppkey * 13) % 101) / 100.0D, 4) as score"))
+    """Each line of an order as a table that a model read, and as the page prints it, some of its words changed."""
+    li = _lines(spark, sf).withColumnRenamed("l_orderkey", "doc_id").withColumn("page", F.lit(1)).withColumn("box", F.lit(None).cast("struct<x0:double,y0:double,x1:double,y1:double>"))
+    p, tail = "concat('p', l_partkey % 40)", "concat(' q', int(l_quantity), ' d', cast(l_discount * 100 as decimal(9,0)))"
+    read_ = li.select("doc_id", "page", F.col("l_linenumber").cast("long").alias("a"), F.expr(f"concat({p}, ' s', l_suppkey % 9, {tail})").alias("text"), "box", F.lit(None).cast("string").alias("ref"))
+    printed = li.select("doc_id", "page", F.col("l_linenumber").cast("long").alias("b"), F.expr(f"concat(case when l_tax > 0.06 then 'x y' when l_tax > 0.03 then concat({p}, ' z') else concat({p}, ' s', l_suppkey % 9) end, {tail})").alias("text"), "box", F.lit("").alias("before"))
+    return rc.claim_once(rc.table_scores(read_, printed)).select("doc_id", "a", "b", "score")
 
 
 @query("SELECT p_partkey, round(greatest(0, least(p_size + 10, 30) - greatest(p_size, 20))::DOUBLE * 5, 4) AS area FROM part")

@@ -32,7 +32,7 @@ SQL_FUNCTIONS = {
         r"slice(array_distinct(filter(regexp_extract_all(lower(replace(t, 'İ', 'i')), '[\\p{L}\\p{N}_]+', 0), x -> length(x) >= 2 and not array_contains(array(" + ", ".join(f"'{w}'" for w in text.STOPWORDS) + "), x))), 1, 48)",
     ),
     "scrub": ("(t STRING) RETURNS STRING", _scrubbed()),
-    "strip_thinking": ("(t STRING) RETURNS STRING", r"regexp_replace(t, '(?s)<think>.*?</think>', '')"),
+    "strip_thinking": ("(t STRING) RETURNS STRING", r"btrim(regexp_replace(regexp_replace(t, '(?s)<think>.*?</think>', ''), '(?s)^.*?</think>', ''), ' \t\r\n')"),
 }
 
 
