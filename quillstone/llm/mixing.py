@@ -88,7 +88,7 @@ def _plan(docs: DataFrame, slim: DataFrame, weigh, max_epochs: int, block_tokens
 
     def placed(df: DataFrame) -> DataFrame:
         of = sources.select(F.col("_s").alias("_of"), "_rank", "_groups", "_shards")
-        out = join_small(df, of, F.col("_s").eqNullSafe(F.col("_of"))).drop("_of").withColumn("_h", md5_long(F.lit(seed), F.col("_id")))
+        out = join_small(df, of, F.col("_s").eqNullSafe(F.col("_of"))).drop("_of").withColumn("_h", md5_long(F.lit(seed), F.col("_id"), F.col("_text_hash")))
         return out.withColumn("_group", F.col("_h") % F.col("_groups")).withColumn("_shard", F.expr("_h div _groups") % F.col("_shards"))
 
     lens = written(placed(slim).groupBy("_rank", "_group", "_shard").agg(F.sum("_n").alias("_len")), "mix-shards")
@@ -117,7 +117,7 @@ def _cuts() -> tuple[Column, Column, Column, Column]:
 
 
 def _slim(docs: DataFrame, *more: Column) -> DataFrame:
-    return docs.select(docs["doc_id"].alias("_id"), docs["source"].alias("_s"), n_words(docs["text"]).alias("_n"), F.xxhash64(docs["text"]).alias("_text_hash"), *more)
+    return docs.select(docs["doc_id"].alias("_id"), docs["source"].alias("_s"), n_words(docs["text"]).alias("_n"), F.md5(docs["text"].cast("binary")).alias("_text_hash"), *more)
 
 
 SETTINGS = {"weigh": by_rank, "max_epochs": 3, "block_tokens": 64, "shard_tokens": 65_536, "seed": "mix"}

@@ -25,7 +25,7 @@ def _lague(name: str, source: str, amount: str, blocks: str, key: str, out: str,
    FROM {name}4 WINDOW g AS (PARTITION BY {by}, {key})) WHERE z_nth = 1)"""
 
 
-OP1 = f"""WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS n, {_md5("'mix'", "doc_id")} AS h FROM documents),
+OP1 = f"""WITH d AS (SELECT doc_id, source, len({_WORDS})::BIGINT AS n, {_md5("'mix'", "doc_id", "md5(text)")} AS h FROM documents),
  s0 AS (SELECT source, sum(n)::BIGINT AS size, row_number() OVER (ORDER BY source IS NULL, source) AS rnk FROM d GROUP BY source),
  s1 AS (SELECT *, ((rnk - 1) % 3 + 1)::DOUBLE AS w, size * 3.0::DOUBLE AS cap FROM s0),
  s2 AS (SELECT *, cap / w AS full_, sum(size) OVER ()::DOUBLE AS total, coalesce(sum(cap) OVER (ORDER BY cap / w, rnk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,

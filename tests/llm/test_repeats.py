@@ -16,3 +16,18 @@ def test_a_passage_of_words_that_came_singly_is_found():
     plain = " ".join(["plain"] * 60)
     _, segments = MODEL.segments(f"vile {plain} grob {plain} nasty {plain} vile grob nasty", {})
     assert max(segments)[1:] == (183, 185)
+
+
+def test_rows_of_one_id_or_none_are_dealt_to_many_shards(spark):
+    """A shard is a task's: rows that share an id, or have none, must not be one shard."""
+    from pyspark.sql import functions as F
+
+    from quillstone.llm import mixing
+
+    for i in ("null", "7"):
+        docs = spark.range(6000).selectExpr(f"cast({i} as long) as doc_id", "concat('w', id, repeat(' x y z', 20)) as text", "'s' as source")
+        slim = mixing._slim(docs)
+        sizes = [r.n for r in mixing._plan(slim, slim, **mixing.SETTINGS).groupBy("_group", "_shard").agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) > 3 and max(sizes) < 3000
+        out = mixing.quotas(docs).agg(F.sum("taken"), F.max("target")).first()
+        assert abs(out[0] - out[1]) < 100
