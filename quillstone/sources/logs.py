@@ -80,8 +80,9 @@ def _files(spark: SparkSession, path: str):
 def upgrade(spark: SparkSession, path: str, layouts: list[Layout]) -> int:
     """Brings files of older layouts to the current one, and returns how many. Their rows are written to a folder that readers
     pass over; then each file is renamed to a copy (an earlier copy is never overwritten), and what was written takes
-    its place. Files of which a line can't be read stay as they are, until somebody mends them. An upgrade that was broken off
-    begins anew: until the copies are made nothing has changed, and rows are where they were or in the folder, never in both."""
+    its place. Files of which a line can't be read stay as they are, until somebody mends them. An upgrade that breaks off before
+    the first copy changes nothing, and begins anew; one that breaks off later leaves the rows of files already renamed in its
+    folder and in their copies only, where no reader looks: rename the copies back, and upgrade again."""
     rows, problems = read(spark, path, layouts)
     old = rows.where("layout > 0").select("file").distinct().join(problems.select("file").distinct(), "file", "left_anti")
     names = [r.file for r in old.collect()]  # files of an older layout: no more than there were writers
