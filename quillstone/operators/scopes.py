@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _NONE = F.array
@@ -17,7 +17,7 @@ def _keys(kind: str, values: Column) -> Column:
 
 
 def pins(asks: DataFrame, docs: DataFrame) -> DataFrame:
-    """asks with _pins: the identities of the base documents of which the question names a revision."""
+    """asks with _pins: the identities of the documents of which the question names a revision."""
     named = asks.select("ask", F.explode("revisions").alias("doc_id")).join(docs.select("doc_id", "identity"), "doc_id")
     return asks.join(named.groupBy("ask").agg(F.collect_set("identity").alias("_pins")), "ask", "left").withColumn("_pins", _texts("_pins"))
 
@@ -93,10 +93,3 @@ def whole(asks: DataFrame, docs: DataFrame) -> DataFrame:
     near = p.select("*", F.explode("_pins").alias("identity")).join(d, "identity")
     near = near.withColumn("used", usable()).withColumn("_now", ~F.col("missing") & ~F.col("superseded"))
     return near.where(F.col("used") != F.col("_now")).select("ask", "doc_id", "used").distinct()
-
-
-def newest_first(members: DataFrame, docs: DataFrame, most: int) -> DataFrame:
-    """The newest ``most`` documents of each scope: ask, doc_id, nth. docs: doc_id, doc_date."""
-    j = members.join(docs.select("doc_id", "doc_date"), "doc_id")
-    w = Window.partitionBy("ask").orderBy(F.desc_nulls_last("doc_date"), "doc_id")
-    return j.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).select("ask", "doc_id", "nth")
