@@ -19,7 +19,7 @@ def _passage_items(spark, sf):
     return read(spark, sf, "benchmark").selectExpr(
         "item_id as id", "case when item_id % 4 = 3 or item_id % 8 = 0 then concat('SRC', item_id % 2) end as document", "case when item_id % 4 = 0 then array(int(1 + item_id % 3), 9) end as pages",
         f"cast(case when item_id % 4 = 1 then array(named_struct('parameter', array('x'), 'value', substr(text, 20, 25), 'unit', '', 'qualifier', '', 'conditions', array())) end as {_FACT}) as facts",
-        f"case when item_id % 4 = 2 then array(array('no such words', upper(text)), array({word})) end as expected",
+        f"case when item_id % 4 = 2 then array(array('no such words', replace(text, ' ', '  ')), array({word})) end as expected",
     )
 
 
