@@ -63,30 +63,37 @@ SELECT doc_id, d.slot, t % {sharding.SHARDS} AS shard FROM (SELECT doc_id, {_md5
 
 
 def _op4() -> str:
-    ratios = {"symbols": "n_symbols * 1000 // greatest(word_chars, 1)", "same": "n_same * 1000 // greatest(n_words, 1)", "lines": "n_dup_lines * 1000 // greatest(n_lines, 1)", "length": "word_chars * 100 // greatest(n_words, 1)"}
-    pairs = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {v} AS value FROM m WHERE NOT base_failed" for k, v in ratios.items())
+    ratios = {k: f"({hits} * {times} // greatest({units}, 1))" for k, (hits, units, times, _) in quality.RATIOS.items()}
+    pairs = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {ratios[k]} AS value, {hits} AS hits, {units} AS units FROM m WHERE NOT base_failed" for k, (hits, units, *_) in quality.RATIOS.items())
 
     def quantiles(name: str, keys: str) -> str:
         by = f"{keys}, ratio" if keys else "ratio"
-        cols = ", ".join(f"min(CASE WHEN upto >= {q} * total THEN value END) AS q{int(q * 100)}" for q in (0.25, 0.5, 0.75))
-        return f"""{name} AS (SELECT {by}, max(total) AS docs, {cols} FROM (
-   SELECT {by}, CASE WHEN bucket >= 0 THEN pow({quality.GAMMA}::DOUBLE, bucket + 0.5::DOUBLE) ELSE 0 END AS value, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
-   FROM (SELECT {by}, bucket, sum(n) AS n FROM sk GROUP BY {by}, bucket)) GROUP BY {by})"""
-
-    pick = ", ".join(f"CASE WHEN o.docs >= {quality.LEAST} THEN o.{q} WHEN l.docs >= {quality.LEAST} THEN l.{q} ELSE w.{q} END AS {q}" for q in ("q25", "q50", "q75"))
-    fine = []
-    for k, v in ratios.items():
-        unit, both = quality.RATIOS[k]
-        spread = lambda d: f"{quality.SPREADS} * greatest({d}, {unit}, 0.1 * t.q50)"  # noqa: B023, E731
-        low = f"t.q50 - {spread('t.q50 - t.q25')}" if both else "-1"
-        fine.append(f"bool_and(CASE WHEN t.ratio = '{k}' THEN {v} <= t.q50 + {spread('t.q75 - t.q50')} AND {v} >= {low} ELSE true END)")
+        cols = ", ".join(f"min(CASE WHEN upto >= {q} * z.total THEN value END) AS q{int(q * 100)}" for q in (0.25, 0.5, 0.75))
+        return f"""{name} AS (SELECT {by}, max(z.total) AS docs, {cols}, sum(units) AS total, sum(CASE WHEN upto - n < {quality.TRIM} * z.total THEN hits END) AS hits, sum(CASE WHEN upto - n < {quality.TRIM} * z.total THEN units END) AS units FROM (
+   SELECT {by}, n, hits, units, CASE WHEN bucket >= 0 THEN pow({quality.GAMMA}::DOUBLE, bucket + 0.5::DOUBLE) ELSE 0 END AS value, sum(n) OVER (PARTITION BY {by} ORDER BY bucket) AS upto, sum(n) OVER (PARTITION BY {by}) AS total
+   FROM (SELECT {by}, bucket, sum(n) AS n, sum(hits) AS hits, sum(units) AS units FROM sk GROUP BY {by}, bucket)) z GROUP BY {by})"""
+
+    names = ("docs", "q25", "q50", "q75", "total", "hits", "units")
+    pick = ", ".join(f"CASE WHEN o.docs >= {quality.LEAST} THEN o.{q} WHEN l.docs >= {quality.LEAST} THEN l.{q} ELSE w.{q} END AS {q}" for q in names)
+    fine, s = [], quality.SPREADS
+    for k, (hits, units, _, mean) in quality.RATIOS.items():
+        own = f"greatest({units}, 1)::DOUBLE"
+        reach = f"{s}::DOUBLE * greatest(1::DOUBLE, sqrt(t.total::DOUBLE / t.docs::DOUBLE / {own}))"
+        width = f"{quality.GAMMA - 1!r}::DOUBLE * t.q50"
+        good = f"{ratios[k]} <= t.q50 + {reach} * (t.q75 - t.q50 + {width})"
+        promised = f"(t.hits::DOUBLE * {own} / greatest(t.units, 1)::DOUBLE)"
+        if mean:
+            good += f" AND {ratios[k]} >= t.q50 - {reach} * (t.q50 - t.q25 + {width})"
+        else:
+            good += f" OR {hits} <= {promised} + {s}::DOUBLE * sqrt({promised}) + {s * s / 6}::DOUBLE"
+        fine.append(f"bool_and(CASE WHEN t.ratio = '{k}' THEN {good} ELSE true END)")
     return rf"""WITH w0 AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ln FROM documents),
  g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, gram) AS c FROM (SELECT doc_id, unnest(range(len(w) - 7)) AS i, unnest(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i+7], ' '))) AS gram FROM w0 WHERE len(w) >= 8)),
  r AS (SELECT doc_id, sum(least(8, i - before))::BIGINT AS rep FROM (SELECT doc_id, i, lag(i, 1, -8) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM g WHERE c > 1) GROUP BY doc_id),
  m0 AS (SELECT doc_id, lang, source, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(text) - length(translate(text, '#*$%&|<>', '')))::BIGINT AS n_symbols,
    (len(ln) - len(list_distinct(ln)))::BIGINT AS n_dup_lines, coalesce(rep, 0) AS n_repeat_words, len(ln) AS n_lines, len(list_filter(range(2, len(w) + 1), lambda i: w[i] = w[i-1])) AS n_same FROM w0 LEFT JOIN r USING (doc_id)),
  m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m0),
- sk AS (SELECT lang, source, ratio, bucket, count(*) AS n FROM (SELECT lang, source, ratio, CASE WHEN value > 0 THEN floor(ln(value::DOUBLE) / ln({quality.GAMMA}::DOUBLE)) ELSE -1 END AS bucket FROM ({pairs})) GROUP BY ALL),
+ sk AS (SELECT lang, source, ratio, bucket, count(*) AS n, sum(hits) AS hits, sum(units) AS units FROM (SELECT lang, source, ratio, hits, units, CASE WHEN value > 0 THEN floor(ln(value::DOUBLE) / ln({quality.GAMMA}::DOUBLE)) ELSE -1 END AS bucket FROM ({pairs})) GROUP BY ALL),
  {quantiles("w", "")}, {quantiles("l", "lang")}, {quantiles("o", "lang, source")},
  t AS (SELECT o.lang, o.source, o.ratio, {pick} FROM o JOIN l ON o.lang IS NOT DISTINCT FROM l.lang AND o.ratio = l.ratio JOIN w ON o.ratio = w.ratio),
  v AS (SELECT m.doc_id, {" AND ".join(fine)} AS fine FROM m JOIN t ON m.lang IS NOT DISTINCT FROM t.lang AND m.source IS NOT DISTINCT FROM t.source GROUP BY m.doc_id)

@@ -3,8 +3,17 @@
 Every document's ratios go into mergeable quantile sketches: counts of logarithmic buckets, one sketch for
 each language, source and ratio. Counts add up, so sketches merge exactly, in any order, and those of a
 language's sources make up the language's. A quantile is known to within the bucket's width of 2 percent.
-A group's limits lie a number of spreads from its median. Groups with few documents use the sketch of
-their language, and that of all documents, if the language has few. Documents then meet their group's limits in a join.
+A sketch also adds up what its ratio counts (hits) and what it counts in (units). Groups with few documents use
+the sketch of their language, and that of all documents, if the language has few. Documents then meet their group's
+sketch in a join. No cutoff is fixed; a ratio is fine if
+
+* it lies within SPREADS quartile distances of the median. A bucket's width is added to a distance, which is known to that
+  only, and it is wider for documents shorter than the group's mean, by the root of the quotient, as short documents vary
+  more; or
+* for shares, its hits are within Bernstein's bound of those that the group's share promises for so many units:
+  promised + s * sqrt(promised) + s^2 / 6, with s = SPREADS. This is for ratios that are zero in most documents, whose
+  quartiles say nothing. The share is a trimmed one: of the lowest buckets that hold TRIM of the documents, so that
+  junk does not vouch for itself.
 
 All of it is DataFrame expressions. Windows are over a sketch's buckets, whose number is bounded.
 """
@@ -17,13 +26,14 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import BLANK, join_small
 from quillstone.session import written
 
-#: Width of a bucket; documents that a group's own sketch needs; spreads from the median to a limit.
+#: Width of a bucket; documents that a group's own sketch needs; spreads from the median to a limit; documents
+#: that make up a group's share.
 GAMMA = 1.02
 LEAST = 50
 SPREADS = 6.0
-#: The ratios, with the least spread that each is taken to have (so that groups without any spread do not
-#: reject at the first difference), and whether too little of it is as bad as too much.
-RATIOS = {"symbols": (10.0, False), "same": (50.0, False), "lines": (100.0, False), "length": (50.0, True)}
+TRIM = 0.9
+#: The ratios: hits, units, hits a how many units, and whether it is a mean, of which too little is as bad as too much.
+RATIOS = {"symbols": ("n_symbols", "word_chars", 1000, False), "same": ("n_same", "n_words", 1000, False), "lines": ("n_dup_lines", "n_lines", 1000, False), "length": ("word_chars", "n_words", 100, True)}
 RUN = 8
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -67,54 +77,71 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def _ratios() -> dict[str, Column]:
     """Whole numbers, so that all engines put them into the same buckets."""
-    per = lambda a, b, times: F.floor(F.col(a) * times / F.greatest(F.col(b), F.lit(1)))
-    return {"symbols": per("_n_symbols", "_word_chars", 1000), "same": per("_n_same", "_n_words", 1000), "lines": per("_n_dup_lines", "_n_lines", 1000), "length": per("_word_chars", "_n_words", 100)}
+    return {k: F.floor(F.col("_" + hits) * times / F.greatest(F.col("_" + units), F.lit(1))) for k, (hits, units, times, _) in RATIOS.items()}
 
 
 def sketches(measured: DataFrame) -> DataFrame:
-    """(lang, source, ratio, bucket, n) of the documents that the base rules pass; bucket -1 holds zeros."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("value")) for k, v in _ratios().items()])
+    """(lang, source, ratio, bucket, n, hits, units) of the documents that the base rules pass; bucket -1 holds zeros."""
+    values = _ratios()
+    part = lambda k, hits, units: F.struct(F.lit(k).alias("ratio"), values[k].alias("value"), F.col("_" + hits).cast("long").alias("hits"), F.col("_" + units).cast("long").alias("units"))
+    pairs = F.array(*[part(k, hits, units) for k, (hits, units, *_) in RATIOS.items()])
     each = measured.where(~F.col("_base_failed")).select(F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.explode(pairs).alias("_p")).select("lang", "source", "_p.*")
     bucket = F.when(F.col("value") > 0, F.floor(F.log(F.col("value").cast("double")) / F.log(F.lit(GAMMA)))).otherwise(-1)
-    return each.groupBy("lang", "source", "ratio", bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    return each.groupBy("lang", "source", "ratio", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum("hits").alias("hits"), F.sum("units").alias("units"))
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, ratio, docs, q25, q50, q75) of sketches merged by keys."""
-    merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
+    """(keys, ratio, docs, q25, q50, q75, total, hits, units) of sketches merged by keys: total is all units; hits and units
+    are of the lowest buckets, up to the one that reaches TRIM of the documents."""
+    merged = sketch.groupBy(*keys, "ratio", "bucket").agg(*[F.sum(c).alias(c) for c in ("n", "hits", "units")])
     group = Window.partitionBy(*keys, "ratio")
     upto = F.sum("n").over(group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
     ranked = merged.withColumn("_upto", upto).withColumn("_all", F.sum("n").over(group))
     value = F.when(F.col("bucket") >= 0, F.pow(F.lit(GAMMA), F.col("bucket") + 0.5)).otherwise(0.0)
     at = lambda q: F.min(F.when(F.col("_upto") >= q * F.col("_all"), value))
-    return ranked.groupBy(*keys, "ratio").agg(F.max("_all").alias("docs"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
+    return ranked.groupBy(*keys, "ratio").agg(F.max("_all").alias("docs"), at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"), F.sum("units").alias("total"), *[F.sum(F.when(F.col("_upto") - F.col("n") < TRIM * F.col("_all"), F.col(c))).alias(c) for c in ("hits", "units")])
 
 
-def limits(sketch: DataFrame, least: int = LEAST, spreads: float = SPREADS) -> DataFrame:
-    """(lang, source, lo_* and hi_* of each ratio): a row for each language and source of the sketch."""
+def limits(sketch: DataFrame, least: int = LEAST) -> DataFrame:
+    """(lang, source, and for each ratio mid_*, up_*, down_*, hits_*, units_*, mean_*): a row for each language and source of
+    the sketch. up and down are quartile distances, mean the units of a document."""
     whole, lang, own = (quantiles(sketch, k) for k in ([], ["lang"], ["lang", "source"]))
     rename = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in df.columns])
     found = own.join(rename(lang, "l_"), F.col("lang").eqNullSafe(F.col("l_lang")) & (F.col("ratio") == F.col("l_ratio")))
     found = found.join(rename(whole, "w_"), F.col("ratio") == F.col("w_ratio"))
     pick = lambda q: F.when(F.col("docs") >= least, F.col(q)).when(F.col("l_docs") >= least, F.col("l_" + q)).otherwise(F.col("w_" + q))
-    found = found.select("lang", "source", "ratio", *[pick(q).alias(q) for q in ("q25", "q50", "q75")])
-    cols = []
-    for k, (unit, both) in RATIOS.items():
-        spread = lambda d: spreads * F.greatest(d, F.lit(unit), 0.1 * F.col("q50"))  # noqa: B023, E731
-        hi, lo = F.col("q50") + spread(F.col("q75") - F.col("q50")), F.col("q50") - spread(F.col("q50") - F.col("q25"))
-        mine = F.col("ratio") == k
-        cols.append(F.max(F.when(mine, hi)).alias(f"hi_{k}"))
-        cols.append(F.max(F.when(mine, lo if both else F.lit(-1.0))).alias(f"lo_{k}"))
-    return found.groupBy("lang", "source").agg(*cols)
-
-
-def _judge(measured: DataFrame, table: DataFrame) -> DataFrame:
+    found = found.select("lang", "source", "ratio", *[pick(q).alias(q) for q in ("docs", "q25", "q50", "q75", "total", "hits", "units")])
+    width = F.lit(GAMMA - 1) * F.col("q50")
+    parts = {
+        "mid": F.col("q50"),
+        "up": F.col("q75") - F.col("q50") + width,
+        "down": F.col("q50") - F.col("q25") + width,
+        "hits": F.col("hits").cast("double"),
+        "units": F.greatest("units", F.lit(1)).cast("double"),
+        "mean": F.col("total").cast("double") / F.col("docs").cast("double"),
+    }
+    return found.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, v)).alias(f"{name}_{k}") for k in RATIOS for name, v in parts.items()])
+
+
+def _fine(k: str, value: Column, spreads: float) -> Column:
+    """Whether a document's ratio is within its group's limits."""
+    hits, units, _, mean = RATIOS[k]
+    own = F.greatest(F.col("_" + units), F.lit(1)).cast("double")
+    reach = F.lit(spreads) * F.greatest(F.lit(1.0), F.sqrt(F.col(f"mean_{k}") / own))
+    high = value <= F.col(f"mid_{k}") + reach * F.col(f"up_{k}")
+    if mean:
+        return high & (value >= F.col(f"mid_{k}") - reach * F.col(f"down_{k}"))
+    promised = F.col(f"hits_{k}") * own / F.col(f"units_{k}")
+    return high | (F.col("_" + hits) <= promised + F.lit(spreads) * F.sqrt(promised) + F.lit(spreads * spreads / 6))
+
+
+def _judge(measured: DataFrame, table: DataFrame, spreads: float) -> DataFrame:
     """measured with _kept. A document whose group has no limits has failed the base rules."""
     other = table.withColumnsRenamed({"lang": "t_lang", "source": "t_source"})
     out = join_small(measured, other, F.col("_lang").eqNullSafe(F.col("t_lang")) & F.col("_source").eqNullSafe(F.col("t_source")), "left")
     fine = F.lit(True)
     for k, v in _ratios().items():
-        fine = fine & (v <= F.col(f"hi_{k}")) & (v >= F.col(f"lo_{k}"))
+        fine = fine & _fine(k, v, spreads)
     return out.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(fine, F.lit(False)))
 
 
@@ -125,13 +152,13 @@ def verdicts(docs: DataFrame, least: int = LEAST, spreads: float = SPREADS) -> D
     with a chance of about n^2 / 10^19."""
     measured = measure(docs.select("doc_id", "lang", "source", "text"))
     measured = written(measured.withColumn("_row", F.struct("_row.doc_id")), "measures")
-    table = written(limits(sketches(measured), least, spreads), "limits")
-    return _judge(measured, table).select("_row.doc_id", *[F.col("_" + c).alias(c) for c in BASE], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
+    table = written(limits(sketches(measured), least), "limits")
+    return _judge(measured, table, spreads).select("_row.doc_id", *[F.col("_" + c).alias(c) for c in BASE], F.col("_base_failed").alias("base_failed"), F.col("_kept").alias("kept"))
 
 
 def keep(docs: DataFrame, least: int = LEAST, spreads: float = SPREADS) -> DataFrame:
     """The rows of docs that are kept, with their columns. Rows are written once with their measures, so that
     nothing is measured twice."""
     measured = written(measure(docs), "measures")
-    table = written(limits(sketches(measured), least, spreads), "limits")
-    return _judge(measured, table).where("_kept").select("_row.*")
+    table = written(limits(sketches(measured), least), "limits")
+    return _judge(measured, table, spreads).where("_kept").select("_row.*")

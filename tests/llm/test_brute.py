@@ -207,6 +207,16 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert kept == set(range(200))
 
 
+def test_quality_limits_follow_the_group(spark):
+    """The same text is fine where its source writes like that, and not where it does not; few symbols are fine anywhere."""
+    r = random.Random(4)
+    marked = lambda share: " ".join(w + ("#" if r.random() < share else "") for w in prose(r, 200).split())
+    rows = [(i, marked(0.0), "en", "plain") for i in range(100)] + [(100 + i, marked(0.5), "en", "code") for i in range(100)]
+    rows += [(900, marked(0.5), "en", "plain"), (901, marked(0.5), "en", "code"), (902, marked(0.0) + " # #", "en", "plain")]
+    kept = {x.doc_id for x in quality.verdicts(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("kept").collect()}
+    assert kept == set(range(200)) | {901, 902}
+
+
 def test_sketches_merge(spark):
     """A language's quantiles from its sources' sketches are those of its documents, within a bucket."""
     r = random.Random(2)
