@@ -228,7 +228,7 @@ def _pass(encoded: DataFrame, chain: Chain, unigram: np.ndarray) -> tuple[Chain,
 def train(encoded: DataFrame, unigram: np.ndarray, texts: int, tokens: int, states: int, passes: int) -> tuple[Chain, list[float]]:
     """A chain from encoded texts (key, ids), and the corpus's ln likelihood a token before each pass over it."""
     chain, history = Chain.seeded(unigram, states), []
-    sample = about(encoded, SAMPLE, texts, F.col("key")).orderBy("key").select("ids").toArrow()  # bounded
+    sample = about(encoded, SAMPLE, texts, F.col("key")).dropDuplicates(["key"]).orderBy("key").select("ids").toArrow()  # bounded: repeated rows come once
     if not sample.num_rows:
         return chain, history
     flat, begins, lengths = _flat(sample.column(0))

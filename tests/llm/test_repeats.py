@@ -31,3 +31,23 @@ def test_rows_of_one_id_or_none_are_dealt_to_many_shards(spark):
         assert len(sizes) > 3 and max(sizes) < 3000
         out = mixing.quotas(docs).agg(F.sum("taken"), F.max("target")).first()
         assert abs(out[0] - out[1]) < 100
+
+def test_an_id_of_many_texts_teaches_within_the_bound(spark, monkeypatch):
+    seen, real = [], toxicity._counts
+    monkeypatch.setattr(toxicity, "_counts", lambda sample, *a: (seen.extend(r["count"] for r in sample.groupBy("toxic").count().collect()), real(sample, *a))[1])
+    docs = spark.range(2000).selectExpr("if(id < 1900, 1, id) as doc_id", "concat('vile w', id) as text")
+    labels = spark.range(2000).selectExpr("id as doc_id", "int(id = 1) as toxic")
+    toxicity.fit(docs, labels, rows=100)
+    assert seen and max(seen) <= 200
+
+
+def test_repeated_rows_come_to_the_start_of_training_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillstone.llm import hmm
+
+    seen, real = [], hmm._flat
+    monkeypatch.setattr(hmm, "_flat", lambda texts: (seen.append(len(texts)), real(texts))[1])
+    docs = spark.range(510).selectExpr("if(id < 500, 7, id) as doc_id", "if(id < 500, 'one two', concat('three ', id)) as text")
+    assert hmm.score(docs, F.lit(False)).count() == 510
+    assert seen[0] == 11
