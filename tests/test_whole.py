@@ -23,3 +23,9 @@ def test_traces_of_every_order(spark, sf):
         want.append((k, "77.5", "", False))
     assert len({w[0] for w in want}) == len(orders)
     assert sorted(map(tuple, catalog.QUERIES["calculation_trace"](spark, sf).collect())) == sorted(want)
+
+
+def test_orphans_have_no_order_at_all(spark, sf):
+    ordered = {r.o_custkey for r in read(spark, sf, "orders").collect()}
+    want = sorted(r.c_custkey for r in read(spark, sf, "customer").collect() if r.c_custkey not in ordered)
+    assert sorted(r.c_custkey for r in catalog.QUERIES["orphans_anti"](spark, sf).collect()) == want
