@@ -67,9 +67,14 @@ def read(spark: SparkSession, path: str, layouts: list[Layout], most: int = MOST
     return reduce(DataFrame.unionByName, parts), problems
 
 
-def append(rows: DataFrame, path: str, layout: Layout) -> None:
-    """Adds rows as new files in a layout, each with its header. What is there stays as it is; a write that fails leaves nothing behind."""
-    rows.select(*layout.columns).write.mode("append").option("sep", SEPARATOR).option("header", True).option("escape", '"').csv(path)
+def append(rows: DataFrame, path: str, layout: Layout, most: int = MOST) -> None:
+    """Adds rows as new files in a layout, each with its header. What is there stays as it is; a write that fails leaves nothing behind.
+    Files take as many rows as fit ``most`` bytes even if all were as long as the longest, so that readers pass over none."""
+    slim = rows.select(*layout.columns)
+    widest = sum((F.coalesce(F.octet_length(F.col(c).cast("string")) * 2, F.lit(0)) + 3 for c in layout.columns), F.lit(1))  # every character a quote
+    longest = slim.agg(F.max(widest)).first()[0] or 1
+    room = most - len(SEPARATOR.join(layout.columns)) - 1
+    slim.write.mode("append").option("maxRecordsPerFile", max(1, room // longest)).option("sep", SEPARATOR).option("header", True).option("escape", '"').csv(path)
 
 
 def _files(spark: SparkSession, path: str):

@@ -61,3 +61,18 @@ def test_the_older_layout_round_trips(spark, tmp_path):
     logs.append(spark.createDataFrame([tuple(row.values())], ", ".join(f"{c} string" for c in row)), str(tmp_path / "log"), layouts[1])
     (r,) = logs.read(spark, str(tmp_path / "log"), layouts)[0].collect()
     assert (r.layout, r.toplam_token, r.model) == (1, "9", "v")
+
+
+def test_appended_files_stay_within_what_is_read(spark, tmp_path):
+    path, layouts, most = str(tmp_path / "logs"), logs.usage_layouts(), 3000
+    e = spark.range(0, 400, 1, 1).selectExpr("concat('u', id % 3) as kullanici", "string(id) as toplam_token", "concat('\"', id, '\"') as soru")
+    rows = e.select(*[c if c in e.columns else spark_lit(c) for c in logs.COLUMNS])
+    logs.append(rows, path, layouts[0], most)
+    got, problems = logs.read(spark, path, layouts, most)
+    assert problems.count() == 0 and sorted(int(r.toplam_token) for r in got.collect()) == list(range(400))
+
+
+def spark_lit(name):
+    from pyspark.sql import functions as F
+
+    return F.lit("").alias(name)
