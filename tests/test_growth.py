@@ -1,6 +1,6 @@
 """What is compared, shuffled or grouped must not grow faster than the tables."""
 
-from quillstone.operators import evidence
+from quillstone.operators import evidence, grounding, pages
 
 
 def plan(df):
@@ -14,3 +14,15 @@ def test_revisions_compare_different_texts_and_names_only(spark):
     assert sorted(map(tuple, out.collect())) == [(1, 10), (1, 11), (2, 10), (2, 11), (3, 10), (3, 11), (3, 12)]
     above = plan(out).split("regexp_like")[0]  # what stands above the comparison
     assert "Aggregate [texts" in above
+
+
+def test_pages_are_rows_not_groups_of_their_own(spark):
+    """A group for each page costs more than the page: pages come many to a batch, and tokens of a word are parsed once."""
+    v = spark.createDataFrame([(1, 1, 1, "300", ["tR1"], ["Max"], []), (1, 2, 1, "300", ["tR2"], ["Max"], []), (2, 1, 1, "300", ["tR1"], ["Max"], [])], "doc_id long, page long, value_id long, value string, labels array<string>, heads array<string>, groups array<string>")
+    w = spark.createDataFrame([(1, 1, 10.0, 0.0, 50.0, 10.0, "Symbol", None), (1, 1, 200.0, 0.0, 240.0, 10.0, "Max", False), (1, 1, 10.0, 20.0, 50.0, 30.0, "tR1", False), (1, 1, 200.0, 20.0, 240.0, 30.0, "300", False), (1, 2, 10.0, 20.0, 50.0, 30.0, "tR2", False), (1, 2, 200.0, 20.0, 240.0, 30.0, "300", False)], "doc_id long, page long, x0 double, y0 double, x1 double, y1 double, text string, raised boolean")
+    out = pages.ground_values(v, w)
+    assert sorted((r.doc_id, r.page, r.status, r.head_before) for r in out.collect()) == [(1, 1, "grounded", False), (1, 2, "grounded", True), (2, 1, "no_text_layer", False)]
+    assert "CoGroup" not in plan(out)
+    before = grounding._norm_tokens.cache_info().hits
+    assert grounding.norm_tokens("tR1 300") == grounding.norm_tokens("tR1 300") == ["tr1", "300"]
+    assert grounding._norm_tokens.cache_info().hits > before
