@@ -16,7 +16,7 @@ from quillstone.operators import grounding as gr
 from quillstone.operators import pages as pg
 from quillstone.operators import records as rc
 from quillstone.operators import search as s
-from quillstone.operators.bounds import dealt
+from quillstone.operators.bounds import dealt, spread
 from quillstone.plans.answers import _ONE, _lines
 
 _NAME = "concat(array('JESD79-4C', 'PCIe_Base_5.0_r1.0', 'Layout Guide rev B', 'USB Errata 2.0 March 2021', 'Addendum 2019-07')[o_orderkey % 5], ' ', o_orderkey % 7)"
@@ -89,7 +89,7 @@ def judge_excerpts(spark, sf):
 @query()
 def bm25_stemmed(spark, sf):
     """Rows only: Porter's stems on both sides."""
-    d = read(spark, sf, "documents").select("doc_id", calc.stem_words("text").alias("text"))
+    d = spread(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", calc.stem_words("text").alias("text"))
     q = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.array_distinct(F.filter(tx.terms(calc.stem_words("text")), lambda t: F.length(t) >= 2)).alias("terms"))
     return s.bm25(d, "doc_id", {"text": 1.0}, q, 10)
 
