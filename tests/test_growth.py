@@ -1,6 +1,9 @@
 """What is compared, shuffled or grouped must not grow faster than the tables."""
 
-from quillstone.operators import evidence, grounding, pages
+import pandas as pd
+
+from quillstone.functions import calc
+from quillstone.operators import evidence, grounding, pages, search
 
 
 def plan(df):
@@ -26,3 +29,30 @@ def test_pages_are_rows_not_groups_of_their_own(spark):
     before = grounding._norm_tokens.cache_info().hits
     assert grounding.norm_tokens("tR1 300") == grounding.norm_tokens("tR1 300") == ["tr1", "300"]
     assert grounding._norm_tokens.cache_info().hits > before
+
+
+def test_an_index_is_built_and_searched_without_shuffling_postings(spark):
+    rows = [(i, " ".join(f"w{(i * j) % 17}" for j in range(1, 30)), f"s{i % 3}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    index = search.build_index(docs, "doc_id", ["text", "source"])
+    got = sorted((r.doc_id, r.term, r.f0, r.f1, r.l0, r.l1) for r in index.postings.collect())
+    assert got == sorted((i, t, x.split().count(t), int(t == s), 29, 1) for i, x, s in rows for t in {*x.split(), s})
+    assert "Aggregate" not in plan(search._indexed(docs, "doc_id", ["text", "source"]))
+    q = spark.createDataFrame([(1, ["w3", "w5", "s1"]), (2, ["w0", "none"])], "query_id long, terms array<string>")
+    found = search.bm25(index, "doc_id", {"text": 1.0, "source": 0.5}, q, 5)
+    slow = search.bm25(search.Index(index.key, index.fields, index.docs, index.stats, False), "doc_id", {"text": 1.0, "source": 0.5}, q, 5)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, slow.collect()))
+    assert "MapInArrow" in plan(found)
+
+
+def test_an_index_of_repeated_keys_counts_a_key_once(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a c"), (2, "b"), (3, "d"), (4, "e")], "doc_id long, text string")
+    index = search.build_index(docs, "doc_id", ["text"])
+    assert not index.single
+    assert {(r.doc_id, r.term, r.f0) for r in index.postings.collect()} == {(1, "a", 2), (1, "b", 1), (1, "c", 1), (2, "b", 1), (3, "d", 1), (4, "e", 1)}
+
+
+def test_a_word_is_stemmed_once():
+    calc.stem.cache_clear()
+    assert calc.stem_words.func(pd.Series(["Running runs", "running RUNS, Émile", None])).tolist() == ["run run", "run run, emil", None]
+    assert calc.stem.cache_info().misses <= 3
