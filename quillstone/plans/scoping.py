@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.catalog import query, read
 from quillstone.operators import scopes, tools
+from quillstone.session import written
 
 _DOCS = """SELECT p_partkey AS doc_id, 'b' || p_partkey // 10 AS bucket, 'd' || p_partkey // 30 AS domain, ['S' || p_size || '-' || p_partkey // 30, p_type] AS entities,
  'i' || p_partkey // 3 AS identity, CASE WHEN p_size % 4 = 0 THEN 'note' ELSE 'base' END AS doc_type, p_size % 3 = 0 AS superseded, p_size % 7 = 0 AS missing FROM part"""
@@ -77,7 +78,7 @@ _REASONS = f"""{_ALL}, r AS (SELECT a.*, skipped, coalesce(n.n, 0) AS n, coalesc
 def _calls(spark, sf):
     tag = "case o_orderkey % 4 when 0 then '' when 1 then concat('s', o_custkey % 7 + 3, '-', o_custkey div 30) when 2 then 'Standard Polished Tin' else 'unheard of' end"
     calls = read(spark, sf, "orders").selectExpr("o_orderkey as call", "o_custkey as ask", "array('air', concat('s', o_custkey)) as terms", f"{tag} as tag")
-    return calls, *tools.permitted(calls, *_tables(spark, sf))
+    return calls, *tools.scoped(calls, *_tables(spark, sf))
 
 
 @query(f"WITH {_REASONS} SELECT call, note, n_docs FROM o")
@@ -95,10 +96,11 @@ _LINES = "SELECT l_orderkey * 10 + l_linenumber AS row_id, l_partkey AS doc_id,
 SELECT call, row_id, score, rank FROM f WHERE rank <= 10""")
 def tool_rows(spark, sf):
     """Verified rows for each call. A call on the whole library asks without its common term."""
-    calls, outcomes, members = _calls(spark, sf)
+    calls, outcomes, members, tagged = _calls(spark, sf)
+    outcomes = written(outcomes, "outcomes")
     free = outcomes.where("note is null and n_docs is null").select("call", F.lit(True).alias("_free"))
     terms = F.when(F.col("_free"), F.array_remove("terms", "air")).otherwise(F.col("terms"))
     calls = calls.join(free, "call", "left").select("call", terms.alias("terms"))
     lines = read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")])  # numbers repeat
     given = lines.selectExpr("l_orderkey * 10 + l_linenumber as row_id", "l_partkey as doc_id", "array(if(l_linestatus = 'O' and l_linenumber = 1, 'air', 'other'), concat('s', l_suppkey)) as terms", "l_returnflag <> 'A' as verified")
-    return tools.rows(calls, given, outcomes, members)[0]
+    return tools.rows(calls, written(given, "lines"), outcomes, members, tagged=tagged)[0]

@@ -1,5 +1,9 @@
 """Calls of tools stay within their question's scope, by example."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from quillstone.operators import tools
 
 DOCS = "doc_id long, bucket string, domain string, entities array<string>, identity string, doc_type string, superseded boolean, missing boolean"
@@ -72,3 +76,24 @@ def test_empty_tables(spark):
     assert {(r.call, r.note, r.n_docs) for r in outcomes.collect()} == {(1, "not_loaded", 0), (2, None, None)} and members.isEmpty()
     found, unverified = tools.rows(none("call long, terms array<string>"), none("row_id long, doc_id long, terms array<string>, verified boolean"), outcomes, members)
     assert found.isEmpty() and unverified.isEmpty()
+
+
+def test_documents_of_a_tag_are_listed_once_not_for_each_call(spark):
+    """The same outcomes and rows as from a list for each call, also where questions name revisions."""
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i, "b", "d", [r.choice("ab"), "c"], f"i{i // 3}", r.choice(["base", "note"]), i % 3 == 0, i % 7 == 0) for i in range(60)], DOCS)
+    asks = spark.createDataFrame([(a, [], [], [], [], [], [r.randrange(60)] if a % 2 else []) for a in range(30)], ASKS)
+    calls = [(a * 3 + j, a, t, r.sample(["common", "x", "y", "none", None], 3)) for a in range(30) for j, t in enumerate(["a", "B ", "c"])]
+    calls = spark.createDataFrame(calls, "call long, ask long, tag string, terms array<string>")
+    given = [(i, r.randrange(60), ["common"] * (r.random() < 0.8) + r.sample(["x", "y", "z", None], 2), r.choice([True, True, False, None])) for i in range(400)]
+    given = spark.createDataFrame(given, "row_id long, doc_id long, terms array<string>, verified boolean")
+    outcomes, listed = tools.permitted(calls, asks, docs)
+    same, members, tagged = tools.scoped(calls, asks, docs)
+    assert members.isEmpty() and tagged.held.count() < 120 and listed.count() > 1000
+    counted = {x["call"]: x["n"] for x in listed.groupBy("call").agg(F.count("*").alias("n")).collect()}
+    assert {x["call"]: x.n_docs for x in same.collect()} == {c: counted.get(c, 0) for c in range(90)}
+    for k in (1, 3, 10):
+        slow, fast = tools.rows(calls, given, outcomes, listed, k), tools.rows(calls, given, same, members, k, tagged)
+        for x, y in zip(slow, fast, strict=True):
+            cols = sorted(x.columns)
+            assert x.count() and sorted(map(tuple, x.select(cols).collect())) == sorted(map(tuple, y.select(cols).collect()))
