@@ -1,6 +1,7 @@
 """What is compared, shuffled or grouped must not grow faster than the tables."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from quillstone.functions import calc
 from quillstone.operators import evidence, grounding, pages, search
@@ -52,6 +53,26 @@ def test_an_index_of_repeated_keys_counts_a_key_once(spark):
     assert {(r.doc_id, r.term, r.f0) for r in index.postings.collect()} == {(1, "a", 2), (1, "b", 1), (1, "c", 1), (2, "b", 1), (3, "d", 1), (4, "e", 1)}
 
 
+def test_queries_of_the_same_known_terms_are_scored_once(spark):
+    docs = spark.createDataFrame([(i, f"w{i % 3} w{i % 5}") for i in range(40)], "doc_id long, text string")
+    asked = [(q, ["w1", f"own{q}"] if q % 2 else ["w2", "w0", f"own{q}"]) for q in range(50)]
+    queries = spark.createDataFrame([*asked, (50, ["none"])], "query_id long, terms array<string>")
+    known = queries.select("query_id", F.explode("terms").alias("term")).where("term like 'w%'")
+    sets, same = search._alike(known)
+    assert sorted(map(tuple, sets.collect())) == [(0, "w0"), (0, "w2"), (1, "w1")]
+    assert sorted((r.query_id, r._first) for r in same.collect()) == [(q, q % 2) for q in range(50)]
+    scope = docs.where("doc_id > 10")
+    found = {}
+    for r in search.bm25(docs, "doc_id", {"text": 1.0}, queries, 4, scope).collect():
+        found.setdefault(r.query_id, []).append((r.rank, r.doc_id, r.score))
+    alone = {}
+    for q in (0, 1):
+        one = queries.where(F.col("query_id") == q)
+        alone[q] = sorted((r.rank, r.doc_id, r.score) for r in search.bm25(docs, "doc_id", {"text": 1.0}, one, 4, scope).collect())
+    assert {q: sorted(v) for q, v in found.items()} == {q: alone[q % 2] for q in range(50)}
+    assert all(d > 10 for v in alone.values() for _, d, _ in v) and len(alone[0]) == 4
+
+
 def test_a_word_is_stemmed_once():
     calc.stem.cache_clear()
     assert calc.stem_words.func(pd.Series(["Running runs", "running RUNS, Émile", None])).tolist() == ["run run", "run run, emil", None]
