@@ -25,6 +25,8 @@ SEED = 42
 #: Bands of least hashes, and hashes in each.
 BANDS = 32
 BAND = 6
+#: Texts that share a shingle and are met with others of it at once.
+BLOCK = 128
 #: Partners of a text that a task compares it with.
 PARTNERS = 2048
 
@@ -39,7 +41,7 @@ def _fingerprint(text: bytes | None, shingle: int) -> int:
     counts = np.zeros(64, np.int64)
     for at in range(0, n, 65536):
         h = np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(at, min(n, at + 65536))], "<u8")
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+        counts += _bits(h)
     return int(np.packbits(counts * 2 > n).view("<i8")[0])
 
 
@@ -136,12 +138,19 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, chain:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _grams(text: bytes | None, shingle: int) -> np.ndarray:
-    """Hashes of the distinct shingles, sorted; a shorter text is one shingle, one without words has none."""
+def _bits(h: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit."""
+    return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+
+
+def _grams(text: bytes | None, shingle: int) -> tuple[np.ndarray, int]:
+    """Hashes of the distinct shingles, sorted, and the fingerprint; a shorter text is one shingle, one without words has none."""
     words, digest = (text or b"").lower().split(), xxhash.xxh64_intdigest
     if not words:
-        return np.zeros(0, "<u8")
-    return np.unique(np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], "<u8"))
+        return np.zeros(0, "<u8"), 0
+    h = np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], "<u8")
+    counts = sum(_bits(h[at : at + 65536]) for at in range(0, len(h), 65536))
+    return np.unique(h), int(np.packbits(counts * 2 > len(h)).view("<i8")[0])
 
 
 def _bands(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
@@ -153,7 +162,7 @@ def _bands(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
 
 
 def _shingled(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, node, n, bands, grams): a row for each row of docs. Texts of the same shingles are one node."""
+    """(doc_id, key, node, n, fp, bands, grams): a row for each row of docs. Texts of the same shingles are one node."""
     r = np.random.default_rng(SEED)
     a, b = (r.integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
 
@@ -161,15 +170,15 @@ def _shingled(docs: DataFrame, shingle: int) -> DataFrame:
         for x in batches:
             for k in range(0, x.num_rows, 500):
                 part = x.slice(k, 500)
-                grams = [_grams(t, shingle) for t in part.column(2).to_pylist()]
+                grams, fps = zip(*(_grams(t, shingle) for t in part.column(2).to_pylist()), strict=True)
                 raw = [g.tobytes() for g in grams]
-                cols = [pa.array([_signed(xxhash.xxh64_intdigest(g, SEED)) for g in raw], pa.int64()), pa.array([len(g) for g in grams], pa.int32())]
+                cols = [pa.array([_signed(xxhash.xxh64_intdigest(g, SEED)) for g in raw], pa.int64()), pa.array([len(g) for g in grams], pa.int32()), pa.array(fps, pa.int64())]
                 cols += [pa.array([_bands(g, a, b) if len(g) else [] for g in grams], pa.list_(pa.int64())), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["doc_id", "key", "node", "n", "bands", "grams"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["doc_id", "key", "node", "n", "fp", "bands", "grams"])
 
     arrow_batches(docs.sparkSession)
     slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs["doc_id"], docs["text"]).alias("key"), docs["text"].cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, key long, node long, n int, bands array<long>, grams binary")
+    return slim.mapInArrow(run, "doc_id long, key long, node long, n int, fp long, bands array<long>, grams binary")
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -206,7 +215,8 @@ def _candidates(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
     Shingles are put in order of how many of these texts have them, the rarest first. A pair that is alike has one of
     the first n - least * n + 1 of both in common, and enough after the first such one (prefix and positional
-    filters, which lose nothing). Those that a single text has are counted, not joined."""
+    filters, which lose nothing). Those that a single text has are counted, not joined. Texts of one shingle meet in blocks of
+    about BLOCK, each pair of blocks in one step: what a family of texts that are nearly alike costs still grows with its square."""
     each = join_small(sets, nodes.select(F.col("node").alias("_node"), "n", "c"), F.col("node") == F.col("_node")).select("node", "n", "c", "grams")
 
     def spread(batches):
@@ -224,36 +234,71 @@ def _candidates(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     first = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
     pre = shared.withColumn("at", alone + F.row_number().over(own.orderBy("times", "gram"))).where((F.col("at") <= first) & F.col("crosses")).select("node", "n", "c", "gram", "at")
     pre = written(pre, "prefixes")
-    side = lambda k: pre.select(*[F.col(x).alias(f"{k}_{x}") for x in pre.columns])
-    rest = F.least(F.col("p_n") - F.col("p_at"), F.col("q_n") - F.col("q_at"))
-    fits = (F.least("p_n", "q_n") >= least * F.greatest("p_n", "q_n") - 1e-9) & (rest + 1 >= least / (1 + least) * (F.col("p_n") + F.col("q_n")) - 1e-9)
-    met = side("p").hint("merge").join(side("q"), F.col("p_gram") == F.col("q_gram")).where((F.col("p_node") < F.col("q_node")) & (F.col("p_c") != F.col("q_c")) & fits)
-    return met.select(F.col("p_node").alias("a"), F.col("q_node").alias("b")).distinct()
+    ways = pre.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).alias("ways")).withColumnRenamed("gram", "_gram")
+    dealt = pre.join(ways.hint("merge"), F.col("gram") == F.col("_gram")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("ways")))
+    blocks = written(dealt.groupBy("gram", "block").agg(F.collect_list(F.struct("node", "n", "c", "at")).alias("x")), "blocks")
+    met = blocks.select("gram", F.col("block").alias("i"), F.col("x").alias("p")).hint("merge").join(blocks.select("gram", F.col("block").alias("j"), F.col("x").alias("q")), "gram").where("i <= j")
+    return met.repartition("gram", "i", "j").select("p", "q").mapInArrow(_meet(least), "a long, b long").distinct()
+
 
+def _meet(least: float):
+    """The pairs of two blocks of texts (node, n, c, at) that share a shingle, less those that can't be alike or are of one group."""
 
-def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    def run(batches):
+        for x in batches:
+            out = []
+            side = [(c.offsets.to_numpy(), [v.to_numpy() for v in c.values.flatten()]) for c in x.columns]
+            for k in range(x.num_rows):
+                (pn, pl, pc, pa_), (qn, ql, qc, qa) = ([v[o[k] : o[k + 1]] for v in vs] for o, vs in side)
+                pn, pl, pc, pa_ = (v[:, None] for v in (pn, pl, pc, pa_))
+                rest = np.minimum(pl - pa_, ql - qa)
+                fits = (np.minimum(pl, ql) >= least * np.maximum(pl, ql) - 1e-9) & (rest + 1 >= least / (1 + least) * (pl + ql) - 1e-9)
+                i, j = np.nonzero(fits & (pc != qc))
+                out.append(np.stack([np.minimum(pn[i, 0], qn[j]), np.maximum(pn[i, 0], qn[j])]))
+            if out:
+                a, b = np.unique(np.concatenate(out, axis=1), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def _near_prints(nodes: DataFrame, distance: int) -> DataFrame:
+    """(p, q): pairs of nodes (node, rid, n, fp) as structs: the least node of a fingerprint with every other node of it, and with
+    the least ones of all fingerprints at most ``distance`` bits apart."""
+    nodes = written(nodes, "prints")
+    leads = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "rid", "n")).alias("p")), "leads")
+    same = nodes.join(leads.hint("merge"), "fp").where(F.col("node") != F.col("p.node")).select("p", F.struct("node", "rid", "n").alias("q"))
+    pairs = written(links(leads, distance), "links")
+    far = pairs.join(leads.select(F.col("fp").alias("a"), "p"), "a").join(leads.select(F.col("fp").alias("b"), F.col("p").alias("q")), "b")
+    return same.unionByName(far.select("p", "q"))
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance: int = 4) -> DataFrame:
     """(doc_id, key, group): a row for each row of docs. Rows share a group if pairs of texts lead from one
     to the other that have ``least`` of their distinct shingles in common, as counted on the shingles.
 
-    Fingerprints can't find such pairs: at 0.8 they differ in too many bits for any key. Candidates agree in
+    Candidates are texts whose fingerprints differ in ``distance`` bits at most, found as ``near_duplicates`` finds them. At 0.8
+    fingerprints differ in too many bits for any key, so texts are candidates too that agree in
     one of BANDS bands of BAND least hashes, which a pair at 0.8 fails to do in 1 of 16,000 cases. Of those that share
-    a band, every text is compared with the least one. Texts of bands in which this left different groups are then joined
+    a band, every text is compared with the least one. All are counted out, so near fingerprints alone link nothing. Texts of bands in which this left different groups are then joined
     with each other by prefixes of their rarest shingles, which loses no pair, and what is found is counted out. Groups are the
     same for every number of partitions. Texts without words are one group.
     """
     rows = written(_shingled(docs, shingle).withColumn("rid", F.monotonically_increasing_id()), "shingled")
-    nodes = rows.groupBy("node").agg(F.min_by(F.struct("rid", "n", "bands"), "rid").alias("x"))
+    nodes = rows.groupBy("node").agg(F.min_by(F.struct("rid", "n", "fp", "bands"), "rid").alias("x"))
+    near = written(_near_prints(nodes.where("x.n > 0").select("node", "x.rid", "x.n", "x.fp"), distance), "near-prints")
     bands = written(nodes.select("node", "x.rid", "x.n", F.posexplode("x.bands").alias("band", "value")), "bands")
     heads = bands.groupBy("band", "value").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("times")).where("times > 1").drop("times")
     heads = written(heads, "heads")
     members = written(bands.join(heads.hint("merge"), ["band", "value"]), "members")
-    sets = written(join_small(rows.select("rid", "node", "grams"), members.select(F.col("rid").alias("_rid")).distinct(), F.col("rid") == F.col("_rid"), "left_semi").drop("rid"), "sets")
+    sets = written(join_small(rows.select("rid", "node", "grams"), members.select("rid").unionByName(near.select(F.explode(F.array("p.rid", "q.rid")).alias("rid"))).distinct().withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left_semi").drop("rid"), "sets")
     slim = written(rows.select("doc_id", "key", "node"), "nodes")
     for used in (rows, bands, heads):  # the largest tables of the stage
         discard(used)
     fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
     first = members.where((F.col("node") != F.col("head.node")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
-    first = written(first.distinct(), "pairs")
+    by_print = near.where(fits(F.col("p.n"), F.col("q.n"))).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
+    first = written(first.unionByName(by_print).distinct(), "pairs")
     near = written(_alike(first, sets, least), "alike")
 
     of = components(near).withColumnRenamed("node", "_node")

@@ -96,3 +96,24 @@ def test_partners_of_one_text_are_dealt_to_several_tasks(spark, monkeypatch):
     texts = corpus()
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(x.doc_id for x in simhash.first_of_each(docs).collect()) == sorted(set(brute(texts)))
+
+
+def test_near_fingerprints_are_candidates_by_themselves(spark, monkeypatch):
+    """Without any band of least hashes, what fingerprints find is linked; what they find in less alike texts is not."""
+    monkeypatch.setattr(simhash, "_bands", lambda grams, a, b: [])
+    r = random.Random(11)
+    texts = [prose(r, 400) for _ in range(5)]
+    texts += [t + " end" for t in texts]
+    base = prose(r, 30)
+    texts += [" ".join([base] * 40 + [prose(r, 20)]) for _ in range(6)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(set(brute(texts))) == 11
+    assert sorted(x.doc_id for x in simhash.first_of_each(docs).collect()) == sorted(set(brute(texts)))
+
+
+def test_texts_of_a_common_shingle_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 4)
+    r = random.Random(8)
+    texts = family(r, 60)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in simhash.first_of_each(docs).collect()) == sorted(set(brute(texts)))
