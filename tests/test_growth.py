@@ -77,3 +77,10 @@ def test_a_word_is_stemmed_once():
     calc.stem.cache_clear()
     assert calc.stem_words.func(pd.Series(["Running runs", "running RUNS, Émile", None])).tolist() == ["run run", "run run, emil", None]
     assert calc.stem.cache_info().misses <= 3
+
+
+def test_rows_of_a_grid_are_found_without_a_join(spark):
+    words = [(d, 1, x, y * 20.0) for d in (1, 2) for y in range(4 if d == 1 else 2) for x in (10.0, 100.0, 200.0, 300.0)] + [(1, 1, 500.0, 200.0), (None, 1, 10.0, 0.0), (3, 1, None, None)]
+    out = grounding.aligned_rows(spark.createDataFrame(words, "doc_id long, page long, x0 double, y0 double"))
+    assert [tuple(r) for r in out.collect()] == [(1, 1, 4)]
+    assert "Join" not in plan(out)
