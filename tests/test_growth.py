@@ -1,10 +1,11 @@
 """What is compared, shuffled or grouped must not grow faster than the tables."""
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from quillstone.functions import calc
-from quillstone.operators import evidence, grounding, pages, search
+from quillstone.functions import calc, units
+from quillstone.operators import evidence, grounding, pages, search, verify
 
 
 def plan(df):
@@ -84,3 +85,19 @@ def test_rows_of_a_grid_are_found_without_a_join(spark):
     out = grounding.aligned_rows(spark.createDataFrame(words, "doc_id long, page long, x0 double, y0 double"))
     assert [tuple(r) for r in out.collect()] == [(1, 1, 4)]
     assert "Join" not in plan(out)
+
+
+def test_equal_texts_of_a_batch_are_parsed_once():
+    asked = []
+    out = units._each(pa.array(["5 ns", None, "5 ns", "1.2 V or 3 V"] * 50), lambda t: asked.append(t) or units.quantities_of(t))
+    assert sorted(asked) == ["", "1.2 V or 3 V", "5 ns"]
+    assert [len(x) for x in out.to_pylist()] == [1, 0, 1, 2] * 50
+
+
+def test_values_of_a_claim_are_found_once(spark):
+    c = spark.createDataFrame([(1, 1, "fact", "It is 5000 ps [1][2].", [1, 2, 2]), (1, 2, "fact", "It is 7 ns [1].", [1]), (1, 3, "fact", "It is so.", [])], "answer_id long, claim_id int, kind string, text string, cites array<int>")
+    s = spark.createDataFrame([(1, 1, "calc", True, False, "it is 5 ns"), (1, 2, "document", True, False, "| t | 5 | ns |")], "answer_id long, n int, kind string, verified boolean, traced boolean, text string")
+    out = verify.check_values(c, s)
+    rows = {r.claim_id: (r.status, r.codes, r.origins) for r in out.collect()}
+    assert rows == {1: ("unsupported", ["calc_input_unsourced"], ["document"]), 2: ("unsupported", ["calc_input_unsourced", "value_not_found"], []), 3: ("unsupported", ["no_citation"], [])}
+    assert plan(out).count("ArrowEvalPython") == 2
