@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: What ends a stretch of answer, and what ends a stretch of thoughts.
 TAGS = ("<think>", "</think>")
@@ -24,27 +25,34 @@ def part(text: str, inside: bool, final: bool = False) -> tuple[tuple[str, str],
     return (out[0], out[1]), inside, text[kept:]
 
 
-def split_stream(pieces: DataFrame) -> DataFrame:
+def split_stream(pieces: DataFrame, groups: int = 1024) -> DataFrame:
     """(stream_id, at, answer, thoughts), a row for each piece, in append mode: what can be told with it.
 
     pieces (stream_id, at, text, last) is a streaming DataFrame; a stream's pieces come in order of ``at`` from one micro-batch
     to the next, in any order within one. A stream's state is whether it is inside a thought and the beginning of a tag,
-    seven characters at most, and goes with the piece marked as last, which lets go of what was held. Null texts are empty."""
+    seven characters at most, and goes with the piece marked as last, which lets go of what was held. Null texts are empty.
+    Streams are dealt into ``groups``, as a group's call costs far more than a stream's pieces; a group keeps the states of its open streams."""
 
     def run(key, frames, state):
-        inside, held = state.get if state.exists else (False, "")
-        rows, ended = [], False
-        batch = pd.concat(list(frames)).sort_values("at", kind="stable")
-        for at, text, last in zip(batch["at"].tolist(), batch["text"].tolist(), batch["last"].tolist(), strict=True):
-            ended = bool(last)
-            (answer, thoughts), inside, held = part(held + (text or ""), inside, ended)
-            rows.append((key[0], at, answer, thoughts))
-        if ended:
+        held = dict(zip(state.get[0], zip(*state.get[1:], strict=True), strict=True)) if state.exists else {}
+        batch = pd.concat(list(frames))
+        ids, at, texts, last = (batch[c].tolist() for c in ("stream_id", "at", "text", "last"))
+        rows = []
+        for i in sorted(range(len(ids)), key=lambda i: (at[i], i)):
+            inside, kept = held.get(ids[i], (False, ""))
+            (answer, thoughts), inside, kept = part(kept + (texts[i] or ""), inside, bool(last[i]))
+            rows.append((ids[i], at[i], answer, thoughts))
+            if last[i]:
+                held.pop(ids[i], None)
+            else:
+                held[ids[i]] = inside, kept
+        if held:
+            state.update((list(held), [x for x, _ in held.values()], [x for _, x in held.values()]))
+        elif state.exists:
             state.remove()
-        else:
-            state.update((inside, held))
         yield pd.DataFrame(rows, columns=["stream_id", "at", "answer", "thoughts"])
 
     kind = {f.name: f.dataType.simpleString() for f in pieces.schema.fields}
-    slim = pieces.select("stream_id", "at", "text", "last")
-    return slim.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind['stream_id']}, at {kind['at']}, answer string, thoughts string", "inside boolean, held string", "append", "NoTimeout")
+    slim = pieces.select(F.pmod(F.xxhash64("stream_id"), F.lit(groups)).alias("_group"), "stream_id", "at", "text", "last")
+    state = f"streams array<{kind['stream_id']}>, inside array<boolean>, held array<string>"
+    return slim.groupBy("_group").applyInPandasWithState(run, f"stream_id {kind['stream_id']}, at {kind['at']}, answer string, thoughts string", state, "append", "NoTimeout")

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import calc, units
 from quillstone.operators import evidence, grounding, pages, search, verify
+from quillstone.streaming import events as ev
+from quillstone.streaming import thoughts
 
 
 def plan(df):
@@ -101,3 +103,11 @@ def test_values_of_a_claim_are_found_once(spark):
     rows = {r.claim_id: (r.status, r.codes, r.origins) for r in out.collect()}
     assert rows == {1: ("unsupported", ["calc_input_unsourced"], ["document"]), 2: ("unsupported", ["calc_input_unsourced", "value_not_found"], []), 3: ("unsupported", ["no_citation"], [])}
     assert plan(out).count("ArrowEvalPython") == 2
+
+
+def test_streams_of_a_group_keep_their_states(spark, tmp_path):
+    """A call of Python for each stream costs far more than its pieces: many share one."""
+    for k, rows in enumerate([[(1, 0, "a<thi", False), (2, 0, "x", False)], [(2, 1, "<think>y", True), (1, 1, "nk>b</th", False)], [(1, 2, "ink>c", True)]]):
+        spark.createDataFrame(rows, "stream_id long, at int, text string, last boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/pieces")
+    out = ev.run_available(spark, f"{tmp_path}/pieces", lambda p: thoughts.split_stream(p, groups=1), files=1)
+    assert sorted(map(tuple, out.collect())) == [(1, 0, "a", ""), (1, 1, "", "b"), (1, 2, "c", ""), (2, 0, "x", ""), (2, 1, "", "y")]
