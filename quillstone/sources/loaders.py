@@ -7,6 +7,8 @@ import html
 import io
 import re
 import zipfile
+from array import array
+from functools import lru_cache
 from xml.etree import ElementTree
 
 import numpy as np
@@ -130,14 +132,24 @@ def usage_log(spark: SparkSession, path: str, layouts: list[list[str]]) -> DataF
     return out
 
 
+@lru_cache(maxsize=1 << 18)
+def _hash(part: str) -> int:
+    return int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little")
+
+
+@lru_cache(maxsize=1 << 17)
+def _places(word: str, size: int) -> bytes:
+    """Where a word's parts go: their places, behind ``size`` those that subtract. Words and trigrams are hashed once a worker."""
+    marked = f"#{word}#"
+    parts = [word, *([marked[i : i + 3] for i in range(len(marked) - 2)] if len(word) > 3 else [])]
+    return array("I", [h % size + (0 if h >> 63 else size) for h in map(_hash, parts)]).tobytes()
+
+
 def embedding_of(text: str | None, size: int) -> list[float]:
     """Words, and trigrams of words over three letters, hashed with sign into a unit vector."""
-    v = np.zeros(size)
-    for w in re.findall(r"\w+", (text or "").lower()):
-        marked = f"#{w}#"
-        for part in [w, *([marked[i : i + 3] for i in range(len(marked) - 2)] if len(w) > 3 else [])]:
-            h = int.from_bytes(hashlib.blake2b(part.encode(), digest_size=8).digest(), "little")
-            v[h % size] += 1.0 if h >> 63 else -1.0
+    places = b"".join([_places(w, size) for w in re.findall(r"\w+", (text or "").lower())])
+    n = np.bincount(np.frombuffer(places, np.uintc), minlength=2 * size)
+    v = (n[:size] - n[size:]).astype(float)
     n = np.linalg.norm(v)
     return (v / n if n else v).tolist()
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions import calc, units
 from quillstone.operators import evidence, grounding, pages, search, verify
+from quillstone.sources import loaders
 from quillstone.streaming import events as ev
 from quillstone.streaming import thoughts
 
@@ -110,4 +111,10 @@ def test_streams_of_a_group_keep_their_states(spark, tmp_path):
     for k, rows in enumerate([[(1, 0, "a<thi", False), (2, 0, "x", False)], [(2, 1, "<think>y", True), (1, 1, "nk>b</th", False)], [(1, 2, "ink>c", True)]]):
         spark.createDataFrame(rows, "stream_id long, at int, text string, last boolean").coalesce(1).write.mode("append").parquet(f"{tmp_path}/pieces")
     out = ev.run_available(spark, f"{tmp_path}/pieces", lambda p: thoughts.split_stream(p, groups=1), files=1)
-    assert sorted(map(tuple, out.collect())) == [(1, 0, "a", ""), (1, 1, "", "b"), (1, 2, "c", ""), (2, 0, "x", ""), (2, 1, "", "y")]
+    assert sorted(map(tuple, out.select("stream_id", "at", "answer", "thoughts").collect())) == [(1, 0, "a", ""), (1, 1, "", "b"), (1, 2, "c", ""), (2, 0, "x", ""), (2, 1, "", "y")]
+
+
+def test_a_word_is_hashed_once():
+    loaders._places.cache_clear()
+    assert loaders.embedding_of("one two one", 8) == loaders.embedding_of("two ONE one", 8)
+    assert loaders._places.cache_info().misses == 2
