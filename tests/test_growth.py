@@ -4,8 +4,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from quillstone import catalog, plans  # noqa: F401
 from quillstone.functions import calc, units
-from quillstone.operators import evidence, grounding, pages, search, verify
+from quillstone.operators import chunking, evidence, grounding, pages, search, verify
 from quillstone.sources import loaders
 from quillstone.streaming import events as ev
 from quillstone.streaming import thoughts
@@ -118,3 +119,13 @@ def test_a_word_is_hashed_once():
     loaders._places.cache_clear()
     assert loaders.embedding_of("one two one", 8) == loaders.embedding_of("two ONE one", 8)
     assert loaders._places.cache_info().misses == 2
+
+
+def test_units_of_documents_are_found_once(spark, sf):
+    assert "units" not in plan(catalog.QUERIES["support_of_passages"](spark, sf)).replace("find_quantities", "").replace("/units-", "")
+
+
+def test_few_documents_are_chunked_at_once(spark):
+    docs = spark.createDataFrame([(1, [(1, "a b.", "text", "S")])], "doc_id long, blocks array<struct<page:int,text:string,kind:string,section:string>>")
+    assert chunking.chunk_documents(docs).count() == 1
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 100
