@@ -81,19 +81,22 @@ def _joined(lines: pd.Series) -> pd.Series:
     return lines.map(one)
 
 
+def _met(parts: DataFrame, of: DataFrame, name: str) -> DataFrame:
+    """parts with a column of what claims have, null where they have none. Claims come in their answer's row, so that parts which are
+    already dealt by answer stay where they are."""
+    per = of.groupBy("answer_id").agg(F.collect_list(F.struct("claim_id", name)).alias("_of"))
+    mine = F.filter("_of", lambda x: x["claim_id"] == F.col("claim_id"))
+    return parts.join(per, "answer_id", "left").select(*parts.columns, F.explode_outer(mine).alias("_m")).select(*parts.columns, F.col("_m")[name].alias(name))
+
+
 def render(parts: DataFrame, decisions: DataFrame, fixes: DataFrame | None = None) -> DataFrame:
     """(answer_id, text): answers of parts (answer_id, line, kind, prefix, nth, text, claim_id) by decisions (answer_id,
     claim_id, decision: keep, flag or drop) and corrections (answer_id, claim_id, fix).
 
     Parts without a claim stay. A line whose claims are all gone goes, with what stood for it alone; so do the rows
-    below a table's head that is gone."""
-    d = decisions.select(F.col("answer_id").alias("_a"), F.col("claim_id").alias("_c"), "decision")
-    j = parts.join(d, (F.col("answer_id") == F.col("_a")) & (F.col("claim_id") == F.col("_c")), "left").drop("_a", "_c")
-    if fixes is None:
-        j = j.withColumn("fix", F.lit(None).cast("string"))
-    else:
-        x = fixes.select(F.col("answer_id").alias("_a"), F.col("claim_id").alias("_c"), "fix")
-        j = j.join(x, (F.col("answer_id") == F.col("_a")) & (F.col("claim_id") == F.col("_c")), "left").drop("_a", "_c")
+    below a table's head that is gone. All is grouped by answer, so each input is shuffled once at most."""
+    j = _met(parts, decisions, "decision")
+    j = j.withColumn("fix", F.lit(None).cast("string")) if fixes is None else _met(j, fixes, "fix")
     j = j.withColumn("said", _said(F.col("decision"), F.col("fix"), F.col("text"), F.col("kind")))
     claims = F.col("claim_id").isNotNull()
     line = j.groupBy("answer_id", "line", "kind", "prefix").agg(
