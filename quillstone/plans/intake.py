@@ -199,14 +199,15 @@ _BULLETS = f"""l AS (SELECT l_orderkey AS answer_id, l_linenumber AS n, l_quanti
 
 def _parts(spark, sf):
     """Answers: a title, a lead-in, an item for each line, a table with a row for each line, and a heading of nothing."""
-    li = _lines(spark, sf).selectExpr("l_orderkey as answer_id", "l_linenumber as n", "int(l_quantity) as q")
-    row = lambda line, kind, prefix, text, claim, df=li: df.select("answer_id", line.cast("int").alias("line"), F.lit(kind).alias("kind"), F.lit(prefix).alias("prefix"), F.lit(0).alias("nth"), text.alias("text"), claim.cast("int").alias("claim_id"))
-    one = li.select("answer_id").distinct()
+    li = _lines(spark, sf, whole=True).selectExpr("l_orderkey as answer_id", "l_linenumber as n", "int(l_quantity) as q")
     none = F.lit(None)
+    row = lambda line, kind, prefix, text, claim: F.struct(F.lit(line).cast("int").alias("line"), F.lit(kind).alias("kind"), F.lit(prefix).alias("prefix"), F.lit(0).alias("nth"), text.alias("text"), claim.cast("int").alias("claim_id"))
+    item = lambda x: row(10 + x["n"], "text", "- ", F.concat(F.lit("item "), x["n"], F.lit(" is "), x["q"]), x["n"])
+    tabled = lambda x: row(110 + x["n"], "row", "", F.concat(F.lit("| "), x["n"], F.lit(" | "), x["q"], F.lit(" |")), x["n"])
     fixed = [(0, "heading", "# Order"), (1, "text", "Values:"), (100, "blank", ""), (101, "heading", "## Table"), (102, "head", "| n | q |"), (103, "sep", "|---|---|"), (900, "heading", "## Empty")]
-    out = row(10 + F.col("n"), "text", "- ", F.expr("concat('item ', n, ' is ', q)"), F.col("n")).unionByName(row(110 + F.col("n"), "row", "", F.expr("concat('| ', n, ' | ', q, ' |')"), F.col("n")))
-    for line, kind, text in fixed:
-        out = out.unionByName(row(F.lit(line), kind, "", F.lit(text), none, one))
+    each = li.groupBy("answer_id").agg(F.collect_list(F.struct("n", "q")).alias("l"))
+    made = F.concat(F.transform("l", item), F.transform("l", tabled), F.array(*[row(line, kind, "", F.lit(text), none) for line, kind, text in fixed]))
+    out = each.select("answer_id", F.explode(made).alias("p")).select("answer_id", "p.*")
     return out, li.select("answer_id", F.col("n").alias("claim_id"), F.expr("case n % 3 when 0 then 'drop' when 1 then 'keep' else 'flag' end").alias("decision"))
 
 
@@ -223,7 +224,8 @@ def apply_corrections(spark, sf):
     parts, decided = _parts(spark, sf)
     keep = decided.withColumn("decision", F.lit("keep"))
     parts = parts.withColumn("claim_id", F.when(F.col("kind") == "row", F.col("claim_id") + 1000).otherwise(F.col("claim_id")))
-    every = keep.select("answer_id", "claim_id", F.lit("text").alias("kind")).unionByName(keep.select("answer_id", F.col("claim_id") + 1000, F.lit("row")).toDF("answer_id", "claim_id", "kind"))
+    both = F.array(F.struct(F.col("claim_id").alias("claim_id"), F.lit("text").alias("kind")), F.struct((F.col("claim_id") + 1000).alias("claim_id"), F.lit("row").alias("kind")))
+    every = keep.select("answer_id", F.explode(both).alias("e")).select("answer_id", "e.*")
     text = F.when(F.col("claim_id") % 1000 % 4 == 1, F.concat(F.lit(" fixed\n"), (F.col("claim_id") % 1000).cast("string"))).when(F.col("claim_id") % 1000 % 4 == 2, "")
     fixes = rd.corrections(every.select("answer_id", "claim_id", text.alias("text"), F.lit(1).alias("nth")), every)
     return rd.render(parts, every.select("answer_id", "claim_id", F.lit("keep").alias("decision")), fixes)

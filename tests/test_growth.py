@@ -2,6 +2,7 @@
 
 import pandas as pd
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from quillstone import catalog, plans  # noqa: F401
@@ -129,3 +130,11 @@ def test_few_documents_are_chunked_at_once(spark):
     docs = spark.createDataFrame([(1, [(1, "a b.", "text", "S")])], "doc_id long, blocks array<struct<page:int,text:string,kind:string,section:string>>")
     assert chunking.chunk_documents(docs).count() == 1
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 100
+
+
+@pytest.mark.parametrize("name", ["apply_corrections", "render_answers"])
+def test_answers_are_shuffled_by_answer_alone(spark, sf, name):
+    p = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in p.split("\n") if "Exchange hashpartitioning(" in x]
+    assert dealt and all("hashpartitioning(l_orderkey" in x and "l_linenumber" not in x.split("hashpartitioning(")[1].split(")")[0] for x in dealt if "claim_id" not in x)
+    assert not any("line#" in x or "kind#" in x for x in dealt)
