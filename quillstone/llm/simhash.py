@@ -15,7 +15,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import components, join_small, least_of_group, row_key
@@ -181,10 +181,20 @@ def _shingled(docs: DataFrame, shingle: int) -> DataFrame:
     return slim.mapInArrow(run, "doc_id long, key long, node long, n int, fp long, bands array<long>, grams binary")
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose sets have at least that share of their union in common. Pairs are dealt by a, in
-    tasks of bounded size, and the set of a goes before those of its partners, once for each of these tasks."""
+def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, way, b, grams): the set of a with b null, then those of its partners. Pairs are dealt by a, in tasks of bounded
+    size, and the set of a goes before those of its partners, once for each of these tasks."""
     dealt = "a", "way", "b"
+    ways = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("long").alias("ways")), "ways")
+    lead = ways.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("way"), F.lit(None).cast("long").alias("b"))
+    lead = lead.join(sets.select(F.col("node").alias("a"), "grams"), "a").select(*dealt, "grams")
+    rest = join_small(pairs, ways.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).select("a", F.pmod(F.xxhash64("b"), F.col("ways")).alias("way"), "b")
+    rest = rest.join(sets.select(F.col("node").alias("b"), "grams"), "b").select(*dealt, "grams")
+    return lead.unionByName(rest).repartition("a", "way").sortWithinPartitions("a", "way", F.col("b").asc_nulls_first())
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose sets have at least that share of their union in common."""
 
     def run(batches):
         held, of = None, None
@@ -202,21 +212,44 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                     keep.append(both >= least * (len(held) + len(grams) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([x.column(0), x.column(2)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    ways = written(pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("long").alias("ways")), "ways")
-    lead = ways.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)).alias("way"), F.lit(None).cast("long").alias("b"))
-    lead = lead.join(sets.select(F.col("node").alias("a"), "grams"), "a").select(*dealt, "grams")
-    rest = join_small(pairs, ways.withColumnRenamed("a", "_a"), F.col("a") == F.col("_a")).select("a", F.pmod(F.xxhash64("b"), F.col("ways")).alias("way"), "b")
-    rest = rest.join(sets.select(F.col("node").alias("b"), "grams"), "b").select(*dealt, "grams")
-    return lead.unionByName(rest).repartition("a", "way").sortWithinPartitions("a", "way", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
+    return _beside(pairs, sets).mapInArrow(run, "a long, b long")
+
+
+def _differences(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(a, b, near, grams): what only one of both sets has, and whether the pair is alike."""
+    share = (1 - least) / (1 + least)
+
+    def run(batches):
+        held, of = None, None
+        for x in batches:
+            a, way, b, sized = x.column(0).to_pylist(), x.column(1).to_pylist(), x.column(2).to_pylist(), x.column(3)
+            out = []
+            for i in range(x.num_rows):
+                grams = np.frombuffer(sized[i].as_py(), "<i8")
+                if b[i] is None:
+                    held, of = grams, (a[i], way[i])
+                else:
+                    assert of == (a[i], way[i])
+                    differ = np.setxor1d(held, grams, assume_unique=True)
+                    out.append((a[i], b[i], len(differ) <= share * (len(held) + len(grams)) + 1e-9, differ))
+            if out:
+                cols = [pa.array(v, t) for v, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())), strict=True)]
+                yield pa.RecordBatch.from_arrays(cols, ["a", "b", "near", "grams"])
+
+    return _beside(pairs, sets).mapInArrow(run, "a long, b long, near boolean, grams array<long>")
 
 
 def _candidates(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(a, b): all pairs of nodes (node, n, c) of different c that can have the share ``least`` in common.
+    """(a, b): pairs of nodes (node, n, c) among which are all of different c that have the share ``least`` in common, but for
+    some between which other pairs lead.
 
     Shingles are put in order of how many of these texts have them, the rarest first. A pair that is alike has one of
     the first n - least * n + 1 of both in common, and enough after the first such one (prefix and positional
-    filters, which lose nothing). Those that a single text has are counted, not joined. Texts of one shingle meet in blocks of
-    about BLOCK, each pair of blocks in one step: what a family of texts that are nearly alike costs still grows with its square."""
+    filters, which lose nothing). Texts that are nearly alike would all meet in the shingles that most of them have. So where over
+    BLOCK texts meet in a shingle, they are a family, and within it texts meet by what they don't share with its first
+    text: two of them differ in what only one of both differences has, so the same filters hold for the differences,
+    of which what an edit leaves is rare. A pair whose differences need nothing in common is alike to the first text, both of it, and is
+    linked by that."""
     each = join_small(sets, nodes.select(F.col("node").alias("_node"), "n", "c"), F.col("node") == F.col("_node")).select("node", "n", "c", "grams")
 
     def spread(batches):
@@ -227,33 +260,73 @@ def _candidates(nodes: DataFrame, sets: DataFrame, least: float) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(rows.column(k).to_numpy(), len(g))) for k in (0, 1, 2)), pa.array(g)], ["node", "n", "c", "gram"])
 
     grams = written(each.mapInArrow(spread, "node long, n int, c long, gram long"), "mixed-shingles")
-    often = written(grams.groupBy("gram").agg(F.count("*").alias("times"), F.min("c").alias("lo"), F.max("c").alias("hi")), "shingle-counts")
-    shared = grams.join(often.where("times > 1").select(F.col("gram").alias("_gram"), "times", (F.col("lo") < F.col("hi")).alias("crosses")).hint("merge"), F.col("gram") == F.col("_gram")).drop("_gram")
+    grams = grams.select(F.lit(0).cast("long").alias("space"), "node", "n", F.col("n").alias("size"), "c", "gram")
+    pre = _prefixes(grams, F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1)
+    crowded = pre.groupBy(F.col("gram").alias("_gram")).agg(F.count("*").alias("held"), F.min(F.struct("node", "n")).alias("lead")).where(F.col("held") > BLOCK)
+    crowded = written(crowded, "crowded")
+    if crowded.isEmpty():
+        return _meeting(pre.withColumn("family", F.lit(None).cast("long")), least)
+
+    led = join_small(pre, crowded, F.col("gram") == F.col("_gram")).groupBy("node").agg(F.max_by("lead.node", F.struct("held", "gram")).alias("lead"))
+    led = written(led, "led")
+    of = components(led.select(F.col("node").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("node", "_node")
+    led = join_small(led.select("node"), of, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("component", "node").alias("family"))
+    size = nodes.select(F.col("node").alias("_node"), F.col("n").alias("_n"))
+    first = join_small(led, written(led.select("family").distinct(), "first").join(size, F.col("family") == F.col("_node")).select(F.col("family").alias("_family"), F.col("_n").alias("_most")), F.col("family") == F.col("_family"))
+    # A first text that is much longer than another would make its differences long; such a one meets others as they are.
+    family = written(join_small(first, size, F.col("node") == F.col("_node")).where(F.col("_most") <= 2 * F.col("_n")).select(F.col("node").alias("_node"), "family"), "families")
+    apart = _meeting(join_small(pre, family, F.col("node") == F.col("_node"), "left").drop("_node"), least)
+    differ = written(_differences(family.where("_node <> family").select(F.col("family").alias("a"), F.col("_node").alias("b")), sets, least), "differences")
+    own = join_small(differ.drop("near"), nodes, F.col("b") == F.col("node")).select(F.col("a").alias("space"), "node", "n", F.size("grams").alias("size"), "c", F.explode("grams").alias("gram"))
+    within = _prefixes(written(own, "different-shingles"), F.floor(F.col("n") * (1 - least) / least + 1e-9) + 1)
+    within = _meeting(within.withColumn("family", F.lit(None).cast("long")), least)
+    return apart.unionByName(within).unionByName(differ.where("near").select("a", "b")).distinct()
+
+
+def _prefixes(grams: DataFrame, reach: Column) -> DataFrame:
+    """(space, node, n, size, c, gram, at): the rarest of each node's shingles, ``reach`` of them, less those that only one group
+    of a space has. Those that a single text has are counted, not joined."""
+    often = written(grams.groupBy("space", "gram").agg(F.count("*").alias("times"), F.min("c").alias("lo"), F.max("c").alias("hi")), "shingle-counts")
+    often = often.where("times > 1").select(F.col("space").alias("_space"), F.col("gram").alias("_gram"), "times", (F.col("lo") < F.col("hi")).alias("crosses"))
+    shared = grams.join(often.hint("merge"), (F.col("space") == F.col("_space")) & (F.col("gram") == F.col("_gram"))).drop("_space", "_gram")
     own = Window.partitionBy("node")  # a text's shingles
-    alone = F.col("n") - F.count("*").over(own)
-    first = F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1
-    pre = shared.withColumn("at", alone + F.row_number().over(own.orderBy("times", "gram"))).where((F.col("at") <= first) & F.col("crosses")).select("node", "n", "c", "gram", "at")
-    pre = written(pre, "prefixes")
-    ways = pre.groupBy("gram").agg(F.ceil(F.count("*") / BLOCK).alias("ways")).withColumnRenamed("gram", "_gram")
-    dealt = pre.join(ways.hint("merge"), F.col("gram") == F.col("_gram")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("ways")))
-    blocks = written(dealt.groupBy("gram", "block").agg(F.collect_list(F.struct("node", "n", "c", "at")).alias("x")), "blocks")
-    met = blocks.select("gram", F.col("block").alias("i"), F.col("x").alias("p")).hint("merge").join(blocks.select("gram", F.col("block").alias("j"), F.col("x").alias("q")), "gram").where("i <= j")
-    return met.repartition("gram", "i", "j").select("p", "q").mapInArrow(_meet(least), "a long, b long").distinct()
+    alone = F.col("size") - F.count("*").over(own)
+    pre = shared.withColumn("at", alone + F.row_number().over(own.orderBy("times", "gram"))).where((F.col("at") <= reach) & F.col("crosses"))
+    return written(pre.select("space", "node", "n", "size", "c", "gram", "at"), "prefixes")
+
+
+def _meeting(pre: DataFrame, least: float) -> DataFrame:
+    """(a, b): pairs that share a shingle of a space and can be alike, but for those of one family. Texts of one shingle meet in
+    blocks of about BLOCK, each pair of blocks in one step; a family of more has blocks of its own, which don't meet each other."""
+    pre = written(pre.withColumn("family", F.coalesce("family", "node")), "met")
+    large = pre.groupBy("space", "gram", "family").agg(F.count("*").alias("k")).where(F.col("k") > BLOCK).select(F.col("space").alias("_space"), F.col("gram").alias("_gram"), F.col("family").alias("_family"))
+    same = (F.col("space") == F.col("_space")) & (F.col("gram") == F.col("_gram"))
+    pre = join_small(pre, written(large, "large"), same & (F.col("family") == F.col("_family")), "left")
+    pre = pre.withColumn("pool", F.coalesce("_family", F.lit(0).cast("long"))).drop("_space", "_gram", "_family")
+    ways = pre.groupBy("space", "gram", "pool").agg(F.ceil(F.count("*") / BLOCK).alias("ways"))
+    ways = ways.select(F.col("space").alias("_space"), F.col("gram").alias("_gram"), F.col("pool").alias("_pool"), "ways")
+    dealt = pre.join(ways.hint("merge"), same & (F.col("pool") == F.col("_pool"))).withColumn("block", F.pmod(F.xxhash64("node"), F.col("ways")))
+    blocks = written(dealt.groupBy("space", "gram", "pool", "block").agg(F.collect_list(F.struct("node", "n", "size", "c", "family", "at")).alias("x")), "blocks")
+    side = lambda pool, block, x: blocks.select("space", "gram", F.col("pool").alias(pool), F.col("block").alias(block), F.col("x").alias(x))
+    met = side("s", "i", "p").hint("merge").join(side("t", "j", "q"), ["space", "gram"]).where("s < t or s = 0 and t = 0 and i <= j")
+    return met.repartition("space", "gram", "s", "i", "t", "j").select("p", "q").mapInArrow(_meet(least), "a long, b long").distinct()
 
 
 def _meet(least: float):
-    """The pairs of two blocks of texts (node, n, c, at) that share a shingle, less those that can't be alike or are of one group."""
+    """The pairs of two blocks of texts (node, n, size, c, family, at) that share a shingle, less those that can't be alike or are of
+    one group or family. size: how many shingles of the text, or of its difference, there are."""
+    share = (1 - least) / (1 + least)
 
     def run(batches):
         for x in batches:
             out = []
             side = [(c.offsets.to_numpy(), [v.to_numpy() for v in c.values.flatten()]) for c in x.columns]
             for k in range(x.num_rows):
-                (pn, pl, pc, pa_), (qn, ql, qc, qa) = ([v[o[k] : o[k + 1]] for v in vs] for o, vs in side)
-                pn, pl, pc, pa_ = (v[:, None] for v in (pn, pl, pc, pa_))
-                rest = np.minimum(pl - pa_, ql - qa)
-                fits = (np.minimum(pl, ql) >= least * np.maximum(pl, ql) - 1e-9) & (rest + 1 >= least / (1 + least) * (pl + ql) - 1e-9)
-                i, j = np.nonzero(fits & (pc != qc))
+                (pn, pl, ps, pc, pf, pa_), (qn, ql, qs, qc, qf, qa) = ([v[o[k] : o[k + 1]] for v in vs] for o, vs in side)
+                pn, pl, ps, pc, pf, pa_ = (v[:, None] for v in (pn, pl, ps, pc, pf, pa_))
+                rest = np.minimum(ps - pa_, qs - qa)
+                fits = (np.minimum(pl, ql) >= least * np.maximum(pl, ql) - 1e-9) & (rest + 1 >= (ps + qs - share * (pl + ql)) / 2 - 1e-9)
+                i, j = np.nonzero(fits & (pc != qc) & (pf != qf))
                 out.append(np.stack([np.minimum(pn[i, 0], qn[j]), np.maximum(pn[i, 0], qn[j])]))
             if out:
                 a, b = np.unique(np.concatenate(out, axis=1), axis=1)

@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from tests.llm.conftest import prose
 
 from quillstone.llm import simhash
@@ -117,3 +119,31 @@ def test_texts_of_a_common_shingle_meet_in_blocks(spark, monkeypatch):
     texts = family(r, 60)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert sorted(x.doc_id for x in simhash.first_of_each(docs).collect()) == sorted(set(brute(texts)))
+
+
+def test_texts_of_a_family_meet_by_what_sets_them_apart(spark, monkeypatch):
+    """Texts of one and of three edits share almost all shingles and are not alike: few such pairs are to be compared."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    r = random.Random(21)
+    base = prose(r, 150)
+    texts = [edited(r, base, 1) for _ in range(40)] + [edited(r, base, 3) for _ in range(100)]
+    rows = simhash._shingled(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 5).collect()
+    sets = {x.node: np.frombuffer(x.grams, "<u8") for x in rows}
+    one = min(x.node for x in rows if x.doc_id < 40)
+    group = {x.node: one if x.doc_id < 40 else x.node for x in rows}
+    nodes = spark.createDataFrame([(x.node, x.n, group[x.node]) for x in rows], "node long, n int, c long")
+    held = spark.createDataFrame([(x.node, x.grams) for x in rows], "node long, grams binary")
+    got = {(x.a, x.b) for x in simhash._candidates(nodes, held, 0.8).collect()}
+    agree = {(a, b): len(np.intersect1d(sets[a], sets[b])) / len(np.union1d(sets[a], sets[b])) for a in sets for b in sets if a < b}
+    alike = {p for p, x in agree.items() if x >= 0.8}
+
+    def groups(pairs):
+        of = dict(group)
+        for a, b in pairs:
+            if of[a] != of[b]:
+                old, new = max(of[a], of[b]), min(of[a], of[b])
+                of = {k: new if v == old else v for k, v in of.items()}
+        return of
+
+    assert groups(got & alike) == groups(alike)
+    assert len(got - alike) < 1500
