@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Faults that another try may mend, and a reference to a numbered clause.
 PARTIAL = ["vlm_failed", "metadata_failed"]
+#: Documents of a task in a retry.
+DOCUMENTS = 50_000
 CLAUSE = r"(?i)(?:section|clause|§|sec\.)\s*(\d+(?:\.\d+)+)"
 
 
@@ -27,28 +31,47 @@ def quality(issues: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def retry(pages: DataFrame, again: DataFrame, records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pages as they stand after the retry, (doc_id, scope, result, still_failed)).
-
-    pages and again: doc_id, page, failed, content. records: doc_id, status. A document that was partial has its failed pages
-    replaced only, by what the retry has of them; one that failed as a whole takes all of the retry's. A retry after which more pages fail
-    than before is refused as a whole, unless the whole document had failed: its pages stay, result kept_existing. Otherwise the result is
-    ok or partial. Documents without a retry, or in good order, stay as they are and have no result."""
-    todo = records.where(F.col("status") != "ok").select("doc_id", "status")
-    tried = again.join(todo, "doc_id").select("doc_id", "page", "status", F.col("failed").alias("_failed"), F.col("content").alias("_content"), F.lit(True).alias("_new"))
-    names = tried.select("doc_id", "status").distinct()
-    both = pages.join(names, "doc_id").drop("status").join(tried.drop("status"), ["doc_id", "page"], "full").join(names, "doc_id")
-    new = F.coalesce("_new", F.lit(False))
-    takes = new & ((F.col("status") == "failed") | F.coalesce("failed", F.lit(True)))
-    gone = (F.col("status") == "failed") & ~new
-    after = both.select("doc_id", "page", "status", "failed", "content", F.when(takes, F.col("_failed")).otherwise(F.col("failed")).alias("f2"), F.when(takes, F.col("_content")).otherwise(F.col("content")).alias("c2"), gone.alias("gone"), F.col("failed").isNotNull().alias("had"))
-    n = after.groupBy("doc_id").agg(F.first("status").alias("_s"), F.count_if("failed").alias("before"), F.count_if(F.col("f2") & ~F.col("gone")).alias("now"), F.array_sort(F.collect_set(F.when(F.col("f2") & ~F.col("gone"), F.col("page")))).alias("bad"), F.array_sort(F.collect_set(F.when(F.col("failed"), F.col("page")))).alias("old"))
-    n = n.withColumn("refused", (F.col("_s") != "failed") & (F.col("now") > F.col("before")))
-    result = F.when(F.col("refused"), "kept_existing").when(F.col("now") > 0, "partial").otherwise("ok")
-    report = n.select("doc_id", F.when(F.col("_s") == "failed", "document").otherwise("pages").alias("scope"), result.alias("result"), F.when(F.col("refused"), F.col("old")).otherwise(F.col("bad")).alias("still_failed"))
-    merged = after.join(n.select("doc_id", "refused"), "doc_id").where(F.when(F.col("refused"), F.col("had")).otherwise(~F.col("gone")))
-    merged = merged.select("doc_id", "page", F.when(F.col("refused"), F.col("failed")).otherwise(F.col("f2")).alias("failed"), F.when(F.col("refused"), F.col("content")).otherwise(F.col("c2")).alias("content"))
-    rest = pages.join(names, "doc_id", "left_anti").select("doc_id", "page", "failed", "content")
-    return merged.unionByName(rest), report
+    """(pages as they stand after the retry, with the result of their document, (doc_id, scope, result, still_failed)).
+
+    pages and again: doc_id, page, failed, content. records: doc_id, status, one for each document. A document that was partial has its
+    failed pages replaced only, by what the retry has of them; one that failed as a whole takes all of the retry's. A retry after which more
+    pages fail than before is refused as a whole, unless the whole document had failed: its pages stay, result kept_existing. Otherwise the
+    result is ok or partial. Documents without a retry, or in good order, stay as they are and have no result.
+
+    Pages, retries and records lie together by document, in tasks of DOCUMENTS at most, and are sorted once."""
+    side = lambda d, n, *cols: d.select("doc_id", *[c.alias(k) for k, c in zip(("page", "failed", "content", "status"), cols, strict=True)], F.lit(n).alias("_side"))
+    kinds = {k: pages.schema[k].dataType for k in ("page", "failed", "content")}
+    own = [F.col(k) for k in kinds]
+    rows = side(pages, 0, *own, F.lit(None).cast("string")).unionByName(side(again, 1, *own, F.lit(None).cast("string")))
+    rows = rows.unionByName(side(records, 2, *[F.lit(None).cast(t) for t in kinds.values()], F.col("status")))
+    rows = rows.withColumn("_apart", F.when(F.col("page").isNull(), F.col("_side")))  # pages without a number don't meet
+    spark = pages.sparkSession
+    rows = rows.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(records.count() / DOCUMENTS)), "doc_id")
+
+    spot, whole = Window.partitionBy("doc_id", "page", "_apart"), Window.partitionBy("doc_id")
+    given = F.struct(F.col("failed").alias("f"), F.col("content").alias("c"))
+    met = rows.withColumn("_with", F.collect_list(F.when(F.col("_side") == 1, given)).over(spot)).withColumn("_had", F.max(F.col("_side") == 0).over(spot))
+    met = met.withColumn("status", F.max("status").over(whole)).withColumn("_again", F.max(F.col("_side") == 1).over(whole))
+    tried = F.coalesce(F.col("doc_id").isNotNull() & F.col("_again") & (F.col("status") != "ok"), F.lit(False))
+    met = met.withColumn("_tried", tried).where((F.col("_side") == 0) | ((F.col("_side") == 1) & F.col("_tried") & ~F.col("_had")))
+    old = F.col("_side") == 0
+    with_ = F.when(~old, F.array(given)).when(F.col("_tried") & (F.size("_with") > 0), F.col("_with")).otherwise(F.array(F.when(F.lit(False), given)))
+    after = met.select("doc_id", "page", "status", "_tried", old.alias("had"), F.when(old, F.col("failed")).alias("failed"), F.when(old, F.col("content")).alias("content"), F.explode(with_).alias("_x"))
+
+    new, lost = F.col("_x").isNotNull(), F.col("status") == "failed"
+    takes = new & (lost | F.coalesce("failed", F.lit(True)))
+    after = after.withColumn("f2", F.when(takes, F.col("_x.f")).otherwise(F.col("failed"))).withColumn("c2", F.when(takes, F.col("_x.c")).otherwise(F.col("content"))).withColumn("gone", lost & ~new)
+    after = after.withColumn("before", F.count_if("failed").over(whole)).withColumn("now", F.count_if(F.col("f2") & ~F.col("gone")).over(whole))
+    after = after.withColumn("refused", ~lost & (F.col("now") > F.col("before")))
+    result = F.when(F.col("_tried"), F.when(F.col("refused"), "kept_existing").when(F.col("now") > 0, "partial").otherwise("ok"))
+    after = after.withColumn("result", result)
+    failing = lambda c: F.array_sort(F.collect_set(F.when(c, F.col("page"))))
+    n = after.where("_tried").groupBy("doc_id").agg(F.first("status").alias("_s"), F.first("result").alias("result"), failing(F.col("f2") & ~F.col("gone")).alias("bad"), failing(F.col("failed")).alias("old"))
+    report = n.select("doc_id", F.when(F.col("_s") == "failed", "document").otherwise("pages").alias("scope"), "result", F.when(F.col("result") == "kept_existing", F.col("old")).otherwise(F.col("bad")).alias("still_failed"))
+    stays = ~F.col("_tried") | F.when(F.col("refused"), F.col("had")).otherwise(~F.col("gone"))
+    asis = ~F.col("_tried") | F.col("refused")
+    merged = after.where(stays).select("doc_id", "page", F.when(asis, F.col("failed")).otherwise(F.col("f2")).alias("failed"), F.when(asis, F.col("content")).otherwise(F.col("c2")).alias("content"), "result")
+    return merged, report
 
 
 def clause_links(errata: DataFrame, amends: DataFrame, passages: DataFrame) -> DataFrame:

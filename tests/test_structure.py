@@ -68,6 +68,20 @@ def test_a_retry_mends_failed_pages_or_nothing(spark):
     assert {x.doc_id: tuple(x)[1:] for x in report.collect()} == said and {v[1] for v in said.values()} == {"kept_existing", "partial", "ok"}
 
 
+def test_a_retry_sorts_documents_once_in_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(records, "DOCUMENTS", 5)
+    schema, ids = "doc_id int, page int, failed boolean, content string", range(100)
+    pages = [(d, n, n == 1, "old") for d in ids for n in (1, 2)] + [(None, 1, True, "old"), (1, None, True, "old")]
+    again = [(d, n, False, "new") for d in ids for n in (1, 3)] + [(None, 1, False, "new"), (1, None, False, "new")]
+    status = spark.createDataFrame([(d, "partial" if d % 2 else "ok") for d in ids], "doc_id int, status string")
+    merged, _ = records.retry(spark.createDataFrame(pages, schema), spark.createDataFrame(again, schema), status)
+    got = sorted(((x.doc_id, x.page, x.failed, x.content) for x in merged.collect()), key=str)
+    want = [(d, 1, not d % 2, "new" if d % 2 else "old") for d in ids] + [(d, 2, False, "old") for d in ids] + [(d, 3, False, "new") for d in ids if d % 2]
+    assert got == sorted(want + [(None, 1, True, "old"), (1, None, True, "old"), (1, None, False, "new")], key=str)
+    steps = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in steps and "RepartitionByExpression [doc_id" in steps and ", 20" in steps.split("RepartitionByExpression [doc_id")[1].split("\n")[0]
+
+
 def test_clause_links(spark):
     e = spark.createDataFrame([(1, 10, "In section 4.2 and § 7.1 read; Clause 4.2 again."), (2, 10, "sec. 9.9"), (3, 11, "section 4.2"), (4, 10, None)], "erratum int, doc_id int, text string")
     a = spark.createDataFrame([(10, 20), (11, 21)], "doc_id int, base_id int")
