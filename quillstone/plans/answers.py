@@ -111,6 +111,7 @@ def support_units(spark, sf):
     b = read(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("needle"))
     pairs = s.containing(_index(spark, sf), d, b).join(small(b), "query_id").select(F.col("query_id").alias("claim_id"), "doc_id", F.col("needle").alias("text"))
     first = pairs.groupBy("claim_id").agg(F.min_by(F.struct("doc_id", "text"), "doc_id").alias("x")).select("claim_id", "x.doc_id", "x.text")
+    first = written(first, "first")
     units = d.join(small(first.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("unit_id", "text"))
     return verify.support(first, units)
 

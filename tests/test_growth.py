@@ -138,3 +138,12 @@ def test_answers_are_shuffled_by_answer_alone(spark, sf, name):
     dealt = [x for x in p.split("\n") if "Exchange hashpartitioning(" in x]
     assert dealt and all("hashpartitioning(l_orderkey" in x and "l_linenumber" not in x.split("hashpartitioning(")[1].split(")")[0] for x in dealt if "claim_id" not in x)
     assert not any("line#" in x or "kind#" in x for x in dealt)
+
+
+def test_needles_ask_the_index_once(spark):
+    docs = spark.createDataFrame([(i, f"w{i} common words w{i % 3} stand here") for i in range(30)], "doc_id long, text string")
+    index = search.build_index(docs, "doc_id", ["text"])
+    needles = spark.createDataFrame([(1, "w5 common words w2 stand"), (2, "common words w1 stand here"), (3, "here w5 none")], "query_id long, needle string")
+    out = search.containing(index, docs, needles)
+    assert {tuple(x) for x in out.select("query_id", "doc_id").collect()} == {(1, 5), *((2, i) for i in range(30) if i % 3 == 1)}
+    assert "explode(p" not in plan(out)  # what was found is written, not looked for again by each count and join
