@@ -88,26 +88,23 @@ def rows(calls: DataFrame, given: DataFrame, outcomes: DataFrame, members: DataF
     row_id; unverified are call, n_rows, rows that match but can't be cited.
 
     calls: call, terms (array). given: row_id (a key), doc_id, terms (array), verified. Calls that have a list of documents meet the
-    rows of these; those that may use the whole library meet rows by equal terms, so their terms should not be common ones. Those of
-    ``tagged`` meet rows by tag and term, where one of the terms may be common. Null terms match nothing; null verified is false."""
+    rows of these; those that may use the whole library meet rows by equal terms, those of ``tagged`` by tag and term. In both,
+    one of the terms may be common. Null terms match nothing; null verified is false."""
     distinct = lambda c: F.array_compact(F.array_distinct(c))
     term = lambda df, *more: df.select(*more, F.explode(distinct("terms")).alias("term"))
     given = given.withColumn("verified", F.coalesce("verified", F.lit(False)))
-    summed = lambda df: df.groupBy("call", "row_id").agg(F.max("verified").alias("verified"), F.count("*").alias("score"))
-    listed = summed(term(calls.join(members, "call"), "call", "doc_id").join(term(given, "row_id", "doc_id", "verified"), ["doc_id", "term"]))
-    every = outcomes.where("note is null and n_docs is null").select("call")
-    free = summed(term(calls.join(every, "call", "left_semi"), "call").join(term(given, "row_id", "verified"), "term"))
-    met = listed.unionByName(free)
+    listed = term(calls.join(members, "call"), "call", "doc_id").join(term(given, "row_id", "doc_id", "verified"), ["doc_id", "term"])
+    met = listed.groupBy("call", "row_id").agg(F.max("verified").alias("verified"), F.count("*").alias("score"))
     good, bad = met.where("verified").drop("verified"), met.where(~F.col("verified")).groupBy("call").agg(F.count("*").alias("n_rows"))
-    if tagged is not None:
-        more, unverified = _tagged_rows(calls, given, tagged, k)
-        good, bad = good.unionByName(more), bad.unionByName(unverified)
+    every = outcomes.where("note is null and n_docs is null").select("call")
+    more, unverified = _common_rows(calls, given, every, tagged, k)
+    good, bad = good.unionByName(more), bad.unionByName(unverified)
     return search.top(good, ["call"], [F.desc("score"), F.col("row_id")], k), bad
 
 
-def _tagged_rows(calls: DataFrame, given: DataFrame, tagged: Tagged, k: int) -> tuple[DataFrame, DataFrame]:
+def _common_rows(calls: DataFrame, given: DataFrame, every: DataFrame, tagged: Tagged | None, k: int) -> tuple[DataFrame, DataFrame]:
     """(found, unverified): call, row_id, score of verified rows, the k best of each call among them, and call, n_rows, of calls
-    on all documents of a tag.
+    (``every``) on all rows, whose tag is the empty one here, and of those on all documents of a tag.
 
     Rows are listed by tag and term once. Of the term that most of a tag's rows have, a call takes its first k rows only, and as many
     more as its question excludes: a later row that matches nothing else has k better ones before it. Rows of its other terms are all taken."""
@@ -115,10 +112,14 @@ def _tagged_rows(calls: DataFrame, given: DataFrame, tagged: Tagged, k: int) ->
     calls = calls.select("call", terms.alias("_terms"))
     given = given.select("row_id", "doc_id", "verified", terms.alias("_has"))
     score = F.size(F.array_intersect("_terms", "_has")).cast("long").alias("score")
-    c = tagged.calls.join(calls, "call")
+    if tagged is None:
+        none = calls.select("call", F.lit("").alias("tag"), F.lit(True).alias("used")).where("false").crossJoin(given.select("doc_id").where("false"))
+        tagged = Tagged(none.select("call", "tag"), none.select("tag", "doc_id"), none.select("call", "doc_id", "used"))
+    c = tagged.calls.unionByName(every.select("call", F.lit("").alias("tag"))).join(calls, "call")
     changes = tagged.changes.join(calls, "call").join(given, "doc_id").select("call", "row_id", "verified", "used", "_has", score)
     changes = written(changes.where("score > 0"), "changes")
-    held = given.join(tagged.held, "doc_id").select("tag", "row_id", "verified", "_has", F.explode("_has").alias("term"))
+    held = given.join(tagged.held, "doc_id").select("tag", "row_id", "verified", "_has")
+    held = held.unionByName(given.select(F.lit("").alias("tag"), "row_id", "verified", "_has")).select("*", F.explode("_has").alias("term"))
     wanted = written(c.select("call", "tag", "_terms", F.explode("_terms").alias("term")), "tagged-terms")
     held = written(held.join(wanted.select("tag", "term").distinct(), ["tag", "term"], "left_semi"), "tagged-rows")
     sizes = held.groupBy("tag", "term").agg(F.count_if("verified").alias("_good"), F.count_if(~F.col("verified")).alias("_bad"))

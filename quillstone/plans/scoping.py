@@ -91,16 +91,12 @@ _LINES = "SELECT l_orderkey * 10 + l_linenumber AS row_id, l_partkey AS doc_id,
 
 
 @query(f"""WITH {_REASONS}, l AS ({_LINES}), u AS (SELECT call, row_id, verified, len(list_intersect(c.terms, l.terms)) AS score FROM c JOIN mem USING (call) JOIN l USING (doc_id)
-  UNION ALL SELECT call, row_id, verified, count(*) AS score FROM (SELECT call, unnest(terms) AS term FROM c JOIN o USING (call) WHERE note IS NULL AND n_docs IS NULL) JOIN (SELECT row_id, verified, unnest(terms) AS term FROM l) USING (term) WHERE term <> 'air' GROUP BY ALL),
+  UNION ALL SELECT call, row_id, verified, count(*) AS score FROM (SELECT call, unnest(terms) AS term FROM c JOIN o USING (call) WHERE note IS NULL AND n_docs IS NULL) JOIN (SELECT row_id, verified, unnest(terms) AS term FROM l) USING (term) GROUP BY ALL),
  f AS (SELECT call, row_id, score, row_number() OVER (PARTITION BY call ORDER BY score DESC, row_id) AS rank FROM u WHERE verified AND score > 0)
 SELECT call, row_id, score, rank FROM f WHERE rank <= 10""")
 def tool_rows(spark, sf):
-    """Verified rows for each call. A call on the whole library asks without its common term."""
+    """Verified rows for each call."""
     calls, outcomes, members, tagged = _calls(spark, sf)
-    outcomes = written(outcomes, "outcomes")
-    free = outcomes.where("note is null and n_docs is null").select("call", F.lit(True).alias("_free"))
-    terms = F.when(F.col("_free"), F.array_remove("terms", "air")).otherwise(F.col("terms"))
-    calls = calls.join(free, "call", "left").select("call", terms.alias("terms"))
     lines = read(spark, sf, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*[F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_linestatus", "l_returnflag")])  # numbers repeat
     given = lines.selectExpr("l_orderkey * 10 + l_linenumber as row_id", "l_partkey as doc_id", "array(if(l_linestatus = 'O' and l_linenumber = 1, 'air', 'other'), concat('s', l_suppkey)) as terms", "l_returnflag <> 'A' as verified")
-    return tools.rows(calls, written(given, "lines"), outcomes, members, tagged=tagged)[0]
+    return tools.rows(calls.select("call", "terms"), written(given, "lines"), written(outcomes, "outcomes"), members, tagged=tagged)[0]

@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from quillstone import catalog, plans  # noqa: F401
 from quillstone.operators import tools
 
 DOCS = "doc_id long, bucket string, domain string, entities array<string>, identity string, doc_type string, superseded boolean, missing boolean"
@@ -97,3 +98,29 @@ def test_documents_of_a_tag_are_listed_once_not_for_each_call(spark):
         for x, y in zip(slow, fast, strict=True):
             cols = sorted(x.columns)
             assert x.count() and sorted(map(tuple, x.select(cols).collect())) == sorted(map(tuple, y.select(cols).collect()))
+
+
+def test_calls_on_the_whole_library_ask_with_their_common_terms_too(spark):
+    """Against plain Python, where most rows have one of the terms."""
+    r = random.Random(5)
+    rows = [(i, r.choice([None, *range(20)]), ["common"] * (r.random() < 0.8) + r.sample(["x", "y", "z", None], 2), r.choice([True, True, False, None])) for i in range(300)]
+    asked = [(c, r.sample(["common", "x", "y", "none", None], 3)) for c in range(30)]
+    given = spark.createDataFrame(rows, "row_id long, doc_id long, terms array<string>, verified boolean")
+    calls = spark.createDataFrame(asked, "call long, terms array<string>")
+    outcomes = spark.createDataFrame([(c, None, None) for c, _ in asked], "call long, note string, n_docs long")
+    for k in (1, 3, 10):
+        found, unverified = tools.rows(calls, given, outcomes, spark.createDataFrame([], "call long, doc_id long"), k)
+        want, bad = {}, {}
+        for c, terms in asked:
+            score = [(len(set(terms) & set(has) - {None}), i, ok) for i, _, has, ok in rows]
+            want |= {(c, i): (s, n) for n, (s, i, _) in enumerate(sorted((x for x in score if x[0] and x[2]), key=lambda x: (-x[0], x[1]))[:k], 1)}
+            bad |= {c: n for n in [sum(s > 0 and not ok for s, _, ok in score)] if n}
+        assert {(x.call, x.row_id): (x.score, x["rank"]) for x in found.collect()} == want
+        assert {x.call: x.n_rows for x in unverified.collect()} == bad
+
+
+def test_tool_rows_leaves_no_term_out(spark, sf):
+    """A call on the whole library has ten rows: more rows than that have its common term."""
+    free = catalog.QUERIES["tool_scopes"](spark, sf).where("note is null and n_docs is null").select("call")
+    found = catalog.QUERIES["tool_rows"](spark, sf).join(free, "call").groupBy("call").agg(F.count("*").alias("n"))
+    assert free.count() > 10 and {r.n for r in found.collect()} == {10} and found.count() == free.count()
