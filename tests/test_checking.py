@@ -7,6 +7,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from quillstone import catalog, plans  # noqa: F401
 from quillstone.operators import citing, evidence, pages, support
 from quillstone.streaming import events as ev
 from quillstone.streaming import thoughts
@@ -264,3 +265,16 @@ def test_keyed_state_over_micro_batches(spark):
     for i, t in texts.items():
         rows = sorted((x["at"], x.answer, x.thoughts) for x in out if x.stream_id == i)
         assert ("".join(x[1] for x in rows), "".join(x[2] for x in rows)) == whole(t)
+
+
+def test_support_units_takes_no_part_that_adds_nothing(spark, tmp_path):
+    """The query's cover: a part that states all of a passage's numbers stands alone, and rows of tables are parts too."""
+    docs = [
+        (1, "Head of it. The limit is 45 parts at 12 degrees. The limit is 45 parts again. The limit at 12 degrees holds.", "en", "web", 0),
+        (2, "Widths of the port here.\n\n| Name | Width |\n|---|---|\n| lane A | 77 |\n| lane B | 78 |", "en", "web", 0),
+    ]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, "The limit is 45 parts at 12 degrees."), (2, "| lane B | 78 |")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = catalog.QUERIES["support_units"](spark, str(tmp_path)).collect()
+    assert sorted((r.claim_id, r.nth, r.unit_id) for r in out) == [(1, 1, 1), (2, 1, 3)]
