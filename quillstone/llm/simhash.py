@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillstone.llm.common import components, join_small, least_of_group, row_key
-from quillstone.session import arrow_batches, discard, written
+from quillstone.session import arrow_batches, discard, reclaim, written
 
 SEED = 42
 #: Bands of least hashes, and hashes in each.
@@ -29,6 +29,8 @@ BAND = 6
 BLOCK = 128
 #: Partners of a text that a task compares it with.
 PARTNERS = 2048
+#: Pairs at least that are compared at once.
+TURN = 100_000
 
 
 def _fingerprint(text: bytes | None, shingle: int) -> int:
@@ -143,12 +145,22 @@ def _bits(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
 
 
-def _grams(text: bytes | None, shingle: int) -> tuple[np.ndarray, int]:
-    """Hashes of the distinct shingles, sorted, and the fingerprint; a shorter text is one shingle, one without words has none."""
+def _hashes(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the shingles; a shorter text is one shingle, one without words has none."""
     words, digest = (text or b"").lower().split(), xxhash.xxh64_intdigest
-    if not words:
-        return np.zeros(0, "<u8"), 0
-    h = np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))], "<u8")
+    return np.array([digest(b" ".join(words[i : i + shingle]), SEED) for i in range(max(1, len(words) - shingle + 1))] if words else [], "<u8")
+
+
+def _distinct(text: bytes | None, shingle: int) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted."""
+    return np.unique(_hashes(text, shingle))
+
+
+def _grams(text: bytes | None, shingle: int) -> tuple[np.ndarray, int]:
+    """Hashes of the distinct shingles, sorted, and the fingerprint."""
+    h = _hashes(text, shingle)
+    if not len(h):
+        return h, 0
     counts = sum(_bits(h[at : at + 65536]) for at in range(0, len(h), 65536))
     return np.unique(h), int(np.packbits(counts * 2 > len(h)).view("<i8")[0])
 
@@ -161,24 +173,51 @@ def _bands(grams: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[int]:
     return [_signed(xxhash.xxh64_intdigest(least[i : i + BAND].tobytes(), SEED)) for i in range(0, len(a), BAND)]
 
 
-def _shingled(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, key, node, n, fp, bands, grams): a row for each row of docs. Texts of the same shingles are one node."""
+def _slim(docs: DataFrame) -> DataFrame:
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs["doc_id"], docs["text"]).alias("key"), docs["text"].cast("binary").alias("text"))
+
+
+def _shingled(docs: DataFrame, shingle: int, held: bool = True) -> DataFrame:
+    """(doc_id, key, node, n, fp, bands, grams): a row for each row of docs. Texts of the same shingles are one node. Not ``held``: without
+    grams, which are larger than a text; ``_sets`` makes them anew for texts that meet others."""
     r = np.random.default_rng(SEED)
     a, b = (r.integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2))
+    schema = "doc_id long, key long, node long, n int, fp long, bands array<long>" + ", grams binary" * held
+    names = [c.split(" ")[0] for c in schema.split(", ")]
 
     def run(batches):
         for x in batches:
             for k in range(0, x.num_rows, 500):
                 part = x.slice(k, 500)
                 grams, fps = zip(*(_grams(t, shingle) for t in part.column(2).to_pylist()), strict=True)
-                raw = [g.tobytes() for g in grams]
-                cols = [pa.array([_signed(xxhash.xxh64_intdigest(g, SEED)) for g in raw], pa.int64()), pa.array([len(g) for g in grams], pa.int32()), pa.array(fps, pa.int64())]
-                cols += [pa.array([_bands(g, a, b) if len(g) else [] for g in grams], pa.list_(pa.int64())), pa.array(raw, pa.binary())]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["doc_id", "key", "node", "n", "fp", "bands", "grams"])
+                cols = [pa.array([_node(g) for g in grams], pa.int64()), pa.array([len(g) for g in grams], pa.int32()), pa.array(fps, pa.int64())]
+                cols += [pa.array([_bands(g, a, b) if len(g) else [] for g in grams], pa.list_(pa.int64()))]
+                cols += [pa.array([g.tobytes() for g in grams], pa.binary())] if held else []
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], names)
+
+    arrow_batches(docs.sparkSession)
+    return _slim(docs).mapInArrow(run, schema)
+
+
+def _node(grams: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(grams.tobytes(), SEED))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(node, grams): a row for each of wanted (node, key, times), of whose key docs have that many rows."""
+
+    def run(batches):
+        for x in batches:
+            for k in range(0, x.num_rows, 500):
+                grams = [_distinct(t, shingle) for t in x.column(0).slice(k, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([_node(g) for g in grams], pa.int64()), pa.array([g.tobytes() for g in grams], pa.binary())], ["node", "grams"])
 
     arrow_batches(docs.sparkSession)
-    slim = docs.select(docs["doc_id"].cast("long").alias("doc_id"), row_key(docs["doc_id"], docs["text"]).alias("key"), docs["text"].cast("binary").alias("text"))
-    return slim.mapInArrow(run, "doc_id long, key long, node long, n int, fp long, bands array<long>, grams binary")
+    rows = join_small(_slim(docs), wanted.select(F.col("key").alias("_key"), "times"), F.col("key") == F.col("_key"))
+    once = rows.where("times = 1")
+    if not wanted.where("times > 1").isEmpty():
+        once = once.select("key", "text").unionByName(rows.where("times > 1").select("key", "text").dropDuplicates(["key"]))
+    return once.select("text").mapInArrow(run, "node long, grams binary")
 
 
 def _beside(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -215,6 +254,27 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return _beside(pairs, sets).mapInArrow(run, "a long, b long")
 
 
+def _linked(pairs: DataFrame, sets: DataFrame, least: float, before: DataFrame | None = None) -> DataFrame:
+    """(a, b): pairs that are alike, and with them those of ``before``; all groups that the pairs make, not each pair.
+
+    A pair takes its second text's set along. So pairs go in turns of about as many as there are sets, and what a turn has
+    shuffled is deleted before the next one: disk follows the sets, not the pairs. Pairs between which earlier ones lead are not compared."""
+    spark = pairs.sparkSession
+    turns = max(1, -(-pairs.count() // max(TURN, sets.count())))
+    found = before
+    for t in range(turns):
+        part = pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(turns)) == t) if turns > 1 else pairs
+        if found is not None:
+            of = components(found)
+            for x in ("a", "b"):
+                part = join_small(part, of.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"_in_{x}")), F.col(x) == F.col(f"_{x}"), "left")
+            part = part.where(F.coalesce("_in_a", "a") != F.coalesce("_in_b", "b")).select("a", "b")
+        new = _alike(part if found is None else written(part, "apart"), sets, least)
+        found = written(new if found is None else found.unionByName(new), "alike")
+        reclaim(spark)
+    return found
+
+
 def _differences(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """(a, b, near, grams): what only one of both sets has, and whether the pair is alike."""
     share = (1 - least) / (1 + least)
@@ -336,11 +396,11 @@ def _meet(least: float):
 
 
 def _near_prints(nodes: DataFrame, distance: int) -> DataFrame:
-    """(p, q): pairs of nodes (node, rid, n, fp) as structs: the least node of a fingerprint with every other node of it, and with
+    """(p, q): pairs of nodes (node, n, fp) as structs: the least node of a fingerprint with every other node of it, and with
     the least ones of all fingerprints at most ``distance`` bits apart."""
     nodes = written(nodes, "prints")
-    leads = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "rid", "n")).alias("p")), "leads")
-    same = nodes.join(leads.hint("merge"), "fp").where(F.col("node") != F.col("p.node")).select("p", F.struct("node", "rid", "n").alias("q"))
+    leads = written(nodes.groupBy("fp").agg(F.min(F.struct("node", "n")).alias("p")), "leads")
+    same = nodes.join(leads.hint("merge"), "fp").where(F.col("node") != F.col("p.node")).select("p", F.struct("node", "n").alias("q"))
     pairs = written(links(leads, distance), "links")
     far = pairs.join(leads.select(F.col("fp").alias("a"), "p"), "a").join(leads.select(F.col("fp").alias("b"), F.col("p").alias("q")), "b")
     return same.unionByName(far.select("p", "q"))
@@ -357,22 +417,27 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance:
     with each other by prefixes of their rarest shingles, which loses no pair, and what is found is counted out. Groups are the
     same for every number of partitions. Texts without words are one group.
     """
-    rows = written(_shingled(docs, shingle).withColumn("rid", F.monotonically_increasing_id()), "shingled")
-    nodes = rows.groupBy("node").agg(F.min_by(F.struct("rid", "n", "fp", "bands"), "rid").alias("x"))
-    near = written(_near_prints(nodes.where("x.n > 0").select("node", "x.rid", "x.n", "x.fp"), distance), "near-prints")
-    bands = written(nodes.select("node", "x.rid", "x.n", F.posexplode("x.bands").alias("band", "value")), "bands")
+    rows = written(_shingled(docs, shingle, held=False), "shingled")
+    times = rows.groupBy("node", "key").agg(F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("n", "fp", "bands")])
+    nodes = written(times.groupBy("node").agg(F.min_by(F.struct("key", "times", "n", "fp", "bands"), "key").alias("x")), "firsts")
+    near = written(_near_prints(nodes.where("x.n > 0").select("node", "x.n", "x.fp"), distance), "near-prints")
+    bands = written(nodes.select("node", "x.n", F.posexplode("x.bands").alias("band", "value")), "bands")
     heads = bands.groupBy("band", "value").agg(F.min(F.struct("node", "n")).alias("head"), F.count("*").alias("times")).where("times > 1").drop("times")
     heads = written(heads, "heads")
     members = written(bands.join(heads.hint("merge"), ["band", "value"]), "members")
-    sets = written(join_small(rows.select("rid", "node", "grams"), members.select("rid").unionByName(near.select(F.explode(F.array("p.rid", "q.rid")).alias("rid"))).distinct().withColumnRenamed("rid", "_rid"), F.col("rid") == F.col("_rid"), "left_semi").drop("rid"), "sets")
+    meet = members.select("node").unionByName(near.select(F.explode(F.array("p.node", "q.node")).alias("node"))).distinct().withColumnRenamed("node", "_node")
+    wanted = written(join_small(nodes.select("node", "x.key", "x.times"), written(meet, "meet"), F.col("node") == F.col("_node"), "left_semi"), "wanted")
     slim = written(rows.select("doc_id", "key", "node"), "nodes")
-    for used in (rows, bands, heads):  # the largest tables of the stage
+    for used in (rows, nodes, bands, heads):  # the largest tables of the stage
         discard(used)
+    reclaim(docs.sparkSession)
+    sets = written(_sets(docs, wanted, shingle), "sets")
+    reclaim(docs.sparkSession)
     fits = lambda x, y: F.least(x, y) >= least * F.greatest(x, y) - 1e-9
     first = members.where((F.col("node") != F.col("head.node")) & fits(F.col("n"), F.col("head.n"))).select(F.col("head.node").alias("a"), F.col("node").alias("b"))
     by_print = near.where(fits(F.col("p.n"), F.col("q.n"))).select(F.least("p.node", "q.node").alias("a"), F.greatest("p.node", "q.node").alias("b"))
     first = written(first.unionByName(by_print).distinct(), "pairs")
-    near = written(_alike(first, sets, least), "alike")
+    near = _linked(first, sets, least)
 
     of = components(near).withColumnRenamed("node", "_node")
     placed = written(join_small(members, of, F.col("node") == F.col("_node"), "left").select("band", "value", "node", "n", F.coalesce("component", "node").alias("c")), "placed")
@@ -380,10 +445,12 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, distance:
     mixed = placed.groupBy("band", "value").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select(F.col("band").alias("_band"), F.col("value").alias("_value"))
     open_ = join_small(placed, written(mixed, "mixed"), (F.col("band") == F.col("_band")) & (F.col("value") == F.col("_value")), "left_semi").select("node", "n", "c").distinct()
     more = written(_candidates(written(open_, "open"), sets, least).join(first, ["a", "b"], "left_anti"), "pairs")
-    near = written(near.unionByName(_alike(more, sets, least)), "alike")
+    reclaim(docs.sparkSession)
+    near = _linked(more, sets, least, near)
     found = components(near)
     for used in (placed, sets, first, more, near):
         discard(used)
+    reclaim(docs.sparkSession)
     of = slim.join(found.withColumnRenamed("node", "_node"), F.col("node") == F.col("_node"), "left")
     return of.select("doc_id", "key", F.coalesce("component", "node").alias("group"))
 

@@ -147,3 +147,30 @@ def test_texts_of_a_family_meet_by_what_sets_them_apart(spark, monkeypatch):
 
     assert groups(got & alike) == groups(alike)
     assert len(got - alike) < 1500
+
+
+def test_disk_follows_the_sets_not_all_texts_or_pairs(spark, monkeypatch):
+    """Sets are kept of texts that meet others, and pairs are compared in turns, in which pairs that are linked already are left out."""
+    monkeypatch.setattr(simhash, "TURN", 60)
+    kept, compared = {}, []
+    write, alike = simhash.written, simhash._alike
+
+    def written(df, name, *args, **more):
+        out = write(df, name, *args, **more)
+        if "grams" in df.columns:
+            kept[name] = kept.get(name, 0) + out.count()
+        return out
+
+    def _alike(pairs, sets, least):
+        compared.append(pairs.count())
+        return alike(pairs, sets, least)
+
+    monkeypatch.setattr(simhash, "written", written)
+    monkeypatch.setattr(simhash, "_alike", _alike)
+    r = random.Random(31)
+    base = prose(r, 150)
+    texts = [prose(r, 100) for _ in range(60)] + [edited(r, base, 2) for _ in range(20)] + [base, base]
+    docs = spark.createDataFrame([*enumerate(texts), (81, base)], "doc_id long, text string").repartition(4)
+    assert sorted(x.doc_id for x in simhash.first_of_each(docs).collect()) == sorted(set(brute(texts)))
+    assert kept["sets"] <= 22 and "shingled" not in kept
+    assert len(compared) > 2 and sum(compared) < 200
