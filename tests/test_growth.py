@@ -147,3 +147,17 @@ def test_needles_ask_the_index_once(spark):
     out = search.containing(index, docs, needles)
     assert {tuple(x) for x in out.select("query_id", "doc_id").collect()} == {(1, 5), *((2, i) for i in range(30) if i % 3 == 1)}
     assert "explode(p" not in plan(out)  # what was found is written, not looked for again by each count and join
+
+
+def test_lines_of_a_page_are_made_once_for_its_checks(monkeypatch):
+    """Unit, label and head are looked for in the same lines, with the same results as each by itself."""
+    made, rows = [], grounding._rows
+    monkeypatch.setattr(grounding, "_rows", lambda words: made.append(1) or rows(words))
+    printed = [[(10, 0, "Symbol"), (200, 0, "Max")], [(10, 20, "tR1"), (200, 20, "300"), (300, 20, "ns")], []]
+    words = [[{"x0": float(x), "y0": float(y), "x1": x + 40.0, "y1": y + 10.0, "text": t} for x, y, t in page] for page in printed[:2]]
+    words = pd.Series([words[0] + words[1], words[1], None])
+    out = grounding.page_checks.func(words, pd.Series(["ns", "mV", "ns"]), pd.Series(["tR1"] * 3), pd.Series(["Max"] * 3), pd.Series(["Symbol Max tR1"] * 3))
+    assert len(made) == 3
+    assert out.values.tolist() == [["ok", 1, "found"], ["mismatch", 1, "not_found"], ["not_found", 0, "not_found"]]
+    for w, u, row in zip(words, ["ns", "mV", "ns"], out.itertuples(), strict=True):
+        assert (grounding.find_unit(w or [], u, "tR1", "Max"), len(grounding.find_wrapped(w or [], "tR1"))) == (row.unit, row.wrapped)
